@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.functions.columns import level_column, reading_state
@@ -13,6 +13,11 @@ from stationmine.scale import join_small
 DAY_SLOTS = (("21-5", 21, 5), ("5-10", 5, 10), ("10-15", 10, 15), ("15-21", 15, 22))
 
 
+def moment(df: DataFrame, at: str, time: str = "time") -> Column:
+    """A point in time as a literal of the column's own type, so that filters can be pushed down."""
+    return F.lit(at).cast(df.schema[time].dataType)
+
+
 def valid_readings(status: DataFrame, strict: bool = True) -> DataFrame:
     """Drop readings without bikes and dead readings (no bikes and no docks)."""
     kept = status.filter(F.col("bikes_available").isNotNull()).filter(
@@ -55,7 +60,7 @@ def drop_oscillating(status: DataFrame, station: DataFrame, tol: int = 5) -> Dat
         "station_id",
         F.lit(None).cast("int").alias("bikes_available"),
         F.lit(None).cast("int").alias("docks_available"),
-        F.lit(None).cast("timestamp").alias("time"),
+        F.lit(None).cast(status.schema["time"].dataType).alias("time"),
     )
     return kept.select("station_id", "bikes_available", "docks_available", "time").unionByName(silent)
 
@@ -71,13 +76,21 @@ def stations_in(df: DataFrame, stations: DataFrame | None = None, ids=None, key:
 
 def time_split(df: DataFrame, at: str, time: str = "time") -> DataFrame:
     """Add column ``split``: train before ``at``, test from ``at`` on."""
-    return df.withColumn(
-        "split", F.when(F.col(time) < F.lit(at).cast("timestamp"), "train").otherwise("test")
-    )
+    return df.withColumn("split", F.when(F.col(time) < moment(df, at, time), "train").otherwise("test"))
+
+
+def before(df: DataFrame, at: str, time: str = "time") -> DataFrame:
+    """The train part of a split, as a filter that reaches the scan."""
+    return df.filter(F.col(time) < moment(df, at, time))
+
+
+def since(df: DataFrame, at: str, time: str = "time") -> DataFrame:
+    """The test part of a split, as a filter that reaches the scan."""
+    return df.filter(F.col(time) >= moment(df, at, time))
 
 
 def on_day(df: DataFrame, day: str, time: str = "time") -> DataFrame:
-    start = F.lit(day).cast("timestamp")
+    start = moment(df, day, time)
     return df.filter((F.col(time) >= start) & (F.col(time) < start + F.expr("INTERVAL 1 DAY")))
 
 

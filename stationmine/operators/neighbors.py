@@ -65,9 +65,11 @@ def with_distance(pairs: DataFrame, station: DataFrame, a: str, b: str) -> DataF
 def distance_neighbors(station: DataFrame, th: float, max_delta: int) -> DataFrame:
     """(center, station_id, delta) both ways for stations within ``max_delta`` steps of ``th`` km."""
     pairs = station_pairs(station, th * max_delta).withColumn("delta", delta_of(F.col("dist"), th))
-    forth = pairs.select(F.col("id_a").alias("center"), F.col("id_b").alias("station_id"), "delta")
-    back = pairs.select(F.col("id_b").alias("center"), F.col("id_a").alias("station_id"), "delta")
-    return forth.unionByName(back)
+    both = F.array(
+        F.struct(F.col("id_a").alias("center"), F.col("id_b").alias("station_id")),
+        F.struct(F.col("id_b").alias("center"), F.col("id_a").alias("station_id")),
+    )
+    return pairs.select(F.explode(both).alias("p"), "delta").select("p.center", "p.station_id", "delta")
 
 
 def top_partners(edges: DataFrame, n: int, side: str) -> DataFrame:

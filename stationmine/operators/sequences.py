@@ -15,7 +15,7 @@ from stationmine.operators.neighbors import neighbors
 from stationmine.operators.states import slot_states
 from stationmine.operators.windows import window_map
 from stationmine.params import MineParams
-from stationmine.scale import cut, join_small
+from stationmine.scale import cut, join_small, spread
 
 
 def role_filter(p: MineParams, own: Column) -> Column:
@@ -59,26 +59,31 @@ def build_sequences(
     With ``dedup=False`` (first version) labels keep their multiplicity and a centre
     yields one sequence per record it has in T0.
     """
-    items = labelled_items(states, nbrs)
+    items = labelled_items(spread(states, "slot", "station_id"), nbrs)
     keep = role_filter(p, F.col("own"))
-    # counts per label combine on the map side; a group holds at most the distinct labels
-    counted = items.groupBy("slot", "center", "state", "delta", "own").agg(F.count(F.lit(1)).alias("n"))
-    label = F.struct("state", "delta", "n") if not dedup else F.struct("state", "delta")
-    per_slot = counted.groupBy("slot", "center").agg(
+    if dedup:
+        items = items.withColumn("n", F.lit(1))
+        label = F.struct("state", "delta")
+    else:
+        # counts per label combine on the map side; a group then holds each distinct label once
+        items = items.groupBy("slot", "center", "state", "delta", "own").agg(F.count(F.lit(1)).alias("n"))
+        label = F.struct("state", "delta", "n")
+    per_slot = items.groupBy("slot", "center").agg(
         F.collect_set(F.when(keep, label)).alias("items"),
         F.sum(F.when(F.col("own"), F.col("n"))).alias("records"),
     )
     windowed = join_small(per_slot, window_map(states, p.window_size, base), ["slot"])
-    step = F.struct("t", _labels(F.col("items"), F.col("t"), repeat=not dedup).alias("labels"))
+    # labels are spelled out only after centres without a state in T0 are gone
     gathered = (
         windowed.groupBy("win", "center")
         .agg(
-            F.collect_list(F.when(F.size("items") > 0, step)).alias("steps"),
+            F.collect_list(F.when(F.size("items") > 0, F.struct("t", "items"))).alias("steps"),
             F.max(F.when(F.col("t") == 0, F.col("records"))).alias("records"),
         )
         .filter(F.col("records").isNotNull() & (F.size("steps") > 0))
-        .select(
-            "win", "center", "records", F.transform(F.array_sort("steps"), lambda s: s["labels"]).alias("sequence")
+        .withColumn(
+            "sequence",
+            F.transform(F.array_sort("steps"), lambda s: _labels(s["items"], s["t"], repeat=not dedup)),
         )
     )
     if not dedup:

@@ -21,10 +21,19 @@ def _by_bin(keys: list[str]) -> Window:
 
 
 def fill_bins(binned: DataFrame, minutes: int, keys: list[str]) -> DataFrame:
-    """Every bin between the first and the last one of each key; new rows hold nulls."""
-    spans = binned.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    spine = spans.select(*keys, F.explode(F.sequence("lo", "hi", F.lit(minutes * 60).cast("long"))).alias("bin"))
-    return spine.join(binned, [*keys, "bin"], "left")
+    """Every bin between the first and the last one of each key; new rows hold nulls.
+
+    Each row fills the gap up to the next one, so the series is neither read again nor
+    joined, and stays partitioned by key for the windows that follow.
+    """
+    step = F.lit(minutes * 60).cast("long")
+    following = F.lead("bin").over(_by_bin(keys))
+    rows = binned.withColumn("_bins", F.sequence("bin", F.coalesce(following - step, F.col("bin")), step))
+    rows = rows.withColumn("_bin", F.explode("_bins"))
+    values = [c for c in binned.columns if c not in (*keys, "bin")]
+    return rows.select(
+        *keys, F.col("_bin").alias("bin"), *[F.when(F.col("_bin") == F.col("bin"), F.col(c)).alias(c) for c in values]
+    )
 
 
 def resample(
@@ -174,23 +183,21 @@ def net_flow(trips: DataFrame, minutes: int) -> DataFrame:
     counted = (
         sides[0].unionByName(sides[1]).groupBy("station_id", "bin").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     )
-    spans = counted.groupBy("station_id").agg(
-        *[
-            f(F.when(F.col(c) > 0, F.col("bin"))).alias(f"{n}_{c}")
-            for c in ("o", "i")
-            for n, f in (("lo", F.min), ("hi", F.max))
-        ]
-    )
-    step = F.lit(minutes * 60).cast("long")
-    spine = [
-        spans.filter(F.col(f"lo_{c}").isNotNull()).select(
-            "station_id", F.explode(F.sequence(f"lo_{c}", f"hi_{c}", step)).alias("bin")
+    whole = Window.partitionBy("station_id")
+    for c in ("o", "i"):
+        at = F.when(F.col(c) > 0, F.col("bin"))
+        counted = counted.withColumn(f"lo_{c}", F.min(at).over(whole)).withColumn(f"hi_{c}", F.max(at).over(whole))
+    spans = ("lo_o", "hi_o", "lo_i", "hi_i")
+    inside = F.col("bin").between(F.col("lo_o"), F.col("hi_o")) | F.col("bin").between(F.col("lo_i"), F.col("hi_i"))
+    flows = (
+        fill_bins(counted, minutes, ["station_id", *spans])
+        .filter(inside)
+        .select(
+            "station_id",
+            "bin",
+            (-F.coalesce("o", F.lit(0))).alias("bikes_out"),
+            F.coalesce("i", F.lit(0)).alias("bikes_in"),
         )
-        for c in ("o", "i")
-    ]
-    zero = spine[0].union(spine[1]).select("station_id", "bin", F.lit(0).alias("o"), F.lit(0).alias("i"))
-    flows = counted.unionByName(zero).groupBy("station_id", "bin").agg(
-        (-F.sum("o")).alias("bikes_out"), F.sum("i").alias("bikes_in")
     )
     upto = _by_bin(["station_id"]).rowsBetween(Window.unboundedPreceding, 0)
     change = F.col("bikes_in") + F.col("bikes_out")
@@ -223,7 +230,7 @@ def rebuild_status(status: DataFrame, trips: DataFrame, minutes: int, reset: boo
 
 def null_audit(status: DataFrame, minutes: int, at: str) -> DataFrame:
     """Bins from ``at`` on per station, and those with a null value."""
-    bins = resample(status, minutes, "mean").filter(bin_time("bin") >= F.lit(at).cast("timestamp"))
+    bins = resample(status, minutes, "mean").filter(F.col("bin") >= F.unix_timestamp(F.lit(at).cast("timestamp")))
     missing = F.col("bikes_available").isNull() | F.col("docks_available").isNull()
     return bins.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n_bins"), F.count_if(missing).alias("n_null")

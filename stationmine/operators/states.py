@@ -32,7 +32,12 @@ def per_reading(status: DataFrame, p: MineParams) -> DataFrame:
 
 
 def fold_seconds(readings: DataFrame, keys: list[str], ct: int, level: Column) -> DataFrame:
-    """One row per key and second: extremes of bikes, low and zero counts, first reading."""
+    """One row per key and second: extremes of bikes, low and zero counts, first reading.
+
+    The first reading is packed into one long (bikes, then docks), since an aggregate
+    over structs would have to sort all readings instead of hashing them.
+    """
+    head = F.shiftleft(F.col("bikes_available").cast("long"), 32) + F.col("docks_available")
     return (
         readings.withColumn("sec", epoch("time"))
         .groupBy(*keys, "sec")
@@ -41,7 +46,7 @@ def fold_seconds(readings: DataFrame, keys: list[str], ct: int, level: Column) -
             F.max("bikes_available").alias("b_max"),
             F.count_if(level == 0).alias("n_zero"),
             F.count_if(level < ct).alias("n_low"),
-            F.min(F.struct("bikes_available", "docks_available")).alias("head"),
+            F.min(head).alias("head"),
         )
     )
 
@@ -60,7 +65,7 @@ def slot_profile(status: DataFrame, p: MineParams) -> DataFrame:
     keys = ["station_id", "slot"]
     seconds = with_swings(fold_seconds(prepared(status, p), keys, p.ct, level_column(p.side)), keys)
     first = F.min_by("head", "sec")
-    b0 = first["docks_available" if p.side == "Full" else "bikes_available"]
+    b0 = first.bitwiseAND(F.lit(2**32 - 1)) if p.side == "Full" else F.shiftright(first, 32)
     sums = seconds.groupBy(*keys).agg(
         F.max("rise").alias("rise"),
         F.max("fall").alias("fall"),

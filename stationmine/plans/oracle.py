@@ -830,7 +830,7 @@ part(
 )
 final(
     "bike_deltas",
-    f"SELECT station_id, {as_time('bin')} AS time, round(delta_bikes, 6) AS delta_bikes FROM fx_deltas",
+    f"SELECT station_id, {as_time('bin')} AS time, round(delta_bikes, 6) + 0.0::DOUBLE AS delta_bikes FROM fx_deltas",
 )
 part(
     "fx_profile",
@@ -843,15 +843,17 @@ part(
 final(
     "daily_profile",
     """
-    SELECT station_id, day_time, round(delta_bikes, 6) AS delta_bikes, round(sum_deltas, 6) AS sum_deltas
+    SELECT station_id, day_time, round(delta_bikes, 6) + 0.0::DOUBLE AS delta_bikes,
+           round(sum_deltas, 6) + 0.0::DOUBLE AS sum_deltas
     FROM fx_profile
     """,
 )
 final(
     "profile_long",
     """
-    SELECT station_id, day_time, 'delta_bikes' AS variable, round(delta_bikes, 6) AS value FROM fx_profile
-    UNION ALL SELECT station_id, day_time, 'sum_deltas', round(sum_deltas, 6) FROM fx_profile
+    SELECT station_id, day_time, 'delta_bikes' AS variable, round(delta_bikes, 6) + 0.0::DOUBLE AS value
+    FROM fx_profile
+    UNION ALL SELECT station_id, day_time, 'sum_deltas', round(sum_deltas, 6) + 0.0::DOUBLE FROM fx_profile
     """,
 )
 _kinds = {
@@ -973,7 +975,7 @@ final(
     f"""
     SELECT station_id, {as_time('bin')} AS time, round(bikes_available, 6) AS bikes_available, delta_bikes,
            round(first_value(bikes_available) OVER ({_by_bin})
-                 + coalesce(sum(delta_bikes) OVER ({_by_bin} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)
+                 + coalesce(sum(delta_bikes) OVER ({_by_bin} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) + 0.0::DOUBLE
            AS trips_bikes_available
     FROM fx_both
     """,
@@ -990,7 +992,7 @@ final(
     f"""
     SELECT b.station_id, {as_time('b.bin')} AS time, round(b.bikes_available, 6) AS bikes_available, b.delta_bikes,
            round(m.bikes_available + coalesce((SELECT sum(d.delta_bikes) FROM fx_both d
-                 WHERE d.station_id = b.station_id AND d.k > m.k AND d.k < b.k), 0), 6) AS trips_bikes_available
+                 WHERE d.station_id = b.station_id AND d.k > m.k AND d.k < b.k), 0), 6) + 0.0::DOUBLE AS trips_bikes_available
     FROM fx_both b ASOF JOIN fx_midnight m ON b.station_id = m.station_id AND b.k > m.k
     """,
 )
@@ -1061,7 +1063,7 @@ def corr_sql(bins: str, nbrs: str, width: int, by: str = "") -> str:
     return f"""
     SELECT {out} center, a, CAST(lag_a AS BIGINT) AS lag_a, b, CAST(lag_b AS BIGINT) AS lag_b, n,
            round(CASE WHEN n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy
-                 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END, 6) AS r
+                 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END, 6) + 0.0::DOUBLE AS r
     FROM {sums} JOIN {pairs} USING (a, b)
     """
 

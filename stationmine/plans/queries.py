@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.functions.columns import pattern_key, reading_state, register_sql_functions
+from stationmine.functions.columns import bin_time, pattern_key, register_sql_functions
 from stationmine.operators import classify as cl
 from stationmine.operators import clean, correlation, ml, series, states, trips, windows
 from stationmine.operators import neighbors as nb
@@ -89,8 +89,8 @@ query("critical_share")(lambda fx: clean.critical_share(fx.status))
 
 @query("skip_first")
 def _(fx: Fixture) -> DataFrame:
-    bins = clean.time_split(stamp(series.resample(fx.status, MINUTES)), SPLIT).filter("split = 'test'")
-    return clean.skip_first(bins, 3, order="time").drop("split")
+    bins = clean.since(stamp(series.resample(fx.status, MINUTES)), SPLIT)
+    return clean.skip_first(bins, 3, order="time")
 
 
 # --- states ------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ TEST = TRAIN.but(for_test=True)
 
 
 def split_status(fx: Fixture, part: str) -> DataFrame:
-    return clean.time_split(fx.status, SPLIT).filter(F.col("split") == part).drop("split")
+    return clean.before(fx.status, SPLIT) if part == "train" else clean.since(fx.status, SPLIT)
 
 
 def labelled_test(fx: Fixture) -> DataFrame:
@@ -362,9 +362,8 @@ def features(fx: Fixture) -> DataFrame:
 
 def feature_splits(fx: Fixture) -> tuple[DataFrame, DataFrame]:
     # models read their rows many times: written once
-    rows = cut(clean.time_split(stamp(ml.network_features(features(fx))), SPLIT))
-    rows = rows.withColumn("bin", F.unix_timestamp("time"))
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    rows = cut(ml.network_features(features(fx)).withColumn("time", bin_time("bin")))
+    return clean.before(rows, SPLIT), clean.since(rows, SPLIT)
 
 
 @query("feature_table")

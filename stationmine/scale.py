@@ -31,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` into the session's full number of shuffle partitions.
+
+    For compact tables that a join is about to multiply: left alone, adaptive execution
+    sizes their partitions by what they hold now, not by what they grow to.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -50,7 +50,7 @@ class Fixture:
             F.expr("user_id * 2 div 3").alias("station_id"),
             "event_id",
             F.floor("value").alias("v"),
-            F.col("ts").cast("timestamp").alias("time"),
+            F.col("ts").alias("time"),
         )
         docks = self.station.select(F.col("id").alias("station_id"), "dock_count")
         e = F.col("event_id")
@@ -72,7 +72,7 @@ class Fixture:
         step = F.expr("(event_id * 7 % 15) * (event_id % 4) div 3")
         rider = u - u % 15 + (u % 15 * 4 + step) % 15 - F.when((e % 40 == 0) & (u >= 15), 15).otherwise(0)
         seconds = (60 + F.floor(F.col("value") * 60)).cast("long")
-        start = F.col("ts").cast("timestamp")
+        start = F.col("ts")
         return self.table("events").select(
             e.alias("id"),
             seconds.alias("duration"),
