@@ -184,9 +184,13 @@ def net_flow(trips: DataFrame, minutes: int) -> DataFrame:
         sides[0].unionByName(sides[1]).groupBy("station_id", "bin").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     )
     whole = Window.partitionBy("station_id")
-    for c in ("o", "i"):
-        at = F.when(F.col(c) > 0, F.col("bin"))
-        counted = counted.withColumn(f"lo_{c}", F.min(at).over(whole)).withColumn(f"hi_{c}", F.max(at).over(whole))
+    # one select, so that Spark evaluates the four ends in one pass
+    ends = [
+        f(F.when(F.col(c) > 0, F.col("bin"))).over(whole).alias(f"{name}_{c}")
+        for c in ("o", "i")
+        for name, f in (("lo", F.min), ("hi", F.max))
+    ]
+    counted = counted.select("*", *ends)
     spans = ("lo_o", "hi_o", "lo_i", "hi_i")
     inside = F.col("bin").between(F.col("lo_o"), F.col("hi_o")) | F.col("bin").between(F.col("lo_i"), F.col("hi_i"))
     flows = (
