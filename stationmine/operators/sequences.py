@@ -51,31 +51,64 @@ def _labels(items: Column, t: Column, repeat: bool) -> Column:
     return F.array_sort(F.transform(items, text))
 
 
-def build_sequences(
-    states: DataFrame, nbrs: DataFrame, p: MineParams, dedup: bool = True, base: int = 0
-) -> DataFrame:
-    """(win, center, sequence): one sequence per window and centre with a state in T0.
+def label_bits(p: MineParams) -> list[tuple[str, int]]:
+    """The (state, delta) pairs a sequence can hold, sorted as their labels are; none if
+    they are too many for the bits of a long, or not known beforehand."""
+    if p.neighborhood != "distance":
+        return []
+    states = {p.side, f"Almost{p.side}", "Normal"}
+    if not p.by_reading:
+        states |= {"Increase", "Decrease", "NoIncrease", "NoDecrease"}
+    bits = [(s, d) for s in sorted(states) for d in sorted(range(p.max_delta + 1), key=str)]
+    return bits if len(bits) <= 62 else []
+
+
+def _gather_bits(items: DataFrame, windows: DataFrame, p: MineParams, bits: list[tuple[str, int]]) -> DataFrame:
+    """Label sets as bits of a long: both aggregations hash fixed-width rows, and labels are
+    spelled out only for the centres that have a state in T0."""
+    first_bit = {s: i for i, (s, d) in reversed(list(enumerate(bits)))}
+    by_state = F.coalesce(*[F.when(F.col("state") == s, F.lit(i)) for s, i in first_bit.items()])
+    place = {d: i for i, (_, d) in enumerate(bits[: p.max_delta + 1])}
+    by_delta = F.coalesce(*[F.when(F.col("delta") == d, F.lit(i)) for d, i in place.items()])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), by_state + by_delta)
+    per_slot = items.groupBy("slot", "center").agg(
+        F.coalesce(F.bit_or(F.when(role_filter(p, F.col("own")), bit)), F.lit(0)).alias("mask"),
+        F.max("own").alias("here"),
+    )
+    steps = range(p.window_size)
+    wide = (
+        join_small(per_slot, windows, ["slot"])
+        .groupBy("win", "center")
+        .agg(
+            *[F.max(F.when(F.col("t") == t, F.col("mask"))).alias(f"m{t}") for t in steps],
+            F.max(F.when(F.col("t") == 0, F.col("here"))).alias("head"),
+        )
+        .filter(F.col("head") & (F.coalesce(*[F.when(F.col(f"m{t}") != 0, True) for t in steps])))
+    )
 
-    With ``dedup=False`` (first version) labels keep their multiplicity and a centre
-    yields one sequence per record it has in T0.
-    """
-    items = labelled_items(spread(states, "slot", "station_id"), nbrs)
-    keep = role_filter(p, F.col("own"))
+    def spelled(t: int) -> Column:
+        has = [(F.getbit(f"m{t}", F.lit(i)) == 1, f"{s}_T{t}_{d}") for i, (s, d) in enumerate(bits)]
+        return F.array_compact(F.array(*[F.when(yes, F.lit(text)) for yes, text in has]))
+
+    slots = F.array(*[F.when(F.col(f"m{t}") != 0, spelled(t)) for t in steps])
+    return wide.select("win", "center", F.array_compact(slots).alias("sequence"))
+
+
+def _gather_sets(items: DataFrame, windows: DataFrame, p: MineParams, dedup: bool) -> DataFrame:
+    """Label sets as arrays, for distances without a limit and for repeated labels."""
     if dedup:
-        items = items.withColumn("n", F.lit(1))
-        label = F.struct("state", "delta")
+        items, label = items.withColumn("n", F.lit(1)), F.struct("state", "delta")
     else:
         # counts per label combine on the map side; a group then holds each distinct label once
         items = items.groupBy("slot", "center", "state", "delta", "own").agg(F.count(F.lit(1)).alias("n"))
         label = F.struct("state", "delta", "n")
     per_slot = items.groupBy("slot", "center").agg(
-        F.collect_set(F.when(keep, label)).alias("items"),
+        F.collect_set(F.when(role_filter(p, F.col("own")), label)).alias("items"),
         F.sum(F.when(F.col("own"), F.col("n"))).alias("records"),
     )
-    windowed = join_small(per_slot, window_map(states, p.window_size, base), ["slot"])
-    # labels are spelled out only after centres without a state in T0 are gone
     gathered = (
-        windowed.groupBy("win", "center")
+        join_small(per_slot, windows, ["slot"])
+        .groupBy("win", "center")
         .agg(
             F.collect_list(F.when(F.size("items") > 0, F.struct("t", "items"))).alias("steps"),
             F.max(F.when(F.col("t") == 0, F.col("records"))).alias("records"),
@@ -91,6 +124,20 @@ def build_sequences(
     return gathered.select("win", "center", "sequence")
 
 
+def build_sequences(
+    states: DataFrame, nbrs: DataFrame, p: MineParams, dedup: bool = True, base: int = 0
+) -> DataFrame:
+    """(win, center, sequence): one sequence per window and centre with a state in T0.
+
+    With ``dedup=False`` (first version) labels keep their multiplicity and a centre
+    yields one sequence per record it has in T0.
+    """
+    items = labelled_items(spread(states, "slot", "station_id"), nbrs)
+    windows = window_map(states, p.window_size, base)
+    bits = label_bits(p) if dedup else []
+    return _gather_bits(items, windows, p, bits) if bits else _gather_sets(items, windows, p, dedup)
+
+
 def extract(
     status: DataFrame, station: DataFrame, p: MineParams, edges: DataFrame | None = None
 ) -> DataFrame:

@@ -113,15 +113,19 @@ def plain_sequences(rows, nbrs, size, kind, dedup=True, base=0):
     return sorted(out)
 
 
+@pytest.mark.parametrize("neighborhood,far", [("distance", 3), ("indegree", 12)], ids=["bits", "sets"])
 @pytest.mark.parametrize("kind", EXTRACTION_TYPES)
-def test_random_sequences(spark, kind):
+def test_random_sequences(spark, kind, neighborhood, far):
     rng = random.Random(kind)
     side, second = kind.split("-")
-    names = sorted({side, "Almost" + side, second, "Increase", "Decrease", "NoIncrease", "NoDecrease", "Normal"})
+    names = {side, "Almost" + side, "Normal"}
+    if not second.startswith("Almost"):
+        names |= {"Increase", "Decrease", "NoIncrease", "NoDecrease"}
+    names = sorted(names)
     rows = sorted({(rng.randint(0, 14), rng.randint(1, 6), rng.choice(names)) for _ in range(60)})
-    nbrs = {(a, b): rng.randint(1, 12) for a in range(1, 7) for b in range(1, 7) if a != b and rng.random() < 0.5}
+    nbrs = {(a, b): rng.randint(1, far) for a in range(1, 7) for b in range(1, 7) if a != b and rng.random() < 0.5}
     near = spark.createDataFrame([(*k, v) for k, v in nbrs.items()], "center long, station_id long, delta int")
-    p = MineParams(extraction_type=kind, window_size=3)
+    p = MineParams(extraction_type=kind, window_size=3, neighborhood=neighborhood)
     got = sq.sequence_text(sq.build_sequences(states_frame(spark, rows), near, p))
     assert tuples(got, "win", "center", "sequence") == plain_sequences(rows, nbrs, 3, kind)
 
@@ -139,3 +143,11 @@ def test_first_version_keeps_repeats(spark):
 def test_indegree_needs_edges(spark):
     with pytest.raises(ValueError):
         nb.neighbors(spark.range(1), MineParams(neighborhood="indegree"))
+
+
+def test_labels_that_do_not_fit_a_long_are_kept_as_sets():
+    assert len(sq.label_bits(MineParams(extraction_type="Full-Decrease"))) == 28
+    assert sq.label_bits(MineParams(extraction_type="Full-Decrease", max_delta=9)) == []
+    assert sq.label_bits(MineParams(neighborhood="indegree")) == []
+    wide = sq.label_bits(MineParams(max_delta=12))
+    assert [f"{s}_{d}" for s, d in wide] == sorted(f"{s}_{d}" for s, d in wide)
