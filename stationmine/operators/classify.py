@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stationmine.functions.columns import pattern_key, ratio
 from stationmine.operators.patterns import rank_rules
 from stationmine.params import check_target
-from stationmine.scale import join_small
+from stationmine.scale import cut, join_small, spread
 
 ID = ["win", "center"]
 
@@ -61,8 +61,12 @@ def _body(sequence: str = "sequence") -> Column:
 
 
 def sequence_atoms(labelled: DataFrame, prefix: bool = False) -> DataFrame:
-    """(win, center, y_true, atoms). ``prefix=True`` lets distance 1 also stand for 10 to 19."""
-    return labelled.select(*ID, "y_true", _atoms(_body(), prefix).alias("atoms"))
+    """(win, center, y_true, atoms). ``prefix=True`` lets distance 1 also stand for 10 to 19.
+
+    Written once, since atoms are counted and then joined, and spread by sequence, since
+    each is exploded.
+    """
+    return cut(spread(labelled.select(*ID, "y_true", _atoms(_body(), prefix).alias("atoms")), *ID))
 
 
 def rule_antecedents(rules: DataFrame, seq_atoms: DataFrame, weights: dict[str, Column]) -> DataFrame:
@@ -150,7 +154,7 @@ def metrics(conf: DataFrame) -> DataFrame:
 
 def explain_matches(labelled: DataFrame, rules: DataFrame, k: int = 1) -> DataFrame:
     """For each sequence with ``k`` matches: the k-th matching rule by rank, and the slots it matched."""
-    atoms = labelled.select(*ID, "sequence", _atoms(_body()).alias("atoms"))
+    atoms = cut(spread(labelled.select(*ID, "sequence", _atoms(_body()).alias("atoms")), *ID))
     keyed = _with_pivot(
         rank_rules(rules).select(
             "key", "rank", (F.size("sequence") - 1).alias("length"), _atoms(_body()).alias("needed")

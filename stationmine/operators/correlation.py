@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stationmine.operators.clean import day_slots
 from stationmine.operators.series import lags, resample
-from stationmine.scale import cut
+from stationmine.scale import cut, join_small
 
 CHUNK = 256
 BLOCK = 256
@@ -32,7 +32,7 @@ def co_neighbors(nbrs: DataFrame, block: int = BLOCK) -> DataFrame:
     into blocks and paired block by block, so no task holds a whole large neighbourhood.
     """
     sizes = nbrs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    members = nbrs.join(sizes, "center").withColumn("part", F.pmod(F.xxhash64("station_id"), F.col("parts")))
+    members = join_small(nbrs, sizes, ["center"]).withColumn("part", F.pmod(F.xxhash64("station_id"), F.col("parts")))
     all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
     left = members.select(
         "center", F.col("station_id").alias("a"), F.col("part").alias("pa"), F.explode(all_parts).alias("pb")
@@ -111,7 +111,7 @@ def lag_correlation(
     keys = [*by, "station_id"]
     # chunks are small arrays read twice by the pair join; the readings behind them once
     chunks = cut(_chunks(resample(rows, minutes, "mean", ["bikes_available"], keys), width, minutes * 60, by))
-    pairs = cut(co_neighbors(nbrs))
+    pairs = cut(co_neighbors(cut(nbrs)))
     a = chunks.select(*by, F.col("station_id").alias("a"), "chunk", F.col("at").alias("at_a"),
                       F.col("value").alias("value_a"))
     b = chunks.select(*by, F.col("station_id").alias("b"), "chunk", F.col("at").alias("at_b"),

@@ -14,7 +14,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.operators.classify import confusion, metrics
@@ -84,9 +84,10 @@ def network_features(table: DataFrame) -> DataFrame:
 def class_weights(table: DataFrame, by: tuple = ("station_id",)) -> DataFrame:
     """Balanced weight per class: n / (2 * n of the class)."""
     counts = table.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n_class"))
-    totals = counts.groupBy(*by).agg(F.sum("n_class").alias("n_rows"))
-    joined = counts.join(totals, list(by)) if by else counts.crossJoin(F.broadcast(totals))  # one row
-    return joined.withColumn("weight", F.col("n_rows") / (2.0 * F.col("n_class")))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row per class
+    return counts.withColumn("n_rows", F.sum("n_class").over(whole)).withColumn(
+        "weight", F.col("n_rows") / (2.0 * F.col("n_class"))
+    )
 
 
 def with_weights(table: DataFrame, by: tuple = ("station_id",)) -> DataFrame:

@@ -66,11 +66,8 @@ def label_bits(p: MineParams) -> list[tuple[str, int]]:
 def _gather_bits(items: DataFrame, windows: DataFrame, p: MineParams, bits: list[tuple[str, int]]) -> DataFrame:
     """Label sets as bits of a long: both aggregations hash fixed-width rows, and labels are
     spelled out only for the centres that have a state in T0."""
-    first_bit = {s: i for i, (s, d) in reversed(list(enumerate(bits)))}
-    by_state = F.coalesce(*[F.when(F.col("state") == s, F.lit(i)) for s, i in first_bit.items()])
-    place = {d: i for i, (_, d) in enumerate(bits[: p.max_delta + 1])}
-    by_delta = F.coalesce(*[F.when(F.col("delta") == d, F.lit(i)) for d, i in place.items()])
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), by_state + by_delta)
+    whens = " ".join(f"WHEN state = '{s}' AND delta = {d} THEN {1 << i}L" for i, (s, d) in enumerate(bits))
+    bit = F.expr(f"CASE {whens} END")
     per_slot = items.groupBy("slot", "center").agg(
         F.coalesce(F.bit_or(F.when(role_filter(p, F.col("own")), bit)), F.lit(0)).alias("mask"),
         F.max("own").alias("here"),
@@ -86,12 +83,12 @@ def _gather_bits(items: DataFrame, windows: DataFrame, p: MineParams, bits: list
         .filter(F.col("head") & (F.coalesce(*[F.when(F.col(f"m{t}") != 0, True) for t in steps])))
     )
 
-    def spelled(t: int) -> Column:
-        has = [(F.getbit(f"m{t}", F.lit(i)) == 1, f"{s}_T{t}_{d}") for i, (s, d) in enumerate(bits)]
-        return F.array_compact(F.array(*[F.when(yes, F.lit(text)) for yes, text in has]))
+    def spelled(t: int) -> str:
+        has = ", ".join(f"IF(m{t} & {1 << i}L <> 0, '{s}_T{t}_{d}', NULL)" for i, (s, d) in enumerate(bits))
+        return f"IF(m{t} <> 0, array_compact(array({has})), NULL)"
 
-    slots = F.array(*[F.when(F.col(f"m{t}") != 0, spelled(t)) for t in steps])
-    return wide.select("win", "center", F.array_compact(slots).alias("sequence"))
+    slots = F.expr(f"array_compact(array({', '.join(spelled(t) for t in steps)}))")
+    return wide.select("win", "center", slots.alias("sequence"))
 
 
 def _gather_sets(items: DataFrame, windows: DataFrame, p: MineParams, dedup: bool) -> DataFrame:

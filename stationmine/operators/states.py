@@ -35,9 +35,10 @@ def fold_seconds(readings: DataFrame, keys: list[str], ct: int, level: Column) -
     """One row per key and second: extremes of bikes, low and zero counts, first reading.
 
     The first reading is packed into one long (bikes, then docks), since an aggregate
-    over structs would have to sort all readings instead of hashing them.
+    over structs would have to sort all readings instead of hashing them.  Docks are
+    shifted to be positive, so that they never borrow from the bikes above them.
     """
-    head = F.shiftleft(F.col("bikes_available").cast("long"), 32) + F.col("docks_available")
+    head = F.shiftleft(F.col("bikes_available").cast("long"), 32) + F.col("docks_available") + F.lit(2**31)
     return (
         readings.withColumn("sec", epoch("time"))
         .groupBy(*keys, "sec")
@@ -65,7 +66,7 @@ def slot_profile(status: DataFrame, p: MineParams) -> DataFrame:
     keys = ["station_id", "slot"]
     seconds = with_swings(fold_seconds(prepared(status, p), keys, p.ct, level_column(p.side)), keys)
     first = F.min_by("head", "sec")
-    b0 = first.bitwiseAND(F.lit(2**32 - 1)) if p.side == "Full" else F.shiftright(first, 32)
+    b0 = first.bitwiseAND(F.lit(2**32 - 1)) - 2**31 if p.side == "Full" else F.shiftright(first, 32)
     sums = seconds.groupBy(*keys).agg(
         F.max("rise").alias("rise"),
         F.max("fall").alias("fall"),

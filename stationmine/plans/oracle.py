@@ -155,6 +155,18 @@ final(
 final("scan_trip", "SELECT * FROM fx_trip")
 final("trip_page", "SELECT * FROM fx_trip ORDER BY start_date, id LIMIT 5 OFFSET 55")
 
+_columns = {"station_id": "bigint", "bikes_available": "int", "docks_available": "int", "time": "timestamp_ntz"}
+final(
+    "profile",
+    " UNION ALL ".join(
+        f"""
+        SELECT '{c}' AS "column", '{kind}' AS "type", count({c}) AS n_values, count(*) - count({c}) AS n_nulls,
+               CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM fx_status
+        """
+        for c, kind in _columns.items()
+    ),
+)
+
 # --- cleaning ----------------------------------------------------------------------------
 
 final("valid_readings", "SELECT station_id, bikes_available, docks_available, time FROM fx_valid")
@@ -357,15 +369,15 @@ part(
 )
 
 
-def partners_part(side: str) -> str:
+def partners_part(side: str, n: int = P.n_neighbors) -> str:
     center, other = ("end_id", "start_id") if side == "Full" else ("start_id", "end_id")
     return part(
-        f"fx_partners_{side.lower()}",
+        f"fx_partners_{side.lower()}_{n}",
         f"""
         SELECT a.id AS center, b.id AS station_id, {delta_sql(haversine('a', 'b'), P.th)} AS delta
         FROM (SELECT *, row_number() OVER (PARTITION BY {center} ORDER BY weight DESC, {other}) AS k FROM fx_edges)
         JOIN fx_station a ON a.id = {center} JOIN fx_station b ON b.id = {other}
-        WHERE k <= {P.n_neighbors} AND a.id <> b.id
+        WHERE k <= {n} AND a.id <> b.id
         """,
     )
 
@@ -394,7 +406,7 @@ def labels_part(p: MineParams, source: str = "fx_valid") -> str:
     """(win, center, t, label) for centres with a state in T0."""
     states = states_part(p, source)
     win = windows_part(states)
-    near = "fx_near" if p.neighborhood == "distance" else partners_part(p.side)
+    near = "fx_near" if p.neighborhood == "distance" else partners_part(p.side, p.n_neighbors)
     seen = part(
         f"fx_seen_{states}_{near}",
         f"""
@@ -619,6 +631,17 @@ final(
     """,
 )
 
+_other = rules_part(
+    patterns_part(P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree"), 2)
+)
+final(
+    "mine_grid",
+    f"""
+    SELECT 'Full-AlmostFull' AS extraction, 'Dist' AS neighborhood, {_cols} FROM {rules_part(_two)}
+    UNION ALL SELECT 'Empty-AlmostEmpty', '2', {_cols} FROM {_other}
+    """,
+)
+
 # --- associative classifier --------------------------------------------------------------
 
 _train = part("fx_valid_train", f"SELECT * FROM fx_valid WHERE time < TIMESTAMP '{SPLIT}'")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time, pattern_key, register_sql_functions
 from stationmine.operators import classify as cl
-from stationmine.operators import clean, correlation, ml, series, states, trips, windows
+from stationmine.operators import clean, correlation, grid, inspect, ml, series, states, trips, windows
 from stationmine.operators import neighbors as nb
 from stationmine.operators import patterns as pt
 from stationmine.operators import sequences as sq
@@ -71,7 +71,8 @@ def small_edges(fx: Fixture) -> DataFrame:
 query("scan_status")(lambda fx: fx.status)
 query("scan_station")(lambda fx: fx.station)
 query("scan_trip")(lambda fx: fx.trip)
-query("trip_page")(lambda fx: fx.trip.orderBy("start_date", "id").offset(55).limit(5))
+query("trip_page")(lambda fx: inspect.page(fx.trip, ["start_date", "id"], 55, 5))
+query("profile")(lambda fx: inspect.profile(fx.status))
 
 # --- cleaning ----------------------------------------------------------------------------
 
@@ -222,6 +223,15 @@ query("conf_curve")(lambda fx: pt.conf_curve(mined_rules(fx), CONF))
 query("support_sweep")(lambda fx: pt.support_sweep(sequences(fx, P), [0.1, 0.2, 0.3], 3))
 query("rule_lines")(lambda fx: rules_to_line(mined_rules(fx)).select("key", "sup", "line"))
 
+
+@query("mine_grid")
+def _(fx: Fixture) -> DataFrame:
+    both = [P, P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree")]
+    return grid.mine_grid(fx.status, fx.station, both, SUPPORT, small_edges(fx), 2).select(
+        "extraction", "neighborhood", *_RULE
+    )
+
+
 # --- associative classifier --------------------------------------------------------------
 
 TRAIN = P.but(wrap_states=True)
@@ -234,7 +244,7 @@ def split_status(fx: Fixture, part: str) -> DataFrame:
 
 def labelled_test(fx: Fixture) -> DataFrame:
     found = sequences(fx, TEST, split_status(fx, "test"))
-    return cut(cl.label_sequences(found, TARGET, P.window_size))
+    return cl.label_sequences(found, TARGET, P.window_size)
 
 
 def train_rules(fx: Fixture) -> DataFrame:
@@ -306,11 +316,11 @@ query("neighborhood_wide")(
     )
 )
 query("lag_corr")(
-    lambda fx: correlation.lag_correlation(fx.status, cut(nb.graph_neighbors(edges(fx), "in")), MINUTES, WIDTH)
+    lambda fx: correlation.lag_correlation(fx.status, nb.graph_neighbors(edges(fx), "in"), MINUTES, WIDTH)
 )
 query("lag_corr_slot")(
     lambda fx: correlation.lag_correlation(
-        fx.status, cut(nb.graph_neighbors(small_edges(fx), "both")), 1440, 2, by_day_slot=True
+        fx.status, nb.graph_neighbors(small_edges(fx), "both"), 1440, 2, by_day_slot=True
     )
 )
 

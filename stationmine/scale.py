@@ -18,9 +18,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="stationmine-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return tempfile.mkdtemp(prefix="stationmine-ckpt-")
 
 
 def cut(df: DataFrame) -> DataFrame:

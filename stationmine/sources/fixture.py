@@ -11,10 +11,14 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stationmine.scale import join_small
 
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+    "supplier": "s_suppkey long, s_name string",
+}
+
 
 @dataclass(frozen=True)
 class Fixture:
@@ -25,63 +29,53 @@ class Fixture:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
     @cached_property
     def station(self) -> DataFrame:
-        k = F.col("s_suppkey")
-        row = F.floor(F.sqrt(k.cast("double")))
-        return self.table("supplier").select(
-            k.alias("id"),
-            F.col("s_name").alias("name"),
-            (F.lit(37.0) + (row * 5).cast("double") / 1000).alias("lat"),
-            (F.lit(-122.4) + ((k - row * row - row) * 5).cast("double") / 1000).alias("long"),
-            (9 + k % 4 * 2).cast("int").alias("dock_count"),
-            F.when(k < 5, "San Francisco")
-            .when(k < 10, "San Jose")
-            .otherwise(F.concat(F.lit("City "), F.floor(k / 5)))
-            .alias("city"),
-            F.date_add(F.lit("2013-08-01").cast("date"), (k % 100).cast("int")).alias("installation_date"),
+        rows = self.table("supplier").selectExpr(
+            "s_suppkey AS id", "s_name AS name", "CAST(floor(sqrt(CAST(s_suppkey AS DOUBLE))) AS BIGINT) AS r"
+        )
+        return rows.selectExpr(
+            "id",
+            "name",
+            "37.0D + CAST(r * 5 AS DOUBLE) / 1000 AS lat",
+            "-122.4D + CAST((id - r * r - r) * 5 AS DOUBLE) / 1000 AS long",
+            "CAST(9 + id % 4 * 2 AS INT) AS dock_count",
+            "CASE WHEN id < 5 THEN 'San Francisco' WHEN id < 10 THEN 'San Jose'"
+            " ELSE concat('City ', id div 5) END AS city",
+            "date_add(DATE '2013-08-01', CAST(id % 100 AS INT)) AS installation_date",
         )
 
     @cached_property
     def status(self) -> DataFrame:
-        events = self.table("events").select(
-            F.expr("user_id * 2 div 3").alias("station_id"),
-            "event_id",
-            F.floor("value").alias("v"),
-            F.col("ts").alias("time"),
+        events = self.table("events").selectExpr(
+            "user_id * 2 div 3 AS station_id", "event_id AS e", "floor(value) AS v", "ts AS time"
         )
-        docks = self.station.select(F.col("id").alias("station_id"), "dock_count")
-        e = F.col("event_id")
-        bikes = F.col("v") % (F.col("dock_count") + 1)
-        dead = e % 89 == 0
-        return join_small(events, docks, ["station_id"]).select(
+        docks = self.station.selectExpr("id AS station_id", "dock_count AS n")
+        return join_small(events, docks, ["station_id"]).selectExpr(
             "station_id",
-            F.when(e % 97 == 0, None).when(dead, 0).otherwise(bikes).cast("int").alias("bikes_available"),
-            F.when(dead, 0)
-            .otherwise(F.col("dock_count") - bikes + F.when(e % 53 == 0, 7).otherwise(0))
-            .cast("int")
-            .alias("docks_available"),
+            "CAST(CASE WHEN e % 97 = 0 THEN NULL WHEN e % 89 = 0 THEN 0 ELSE v % (n + 1) END AS INT)"
+            " AS bikes_available",
+            "CAST(IF(e % 89 = 0, 0, n - v % (n + 1) + IF(e % 53 = 0, 7, 0)) AS INT) AS docks_available",
             "time",
         )
 
     @cached_property
     def trip(self) -> DataFrame:
-        u, e = F.col("user_id"), F.col("event_id")
-        step = F.expr("(event_id * 7 % 15) * (event_id % 4) div 3")
-        rider = u - u % 15 + (u % 15 * 4 + step) % 15 - F.when((e % 40 == 0) & (u >= 15), 15).otherwise(0)
-        seconds = (60 + F.floor(F.col("value") * 60)).cast("long")
-        start = F.col("ts")
-        return self.table("events").select(
-            e.alias("id"),
-            seconds.alias("duration"),
-            start.alias("start_date"),
-            (start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("end_date"),
-            F.expr("user_id * 2 div 3").alias("start_station_id"),
-            F.floor((rider * 2 - rider * 2 % 3) / 3).alias("end_station_id"),
-            u.alias("bike_id"),
-            F.when(F.col("event_type").isin("click", "view"), "Subscriber")
-            .otherwise("Customer")
-            .alias("subscription_type"),
+        rows = self.table("events").selectExpr(
+            "*",
+            "CAST(60 + floor(value * 60) AS BIGINT) AS duration",
+            "user_id - user_id % 15 + (user_id % 15 * 4 + (event_id * 7 % 15) * (event_id % 4) div 3) % 15"
+            " - IF(event_id % 40 = 0 AND user_id >= 15, 15, 0) AS rider",
+        )
+        return rows.selectExpr(
+            "event_id AS id",
+            "duration",
+            "ts AS start_date",
+            "ts + make_dt_interval(0, 0, 0, duration) AS end_date",
+            "user_id * 2 div 3 AS start_station_id",
+            "rider * 2 div 3 AS end_station_id",
+            "user_id AS bike_id",
+            "IF(event_type IN ('click', 'view'), 'Subscriber', 'Customer') AS subscription_type",
         )

@@ -154,3 +154,18 @@ def test_target_rules(spark):
     assert tuples(cl.target_rules(df, TARGET, 0.6, 5), "key") == [("d",)]
     with pytest.raises(ValueError):
         cl.target_rules(df, "Full")
+
+
+def test_configurations_are_scored_one_by_one(spark):
+    from stationmine.operators import grid
+    from stationmine.plans import queries as q
+    from stationmine.sources.fixture import Fixture
+
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    edges = q.small_edges(fx)
+    configs = [q.TRAIN, q.TRAIN.but(neighborhood="indegree")]
+    got = grid.evaluate_configs(
+        q.split_status(fx, "train"), q.split_status(fx, "test"), fx.station, configs, TARGET, 0.1, [0.2], [1], edges, 2
+    ).collect()
+    assert {(r.extraction, r.neighborhood) for r in got} == {("Full-AlmostFull_wrapped", n) for n in ("Dist", "3")}
+    assert all(r.tp + r.tn + r.fp + r.fn == got[0].tp + got[0].tn + got[0].fp + got[0].fn for r in got)
