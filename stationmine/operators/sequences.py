@@ -51,26 +51,38 @@ def _labels(items: Column, t: Column, repeat: bool) -> Column:
     return F.array_sort(F.transform(items, text))
 
 
-def label_bits(p: MineParams) -> list[tuple[str, int]]:
-    """The (state, delta) pairs a sequence can hold, sorted as their labels are; none if
-    they are too many for the bits of a long, or not known beforehand."""
+def label_bits(p: MineParams) -> dict[str, int]:
+    """First bit of each state a sequence can hold; the distance counts bits up from there.
+    Empty if they are too many for a long, or if distances have no limit."""
     if p.neighborhood != "distance":
-        return []
-    states = {p.side, f"Almost{p.side}", "Normal"}
+        return {}
+    states = [p.side, f"Almost{p.side}", "Normal"]
     if not p.by_reading:
-        states |= {"Increase", "Decrease", "NoIncrease", "NoDecrease"}
-    bits = [(s, d) for s in sorted(states) for d in sorted(range(p.max_delta + 1), key=str)]
-    return bits if len(bits) <= 62 else []
+        states += ["Increase", "Decrease", "NoIncrease", "NoDecrease"]
+    width = p.max_delta + 1
+    return {s: i * width for i, s in enumerate(states)} if len(states) * width <= 62 else {}
 
 
-def _gather_bits(items: DataFrame, windows: DataFrame, p: MineParams, bits: list[tuple[str, int]]) -> DataFrame:
-    """Label sets as bits of a long: both aggregations hash fixed-width rows, and labels are
-    spelled out only for the centres that have a state in T0."""
-    whens = " ".join(f"WHEN state = '{s}' AND delta = {d} THEN {1 << i}L" for i, (s, d) in enumerate(bits))
-    bit = F.expr(f"CASE {whens} END")
-    per_slot = items.groupBy("slot", "center").agg(
-        F.coalesce(F.bit_or(F.when(role_filter(p, F.col("own")), bit)), F.lit(0)).alias("mask"),
-        F.max("own").alias("here"),
+def _gather_bits(
+    states: DataFrame, nbrs: DataFrame, windows: DataFrame, p: MineParams, bits: dict[str, int]
+) -> DataFrame:
+    """Label sets as bits of a long.
+
+    The states of a station in a slot become one mask before they meet the neighbours, a
+    distance shifts the mask, and all aggregations hash fixed-width rows.  Labels are spelled
+    out only for the centres that have a state in T0.
+    """
+    bit = F.expr("CASE state " + " ".join(f"WHEN '{s}' THEN {1 << i}L" for s, i in bits.items()) + " END")
+    masks = states.groupBy("slot", "station_id").agg(
+        F.coalesce(F.bit_or(F.when(role_filter(p, F.lit(True)), bit)), F.lit(0)).alias("own"),
+        F.bit_or(F.when(role_filter(p, F.lit(False)), bit)).alias("seen"),
+    )
+    own = masks.select("slot", F.col("station_id").alias("center"), F.col("own").alias("mask"), F.lit(True).alias("here"))
+    seen = join_small(masks.filter(F.col("seen").isNotNull()), nbrs, ["station_id"]).select(
+        "slot", "center", F.expr("shiftleft(seen, delta)").alias("mask"), F.lit(False).alias("here")
+    )
+    per_slot = own.unionByName(seen).groupBy("slot", "center").agg(
+        F.bit_or("mask").alias("mask"), F.max("here").alias("here")
     )
     steps = range(p.window_size)
     wide = (
@@ -84,7 +96,8 @@ def _gather_bits(items: DataFrame, windows: DataFrame, p: MineParams, bits: list
     )
 
     def spelled(t: int) -> str:
-        has = ", ".join(f"IF(m{t} & {1 << i}L <> 0, '{s}_T{t}_{d}', NULL)" for i, (s, d) in enumerate(bits))
+        labels = sorted((f"{s}_T{t}_{d}", 1 << i + d) for s, i in bits.items() for d in range(p.max_delta + 1))
+        has = ", ".join(f"IF(m{t} & {b}L <> 0, '{text}', NULL)" for text, b in labels)
         return f"IF(m{t} <> 0, array_compact(array({has})), NULL)"
 
     slots = F.expr(f"array_compact(array({', '.join(spelled(t) for t in steps)}))")
@@ -129,10 +142,12 @@ def build_sequences(
     With ``dedup=False`` (first version) labels keep their multiplicity and a centre
     yields one sequence per record it has in T0.
     """
-    items = labelled_items(spread(states, "slot", "station_id"), nbrs)
     windows = window_map(states, p.window_size, base)
-    bits = label_bits(p) if dedup else []
-    return _gather_bits(items, windows, p, bits) if bits else _gather_sets(items, windows, p, dedup)
+    states = spread(states, "slot", "station_id")
+    bits = label_bits(p) if dedup else {}
+    if bits:
+        return _gather_bits(states, nbrs, windows, p, bits)
+    return _gather_sets(labelled_items(states, nbrs), windows, p, dedup)
 
 
 def extract(

@@ -146,8 +146,15 @@ def test_indegree_needs_edges(spark):
 
 
 def test_labels_that_do_not_fit_a_long_are_kept_as_sets():
-    assert len(sq.label_bits(MineParams(extraction_type="Full-Decrease"))) == 28
-    assert sq.label_bits(MineParams(extraction_type="Full-Decrease", max_delta=9)) == []
-    assert sq.label_bits(MineParams(neighborhood="indegree")) == []
-    wide = sq.label_bits(MineParams(max_delta=12))
-    assert [f"{s}_{d}" for s, d in wide] == sorted(f"{s}_{d}" for s, d in wide)
+    assert sq.label_bits(MineParams(max_delta=2)) == {"Full": 0, "AlmostFull": 3, "Normal": 6}
+    assert len(sq.label_bits(MineParams(extraction_type="Full-Decrease"))) == 7
+    assert sq.label_bits(MineParams(extraction_type="Full-Decrease", max_delta=9)) == {}
+    assert sq.label_bits(MineParams(neighborhood="indegree")) == {}
+
+
+def test_two_digit_distances_sort_as_text(spark):
+    rows = [(0, 1, "Full"), (0, 2, "Full"), (0, 3, "Full")]
+    near = spark.createDataFrame([(1, 2, 2), (1, 3, 10)], "center long, station_id long, delta int")
+    p = MineParams(max_delta=12, window_size=1)
+    got = sq.sequence_text(sq.build_sequences(states_frame(spark, rows), near, p)).filter("center = 1")
+    assert tuples(got, "sequence") == [("Full_T0_0,Full_T0_10,Full_T0_2",)]
