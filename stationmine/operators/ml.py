@@ -21,6 +21,7 @@ from stationmine.operators.classify import confusion, metrics
 from stationmine.operators.series import VALUES, lags, next_label, resample
 from stationmine.scale import join_small
 
+# The two labels.
 POSITIVE, NEGATIVE = "QP", "N"
 # The tuned grids. Split sizes start at 2, since smaller ones are invalid.
 GRIDS = {

@@ -153,6 +153,7 @@ def busy_intervals(
     wide = fine.withColumn("m", F.explode(F.array(*[F.lit(m) for m in multiples])))
     step = F.col("m") * (minutes * 60)
     coarse = wide.groupBy("station_id", "m", F.floor(F.col("bin") / step).alias("b")).agg(F.sum("n").alias("n"))
+    # fixed value: the format of the column names
     counts = [
         F.count_if((F.col("m") == m) & (F.col("n") >= t * m)).alias(f"count_trsh{t * m}_intrv{m * minutes}")
         for m in multiples

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time
 
+# The two header lines of the rule text form.
+RULE_HEADER = "Pattern, Confidence-Frequence"
+RULE_COUNT = "Total number of input patterns: "
+
 
 def rule_line() -> Column:
     """``[[[['a,b'], ['c']]], ['0.5 - 12']]`` from columns sequence, conf and sup."""
@@ -37,10 +41,10 @@ def write_rules_text(rules: DataFrame, path: str, by: str = "conf", mode: str =
         .select(
             F.explode(
                 F.array(
-                    F.struct(F.lit(0).alias("o"), F.lit("Pattern, Confidence-Frequence").alias("line")),
+                    F.struct(F.lit(0).alias("o"), F.lit(RULE_HEADER).alias("line")),
                     F.struct(
                         F.lit(1).alias("o"),
-                        F.concat(F.lit("Total number of input patterns: "), F.col("n")).alias("line"),
+                        F.concat(F.lit(RULE_COUNT), F.col("n")).alias("line"),
                     ),
                 )
             ).alias("h")
