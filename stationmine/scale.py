@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,22 +11,24 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only for local sessions."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    The same rule for every master.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="stationmine-ckpt-")
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet in the shared folder and go on from there.
+
+    What is read several times, or must survive lost executors, is computed once; later reads
+    prune columns and push filters. The folder is the cluster's to clear.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stationmine/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -39,8 +41,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows. A plain count, combined on the map side."""
+    return df.count() <= max_rows
 
 
 def join_small(

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stationmine.plans import oracle, queries
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = (
@@ -14,7 +15,7 @@ TYPES = {
     "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz",
     "BOOLEAN": "boolean", "DATE": "date",
 }
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -49,11 +49,13 @@ def test_global_rank(spark):
     assert [r.x for r in got] == sorted((r.x for r in got), reverse=True)
 
 
-def test_checkpoints_use_the_named_folder(spark):
+def test_cut_writes_to_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
-    assert scale.checkpoint_dir(spark) == named
-    scale.cut(spark.range(3))
-    assert named in spark.sparkContext.getCheckpointDir()
+    assert scale.shared_dir(spark) == named
+    df = scale.cut(spark.range(3))
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2]
+    assert all(named in f for f in df.inputFiles())
+
 
 
 def test_sequences_without_any_broadcast(spark, monkeypatch):
