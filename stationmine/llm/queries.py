@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, packing, pieces
+from stationmine.llm import chat, language, packing, pieces, quality
 from stationmine.llm.tables import read
 
+#: Documents that score less are predicted to be of low quality.
+QUALITY = 0.7
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -45,6 +48,22 @@ def op1_chat_format(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op4_hyperdimensional_language(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = language.fit(docs, ~out & F.col("doc_id").isNotNull())
+    return language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_line_field_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    field = quality.fit(docs, read(spark, root, "labels").filter(~out))
+    return quality.score(docs, field).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted")
+    )
+
+
 def op5_harmonic_packing(spark: SparkSession, root: str) -> DataFrame:
     packed = packing.pack(read(spark, root, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return packed.drop("ids")
