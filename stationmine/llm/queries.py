@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, packing, pieces, quality
+from stationmine.llm import chat, language, neardup, packing, pieces, quality
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
@@ -69,6 +69,10 @@ def op5_harmonic_packing(spark: SparkSession, root: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op7_chosen_path_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, root, "documents"), k=2, percent=80)
+
+
 def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     found = pieces.encode(read(spark, root, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select(
