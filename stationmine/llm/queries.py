@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, neardup, packing, pieces, quality
+from stationmine.llm import chat, language, neardup, packing, pieces, quality, rlz
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
@@ -48,6 +48,12 @@ def op1_chat_format(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op3_relative_lempel_ziv(spark: SparkSession, root: str) -> DataFrame:
+    left = rlz.deduplicate(read(spark, root, "documents"), window=50)
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_hyperdimensional_language(spark: SparkSession, root: str) -> DataFrame:
     docs = read(spark, root, "documents")
     out = language.held_out(F.col("doc_id"), 5, 0)
