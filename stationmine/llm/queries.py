@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, neardup, packing, pieces, quality, rlz
+from stationmine.llm import chat, language, multiindex, neardup, packing, pieces, quality, ranges, rlz
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
@@ -48,6 +48,10 @@ def op1_chat_format(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op2_inverted_multi_index(spark: SparkSession, root: str) -> DataFrame:
+    return multiindex.search(read(spark, root, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_relative_lempel_ziv(spark: SparkSession, root: str) -> DataFrame:
     left = rlz.deduplicate(read(spark, root, "documents"), window=50)
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -79,6 +83,10 @@ def op7_chosen_path_near_duplicates(spark: SparkSession, root: str) -> DataFrame
     return neardup.near_duplicates(read(spark, root, "documents"), k=2, percent=80)
 
 
+def op8_metric_range_join(spark: SparkSession, root: str) -> DataFrame:
+    return ranges.near_duplicates(read(spark, root, "embeddings"), cosine=0.95)
+
+
 def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     found = pieces.encode(read(spark, root, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select(
