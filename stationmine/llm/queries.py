@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, multiindex, neardup, packing, pieces, quality, ranges, rlz
+from stationmine.llm import chat, language, layout, multiindex, neardup, packing, pieces, quality, ranges, rlz
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
@@ -87,6 +87,10 @@ def op8_metric_range_join(spark: SparkSession, root: str) -> DataFrame:
     return ranges.near_duplicates(read(spark, root, "embeddings"), cosine=0.95)
 
 
+def op9_layout_text(spark: SparkSession, root: str) -> DataFrame:
+    return layout.extract(read(spark, root, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     found = pieces.encode(read(spark, root, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select(
