@@ -95,6 +95,15 @@ class LanguageModel:
     size: int
     seed: int
 
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        found, some = profiles([t or "" for t in texts], self.size, self.seed)
+        names, scores = np.full(len(some), UNKNOWN, object), np.zeros(len(some))
+        if self.names:
+            cosines = found @ self.prototypes.T
+            names[some] = np.array(self.names, object)[cosines.argmax(axis=1)][some]
+            scores[some] = np.clip(cosines.max(axis=1), 0, 1)[some]
+        return names, scores
+
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's text falls into the fold. A null id never does."""
@@ -157,15 +166,27 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        found, some = profiles([t or "" for t in part.column("text").to_pylist()], model.size, model.seed)
-        names, scores = np.full(len(some), UNKNOWN, object), np.zeros(len(some))
-        if model.names:
-            cosines = found @ model.prototypes.T
-            names[some] = np.array(model.names, object)[cosines.argmax(axis=1)][some]
-            scores[some] = np.clip(cosines.max(axis=1), 0, 1)[some]
+        names, scores = model.predict(part.column("text").to_pylist())
         return pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
             ["doc_id", "lang_pred", "score"],
         )
 
     return text_only(docs).mapInArrow(by_slice(work, "text"), "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: LanguageModel, at_least: float) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that have a language, with a score of ``at_least`` or more.
+
+    Nothing is shuffled. A model without languages rejects nothing.
+    """
+    if not model.names:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                names, scores = model.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array((names != UNKNOWN) & (scores >= at_least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

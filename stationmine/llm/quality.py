@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationmine.llm.tables import by_slice, text_only
+from stationmine.llm.tables import by_slice, slices, text_only
 
 #: Character classes: 0 other, then lower (and caseless letters), upper, digit, space, punctuation, symbol, "!".
 CLASSES = 8
@@ -202,3 +203,14 @@ def score(docs: DataFrame, field: LineField) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return text_only(docs).mapInArrow(by_slice(work, "text"), "doc_id long, score double")
+
+
+def keep(docs: DataFrame, field: LineField, at_least: float) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is ``at_least`` or more. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(field.score(part.column("text").to_pylist()) >= at_least))
+
+    return docs.mapInArrow(run, docs.schema)

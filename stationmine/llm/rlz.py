@@ -16,7 +16,7 @@ border are looked up themselves, so a factor that follows, from this reference o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -222,13 +222,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return (data[: at[0]] + b"".join(kept)).decode(), n, int(gone.sum())
 
 
-def deduplicate(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, text (what is left), n_words, n_removed, one row per document.
+def deduplicate(docs: DataFrame, window: int = 50, others: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (what is left), n_words, n_removed and the columns ``others``, one row per document.
 
     Words are runs without space, tab, line feed, vertical tab, form feed and carriage return. Windows
     are judged on the input. Repeats within one document stay. Null texts stay null and have no words. Rows with null
     doc_ids are neither references nor changed. Rows that share a doc_id do not refer to each other, and all of
-    their spans are taken from each. Only ``doc_id`` and ``text`` are read. No rows: no rows.
+    their spans are taken from each. Other columns are passed on or left out, never read. No rows: no rows.
     """
     spans = factors(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
@@ -237,10 +237,13 @@ def deduplicate(docs: DataFrame, window: int = 50) -> DataFrame:
         for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
             out.append((None, 0, 0) if text is None else without(text, [(s["start"], s["length"]) for s in found or ()]))
         texts, words, removed = zip(*out) if out else ((), (), ())
+        own = [pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())],
-            ["doc_id", "text", "n_words", "n_removed"],
+            [part.column("doc_id"), *own, *(part.column(c) for c in others)],
+            ["doc_id", "text", "n_words", "n_removed", *others],
         )
 
-    schema = "doc_id long, text string, n_words long, n_removed long"
-    return text_only(docs).join(spans, "doc_id", "left").mapInArrow(by_slice(work, "text"), schema)
+    rows = text_only(docs, *others)
+    kinds = "".join(f", `{n}` {kind}" for n, kind in rows.dtypes[2:])
+    schema = "doc_id long, text string, n_words long, n_removed long" + kinds
+    return rows.join(spans, "doc_id", "left").mapInArrow(by_slice(work, "text"), schema)
