@@ -166,13 +166,11 @@ def _against_blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         block = batch.column("block").to_numpy()
         turn = np.flatnonzero(block != block[-1])
         cut_at = int(turn[-1]) + 1 if len(turn) else 0
-        if held and not cut_at and held[-1].column("block")[-1].as_py() == block[0]:
+        if not cut_at and (not held or held[-1].column("block")[-1].as_py() == block[0]):
             held.append(batch)
             continue
-        whole = [*held, batch.slice(0, cut_at)]
-        if held and not cut_at:  # the held block ended with the last batch
-            whole = held
-        yield work(pa.Table.from_batches(whole))
+        # what ends within this batch, or ended with the last one
+        yield work(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
         held = [batch.slice(cut_at)]
     if held:
         yield work(pa.Table.from_batches(held))
