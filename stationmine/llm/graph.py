@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
     found = links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return found.union(links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Edges that connect what the links (left[a[i]], right[b[i]]) connect: one per vector at most.
+
+    The least row number spreads along the links until it stands still; each vector is tied to the
+    left vector whose number it got.
+    """
+    by_b = np.argsort(b, kind="stable")  # links come sorted by a
+    heads = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in (a, b[by_b])]
+    seen_a, seen_b = a[heads[0]], b[by_b][heads[1]]
+    name_a, name_b = np.arange(len(left)), np.zeros(len(right), np.int64)
+    while True:
+        name_b[seen_b] = np.minimum.reduceat(name_a[a[by_b]], heads[1])
+        new = np.minimum.reduceat(name_b[b], heads[0])
+        if (new == name_a[seen_a]).all():
+            break
+        name_a[seen_a] = new
+    return np.concatenate(
+        [np.c_[left[name_a[seen_a]], left[seen_a]], np.c_[left[name_b[seen_b]], right[seen_b]]]
+    )
