@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.operators.clean import day_slots
@@ -110,7 +110,11 @@ def lag_correlation(
     rows = day_slots(status) if by_day_slot else status
     keys = [*by, "station_id"]
     # chunks are small arrays read twice by the pair join; the readings behind them once
-    chunks = cut(_chunks(resample(rows, minutes, "mean", ["bikes_available"], keys), width, minutes * 60, by))
+    series = resample(rows, minutes, "mean", ["bikes_available"], keys)
+    # a correlation is the same for centred values, and their sums lose no digits to a large level
+    mean = F.avg("bikes_available").over(Window.partitionBy(*keys))
+    series = series.withColumn("bikes_available", F.col("bikes_available") - mean)
+    chunks = cut(_chunks(series, width, minutes * 60, by))
     pairs = cut(co_neighbors(cut(nbrs)))
     a = chunks.select(*by, F.col("station_id").alias("a"), "chunk", F.col("at").alias("at_a"),
                       F.col("value").alias("value_a"))
@@ -127,7 +131,7 @@ def lag_correlation(
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
     # variances are differences of large sums: tell a constant series from rounding noise
-    varies = (vx > 1e-9 * n * F.col("sxx")) & (vy > 1e-9 * n * F.col("syy"))
+    varies = (vx > 1e-11 * n * F.col("sxx")) & (vy > 1e-11 * n * F.col("syy"))
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     r = F.when(varies, cov / F.sqrt(vx * vy))
     table = sums.select(*by, "a", "b", "lag_a", "lag_b", r.alias("r"), "n")

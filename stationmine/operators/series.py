@@ -111,14 +111,15 @@ def occupancy(status: DataFrame, low: int = 3) -> DataFrame:
 
 
 def window_flags(status: DataFrame, minutes: int = 15, docks_below: int = 7, thr: int = 0) -> DataFrame:
-    """Per station and bin: has a rise in bikes, an almost full and a full reading."""
-    near = status.filter(
-        (F.col("docks_available") < docks_below) & F.col("bikes_available").isNotNull()
-    ).withColumn("bin", time_bin("time", minutes))
+    """Per station and bin: has a rise in bikes, an almost full and a full reading.
+
+    Full and almost full go by docks alone; readings without bikes take no part in a rise.
+    """
+    near = status.filter(F.col("docks_available") < docks_below).withColumn("bin", time_bin("time", minutes))
     keys = ["station_id", "bin"]
     seconds = with_swings(fold_seconds(near, keys, 3, F.col("docks_available")), keys)
     return seconds.groupBy(*keys).agg(
-        (F.max("rise") > thr).alias("has_increase"),
+        F.coalesce(F.max("rise") > thr, F.lit(False)).alias("has_increase"),
         (F.sum(F.col("n_low") - F.col("n_zero")) > 0).alias("has_almost_full"),
         (F.sum("n_zero") > 0).alias("has_full"),
     )
@@ -242,6 +243,12 @@ def null_audit(status: DataFrame, minutes: int, at: str) -> DataFrame:
     )
 
 
+def null_totals(audit: DataFrame) -> DataFrame:
+    """One row over all stations of an audit: bins, those with a null value, those without."""
+    total, null = F.coalesce(F.sum("n_bins"), F.lit(0)), F.coalesce(F.sum("n_null"), F.lit(0))
+    return audit.agg(total.alias("n_bins"), null.alias("n_null"), (total - null).alias("n_known"))
+
+
 def span(df: DataFrame, first: str = "time", last: str | None = None) -> DataFrame:
     return df.agg(F.min(first).alias("first"), F.max(last or first).alias("last"))
 

@@ -149,7 +149,7 @@ def _is_star_forest(links: DataFrame) -> bool:
     return roles.filter((F.col("n_out") > 1) | ((F.col("n_out") > 0) & (F.col("n") > F.col("n_out")))).isEmpty()
 
 
-def components(edges: DataFrame, min_weight: float, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, min_weight: float) -> DataFrame:
     """(id, component): connected components of the undirected graph with weight > ``min_weight``.
 
     A component is named by its least id.  Rounds alternate between linking larger
@@ -165,7 +165,7 @@ def components(edges: DataFrame, min_weight: float, max_rounds: int = 50) -> Dat
         .select(F.element_at(pair, 2).alias("u"), F.element_at(pair, 1).alias("v"))
         .distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(
@@ -180,8 +180,6 @@ def components(edges: DataFrame, min_weight: float, max_rounds: int = 50) -> Dat
         links = cut(small)
         if _is_star_forest(links):
             break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return nodes.join(links.select(F.col("u").alias("id"), "v"), "id", "left").select(
         "id", F.coalesce("v", "id").alias("component")
     )

@@ -14,6 +14,7 @@ from stationmine.plans.queries import (
     CONF,
     CONFS,
     KS,
+    LAGS,
     MINUTES,
     SPLIT,
     SUPPORT,
@@ -486,8 +487,8 @@ final(
 # --- patterns and rules ------------------------------------------------------------------
 
 
-def patterns_part(p: MineParams, max_items: int, source: str = "fx_valid", support: float = SUPPORT) -> str:
-    """All frequent patterns of up to three items by joining the items of a sequence.
+def patterns_part(p: MineParams, max_items: int = 5, source: str = "fx_valid", support: float = SUPPORT) -> str:
+    """All frequent patterns, grown item by item: a pattern's beginnings are frequent too.
 
     A label names its slot, so a pattern is a set of labels in slot order.
     """
@@ -504,35 +505,32 @@ def patterns_part(p: MineParams, max_items: int, source: str = "fx_valid", suppo
         WHERE label IN (SELECT label FROM {labels} GROUP BY label HAVING count(*) >= (SELECT n FROM {need}))
         """,
     )
-
-    def after(x: str, y: str) -> str:
-        return f"({y}.t > {x}.t OR ({y}.t = {x}.t AND {y}.label > {x}.label))"
-
-    def glue(x: str, y: str) -> str:
-        return f"|| CASE WHEN {x}.t = {y}.t THEN ',' ELSE '-' END || {y}.label"
-
-    pieces = [f"SELECT a.label AS key, 1 AS n_items, 1 AS n_slots FROM {items} a"]
-    pieces.append(
-        f"""
-        SELECT a.label {glue('a', 'b')}, 2, 1 + CAST(a.t <> b.t AS INTEGER)
-        FROM {items} a JOIN {items} b ON a.win = b.win AND a.center = b.center AND {after('a', 'b')}
-        """
-    )
-    if max_items == 3:
-        pieces.append(
+    grown = [
+        part(f"fx_grown_{tag}_1", f"SELECT *, label AS key, 1 AS n_items, 1 AS n_slots FROM {items}"),
+    ]
+    for n in range(2, max_items + 1):
+        longer = part(
+            f"fx_longer_{tag}_{n}",
             f"""
-            SELECT a.label {glue('a', 'b')} {glue('b', 'c')}, 3,
-                   1 + CAST(a.t <> b.t AS INTEGER) + CAST(b.t <> c.t AS INTEGER)
-            FROM {items} a JOIN {items} b ON a.win = b.win AND a.center = b.center AND {after('a', 'b')}
-            JOIN {items} c ON a.win = c.win AND a.center = c.center AND {after('b', 'c')}
-            """
+            SELECT a.win, a.center, b.t, b.label, a.key || CASE WHEN a.t = b.t THEN ',' ELSE '-' END || b.label AS key,
+                   {n} AS n_items, a.n_slots + CAST(a.t <> b.t AS INTEGER) AS n_slots
+            FROM {grown[-1]} a JOIN {items} b
+              ON a.win = b.win AND a.center = b.center AND (b.t > a.t OR (b.t = a.t AND b.label > a.label))
+            """,
         )
+        grown.append(
+            part(
+                f"fx_grown_{tag}_{n}",
+                f"""
+                SELECT * FROM {longer}
+                WHERE key IN (SELECT key FROM {longer} GROUP BY key HAVING count(*) >= (SELECT n FROM {need}))
+                """,
+            )
+        )
+    pieces = " UNION ALL ".join(f"SELECT key, n_items, n_slots FROM {g}" for g in grown)
     return part(
         f"fx_patterns_{tag}",
-        f"""
-        SELECT key, n_items, n_slots, count(*) AS freq FROM ({' UNION ALL '.join(pieces)})
-        GROUP BY ALL HAVING count(*) >= (SELECT n FROM {need})
-        """,
+        f"SELECT key, n_items, n_slots, count(*) AS freq FROM ({pieces}) GROUP BY ALL",
     )
 
 
@@ -555,14 +553,13 @@ def rules_part(patterns: str) -> str:
     )
 
 
-_two = patterns_part(P, 2)
-_three = patterns_part(P, 3)
-_rules = rules_part(_three)
+_all = patterns_part(P)
+_rules = rules_part(_all)
 _cols = "key, antecedent_key, consequent_key, round(conf, 6) AS conf, sup"
 
-final("patterns_len2", f"SELECT key, freq FROM {_two}")
-final("patterns_focal", f"SELECT key, freq FROM {focal_part(_three)}")
-final("rules_len2", f"SELECT {_cols} FROM {rules_part(_two)}")
+final("patterns", f"SELECT key, freq FROM {_all}")
+final("patterns_focal", f"SELECT key, freq FROM {focal_part(_all)}")
+final("rules", f"SELECT {_cols} FROM {_rules}")
 final(
     "rules_by_conf",
     f"""
@@ -582,7 +579,9 @@ final(
     f"""
     SELECT count(*) AS n_patterns, {', '.join(f'CAST({f}(n_{c}) AS BIGINT) AS {f}_{c}' for c in ('items', 'slots') for f in ('min', 'max'))},
            round(sum(sup * n_items) / sum(sup), 6) AS mean_items,
-           round(sum(sup * n_slots) / sum(sup), 6) AS mean_slots, CAST(0 AS BIGINT) AS n_repeated
+           round(sum(sup * n_slots) / sum(sup), 6) AS mean_slots, (SELECT count(*) FROM {focal_part(_all)}
+            WHERE len(list_filter(string_split(key, '-'),
+                  lambda s: len(string_split(s, ',')) <> len(list_distinct(string_split(s, ','))))) > 0) AS n_repeated
     FROM {_rules}
     """,
 )
@@ -598,9 +597,26 @@ final(
     """,
 )
 final(
-    "conf_hist",
+    "conf_hist_whole",
     f"""
-    SELECT CAST(least(floor(conf * 10), 9) AS BIGINT) AS bucket, count(*) AS n_rules FROM {_rules} GROUP BY 1
+    SELECT CAST(b AS BIGINT) AS bucket, count(conf) AS n_rules
+    FROM range(10) r(b) LEFT JOIN {_rules} ON least(floor(conf * 10), 9) = b GROUP BY b
+    """,
+)
+part("fx_rounded", f"SELECT round(conf, 2) AS v FROM {_rules}")
+part(
+    "fx_edges_of_bins",
+    """
+    SELECT min(v) - CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS lo,
+           max(v) + CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS hi FROM fx_rounded
+    """,
+)
+final(
+    "conf_hist",
+    """
+    SELECT CAST(b AS BIGINT) AS bucket,
+           (SELECT count(*) FROM fx_rounded WHERE least(floor((v - lo) / (hi - lo) * 10), 9) = b) AS n_rules
+    FROM range(10) r(b), fx_edges_of_bins
     """,
 )
 _limits = ", ".join(f"({0.3 + i * 0.1:.1f}::DOUBLE)" for i in range(7))
@@ -611,7 +627,7 @@ final(
     FROM (VALUES {_limits}) l(threshold) LEFT JOIN {_rules} ON conf >= threshold GROUP BY threshold
     """,
 )
-_sweep = patterns_part(P, 3, support=0.1)
+_sweep = patterns_part(P, support=0.1)
 final(
     "support_sweep",
     f"""
@@ -632,12 +648,12 @@ final(
 )
 
 _other = rules_part(
-    patterns_part(P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree"), 2)
+    patterns_part(P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree"))
 )
 final(
     "mine_grid",
     f"""
-    SELECT 'Full-AlmostFull' AS extraction, 'Dist' AS neighborhood, {_cols} FROM {rules_part(_two)}
+    SELECT 'Full-AlmostFull' AS extraction, 'Dist' AS neighborhood, {_cols} FROM {_rules}
     UNION ALL SELECT 'Empty-AlmostEmpty', '2', {_cols} FROM {_other}
     """,
 )
@@ -646,7 +662,7 @@ final(
 
 _train = part("fx_valid_train", f"SELECT * FROM fx_valid WHERE time < TIMESTAMP '{SPLIT}'")
 _held = part("fx_valid_test", f"SELECT * FROM fx_valid WHERE time >= TIMESTAMP '{SPLIT}'")
-_train_rules = rules_part(patterns_part(TRAIN, 3, _train))
+_train_rules = rules_part(patterns_part(TRAIN, source=_train))
 _aim = part(
     "fx_aimed",
     f"""
@@ -675,6 +691,17 @@ part(
 )
 
 
+part("fx_several", f"SELECT * FROM {sequences_part(TEST, _held)} WHERE n_slots > 1")
+part(
+    "fx_several_atoms",
+    f"""
+    SELECT DISTINCT win, center, {_atom} AS atom
+    FROM (SELECT win, center, n_slots - i AS back, unnest(string_split(split_part(sequence, '-', i), ',')) AS item
+          FROM fx_several, (VALUES (1), (2)) s(i) WHERE i < n_slots)
+    """,
+)
+
+
 def atoms_part(rules: str) -> str:
     """Atoms of every rule and their number."""
     raw = part(
@@ -690,11 +717,11 @@ def atoms_part(rules: str) -> str:
     return part(f"fx_atoms_{rules}", f"SELECT *, count(*) OVER (PARTITION BY key) AS n_atoms FROM {raw}")
 
 
-def match_part(rules: str) -> str:
+def match_part(rules: str, atoms: str = "fx_seq_atoms") -> str:
     return part(
-        f"fx_match_{rules}",
+        f"fx_match_{rules}_{atoms}",
         f"""
-        SELECT win, center, key FROM fx_seq_atoms JOIN {atoms_part(rules)} USING (atom)
+        SELECT win, center, key FROM {atoms} JOIN {atoms_part(rules)} USING (atom)
         GROUP BY win, center, key, n_atoms HAVING count(*) = n_atoms
         """,
     )
@@ -742,11 +769,11 @@ final(
     SELECT win, center, key,
            CASE WHEN len(string_split(antecedent_key, '-')) = 2
                 THEN split_part(sequence, '-', 1) || '-' || split_part(sequence, '-', 2)
-                ELSE split_part(sequence, '-', 2) END AS matched
+                ELSE split_part(sequence, '-', CAST(n_slots - 1 AS INTEGER)) END AS matched
     FROM (SELECT win, center, key, antecedent_key,
                  row_number() OVER (PARTITION BY win, center ORDER BY conf DESC, sup DESC, key) AS k
-          FROM {_match} JOIN fx_chosen USING (key))
-    JOIN fx_tested USING (win, center) WHERE k = 2
+          FROM {match_part("fx_chosen", "fx_several_atoms")} JOIN fx_chosen USING (key))
+    JOIN fx_several USING (win, center) WHERE k = 2
     """,
 )
 part(
@@ -855,12 +882,21 @@ final(
     "bike_deltas",
     f"SELECT station_id, {as_time('bin')} AS time, round(delta_bikes, 6) + 0.0::DOUBLE AS delta_bikes FROM fx_deltas",
 )
+_sums = binned_part("sum")
+part(
+    "fx_sum_deltas",
+    f"""
+    SELECT * FROM (SELECT station_id, lead(bin) OVER ({_by_bin}) AS bin,
+                          lead(bikes_available) OVER ({_by_bin}) - bikes_available AS delta_bikes FROM {_sums})
+    WHERE bin IS NOT NULL
+    """,
+)
 part(
     "fx_profile",
     f"""
     SELECT *, sum(delta_bikes) OVER (PARTITION BY station_id ORDER BY day_time) AS sum_deltas
     FROM (SELECT station_id, strftime({as_time('bin')}, '%H:%M:%S') AS day_time, avg(delta_bikes) AS delta_bikes
-          FROM fx_deltas GROUP BY ALL)
+          FROM fx_sum_deltas GROUP BY ALL)
     """,
 )
 final(
@@ -899,14 +935,14 @@ final(
 part(
     "fx_window_flags",
     f"""
-    SELECT station_id, bin, max(bikes_available - low) > 0 AS has_increase,
+    SELECT station_id, bin, coalesce(max(bikes_available - low) > 0, false) AS has_increase,
            max(CAST(docks_available > 0 AND docks_available < 3 AS INTEGER)) = 1 AS has_almost_full,
            min(docks_available) = 0 AS has_full
     FROM (SELECT *, {bin_of('time', P.interval)} AS bin,
                  min(bikes_available) OVER (PARTITION BY station_id, {bin_of('time', P.interval)}
                                             ORDER BY {sec('time')}, bikes_available, docks_available
                                             ROWS UNBOUNDED PRECEDING) AS low
-          FROM fx_status WHERE docks_available < 7 AND bikes_available IS NOT NULL)
+          FROM fx_status WHERE docks_available < 7)
     GROUP BY station_id, bin
     """,
 )
@@ -1027,6 +1063,14 @@ final(
     FROM {_mean} WHERE {as_time('bin')} >= TIMESTAMP '{SPLIT}' GROUP BY station_id
     """,
 )
+final(
+    "null_totals",
+    f"""
+    SELECT count(*) AS n_bins, count(*) FILTER (bikes_available IS NULL OR docks_available IS NULL) AS n_null,
+           count(*) FILTER (bikes_available IS NOT NULL AND docks_available IS NOT NULL) AS n_known
+    FROM {_mean} WHERE {as_time('bin')} >= TIMESTAMP '{SPLIT}'
+    """,
+)
 final("span", 'SELECT min(start_date) AS "first", max(end_date) AS "last" FROM fx_trip')
 
 # --- correlation -------------------------------------------------------------------------
@@ -1075,8 +1119,8 @@ def corr_sql(bins: str, nbrs: str, width: int, by: str = "") -> str:
     sums = part(
         f"fx_corr_{bins}_{nbrs}",
         f"""
-        SELECT {tag} a, x.lag AS lag_a, b, y.lag AS lag_b, count(*) AS n, sum(x.v) AS sx, sum(y.v) AS sy,
-               sum(x.v * x.v) AS sxx, sum(y.v * y.v) AS syy, sum(x.v * y.v) AS sxy
+        SELECT {tag} a, x.lag AS lag_a, b, y.lag AS lag_b, count(*) AS n,
+               CASE WHEN min(x.v) < max(x.v) AND min(y.v) < max(y.v) THEN corr(x.v, y.v) END AS r
         FROM (SELECT DISTINCT a, b FROM {pairs})
         JOIN {series} x ON x.station_id = a JOIN {series} y ON y.station_id = b AND x.bin = y.bin {same}
         WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY ALL
@@ -1085,16 +1129,15 @@ def corr_sql(bins: str, nbrs: str, width: int, by: str = "") -> str:
     out = f"{by}, " if by else ""
     return f"""
     SELECT {out} center, a, CAST(lag_a AS BIGINT) AS lag_a, b, CAST(lag_b AS BIGINT) AS lag_b, n,
-           round(CASE WHEN n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy
-                 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END, 6) + 0.0::DOUBLE AS r
+           round(r, 6) + 0.0::DOUBLE AS r
     FROM {sums} JOIN {pairs} USING (a, b)
     """
 
 
-final("lag_corr", corr_sql(_mean, "fx_nbrs_in", WIDTH))
+final("lag_corr", corr_sql(_mean, "fx_nbrs_in", LAGS))
 final(
     "lag_corr_slot",
-    corr_sql(binned_part("avg", 1440, "fx_day_slots", "day_slot"), "fx_nbrs_both", 2, "day_slot"),
+    corr_sql(binned_part("avg", 1440, "fx_day_slots", "day_slot"), "fx_nbrs_both", LAGS, "day_slot"),
 )
 
 # --- trips and graph ---------------------------------------------------------------------
@@ -1163,7 +1206,7 @@ final(
     "top_per_city",
     """
     SELECT *, row_number() OVER (PARTITION BY city ORDER BY w_in DESC, station) AS rank FROM fx_degrees
-    QUALIFY rank <= 3
+    QUALIFY rank <= 5
     """,
 )
 final(

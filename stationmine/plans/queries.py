@@ -14,7 +14,7 @@ from stationmine.operators import neighbors as nb
 from stationmine.operators import patterns as pt
 from stationmine.operators import sequences as sq
 from stationmine.params import EXTRACTION_TYPES, MineParams
-from stationmine.scale import cut
+from stationmine.scale import cut, join_small
 from stationmine.sources.fixture import Fixture
 from stationmine.sources.sinks import rules_to_line, stamp
 
@@ -26,6 +26,7 @@ SPLIT = "2024-01-20 00:00:00"
 SUPPORT = 0.1
 MINUTES = 360
 WIDTH = 3
+LAGS = 5
 TARGET = "AlmostFull"
 CONF = 0.3
 CONFS = [0.2, 0.3, 0.4]
@@ -159,7 +160,7 @@ query("neighbors_trips")(lambda fx: nb.trip_neighbors(edges(fx), fx.station, P.n
 def _(fx: Fixture) -> DataFrame:
     found = cut(_states(fx))
     seen = sq.labelled_items(found, nb.neighbors(fx.station, P))
-    timed = seen.join(windows.window_map(found, P.window_size), "slot")
+    timed = join_small(seen, windows.window_map(found, P.window_size), ["slot"])
     label = F.concat(F.col("state"), F.lit("_T"), F.col("t"), F.lit("_"), F.col("delta"))
     return timed.select("win", "center", "t", label.alias("label")).distinct()
 
@@ -200,7 +201,7 @@ def _(fx: Fixture) -> DataFrame:
 # --- patterns and rules ------------------------------------------------------------------
 
 
-def mined(fx: Fixture, p: MineParams = P, max_items: int = 3, status: DataFrame | None = None) -> DataFrame:
+def mined(fx: Fixture, p: MineParams = P, max_items: int = 5, status: DataFrame | None = None) -> DataFrame:
     return pt.frequent_patterns(sequences(fx, p, status), SUPPORT, max_items)
 
 
@@ -210,24 +211,25 @@ def mined_rules(fx: Fixture, p: MineParams = P, status: DataFrame | None = None)
 
 _RULE = ["key", "antecedent_key", "consequent_key", "conf", "sup"]
 
-query("patterns_len2")(lambda fx: mined(fx, max_items=2).select("key", "freq"))
+query("patterns")(lambda fx: mined(fx).select("key", "freq"))
 query("patterns_focal")(lambda fx: pt.focal(mined(fx)).select("key", "freq"))
-query("rules_len2")(lambda fx: pt.rules(mined(fx, max_items=2)).select(*_RULE))
+query("rules")(lambda fx: mined_rules(fx).select(*_RULE))
 query("rules_by_conf")(lambda fx: pt.rank_rules(mined_rules(fx), "conf").select("rank", "key", "conf", "sup"))
 query("rules_by_sup")(lambda fx: pt.rank_rules(mined_rules(fx), "sup").select("rank", "key", "conf", "sup"))
 query("pattern_stats")(lambda fx: pt.pattern_stats(mined(fx)))
 query("rules_mixed")(lambda fx: pt.mixed_state(mined_rules(fx), P.extraction_type).select(*_RULE))
 query("rules_influence")(lambda fx: pt.influence(mined_rules(fx)).select(*_RULE))
+query("conf_hist_whole")(lambda fx: pt.conf_hist(mined_rules(fx), whole=True))
 query("conf_hist")(lambda fx: pt.conf_hist(mined_rules(fx)))
 query("conf_curve")(lambda fx: pt.conf_curve(mined_rules(fx), CONF))
-query("support_sweep")(lambda fx: pt.support_sweep(sequences(fx, P), [0.1, 0.2, 0.3], 3))
+query("support_sweep")(lambda fx: pt.support_sweep(sequences(fx, P), [0.1, 0.2, 0.3]))
 query("rule_lines")(lambda fx: rules_to_line(mined_rules(fx)).select("key", "sup", "line"))
 
 
 @query("mine_grid")
 def _(fx: Fixture) -> DataFrame:
     both = [P, P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree")]
-    return grid.mine_grid(fx.status, fx.station, both, SUPPORT, small_edges(fx), 2).select(
+    return grid.mine_grid(fx.status, fx.station, both, SUPPORT, small_edges(fx)).select(
         "extraction", "neighborhood", *_RULE
     )
 
@@ -247,6 +249,11 @@ def labelled_test(fx: Fixture) -> DataFrame:
     return cl.label_sequences(found, TARGET, P.window_size)
 
 
+def several_slots(fx: Fixture) -> DataFrame:
+    """Test sequences of two slots or more, with a label or without."""
+    return sequences(fx, TEST, split_status(fx, "test")).filter(F.size("sequence") > 1)
+
+
 def train_rules(fx: Fixture) -> DataFrame:
     return mined_rules(fx, TRAIN, split_status(fx, "train"))
 
@@ -263,7 +270,7 @@ query("rule_matches")(lambda fx: cl.rule_matches(labelled_test(fx), aimed(fx)))
 query("predictions")(lambda fx: cl.predict(labelled_test(fx), aimed(fx), TARGET))
 query("confusion")(lambda fx: cl.confusion(cl.predict(labelled_test(fx), aimed(fx), TARGET), TARGET))
 query("metrics")(lambda fx: cl.metrics(cl.confusion(cl.predict(labelled_test(fx), aimed(fx), TARGET), TARGET)))
-query("match_log")(lambda fx: cl.explain_matches(labelled_test(fx), aimed(fx), 2))
+query("match_log")(lambda fx: cl.explain_matches(several_slots(fx), aimed(fx), 2))
 query("baseline_persistence")(
     lambda fx: cl.metrics(
         cl.confusion(cl.predict(labelled_test(fx), cl.persistence_rule(fx.spark, TARGET), TARGET), TARGET)
@@ -286,7 +293,7 @@ query("next_label")(lambda fx: stamp(series.next_label(mean_series(fx))).select(
 
 
 def profile(fx: Fixture) -> DataFrame:
-    return series.daily_profile(series.deltas(mean_series(fx)))
+    return series.daily_profile(series.deltas(series.resample(fx.status, MINUTES, "sum")))
 
 
 query("bike_deltas")(lambda fx: stamp(series.deltas(mean_series(fx))))
@@ -304,6 +311,7 @@ query("net_flow")(lambda fx: stamp(series.net_flow(fx.trip, MINUTES)))
 query("rebuild_status")(lambda fx: stamp(series.rebuild_status(fx.status, fx.trip, MINUTES)))
 query("rebuild_reset")(lambda fx: stamp(series.rebuild_status(fx.status, fx.trip, MINUTES, reset=True)))
 query("null_audit")(lambda fx: series.null_audit(fx.status, MINUTES, SPLIT))
+query("null_totals")(lambda fx: series.null_totals(series.null_audit(fx.status, MINUTES, SPLIT)))
 query("span")(lambda fx: series.span(fx.trip, "start_date", "end_date"))
 
 # --- correlation -------------------------------------------------------------------------
@@ -316,11 +324,11 @@ query("neighborhood_wide")(
     )
 )
 query("lag_corr")(
-    lambda fx: correlation.lag_correlation(fx.status, nb.graph_neighbors(edges(fx), "in"), MINUTES, WIDTH)
+    lambda fx: correlation.lag_correlation(fx.status, nb.graph_neighbors(edges(fx), "in"), MINUTES, LAGS)
 )
 query("lag_corr_slot")(
     lambda fx: correlation.lag_correlation(
-        fx.status, nb.graph_neighbors(small_edges(fx), "both"), 1440, 2, by_day_slot=True
+        fx.status, nb.graph_neighbors(small_edges(fx), "both"), 1440, LAGS, by_day_slot=True
     )
 )
 
@@ -346,7 +354,7 @@ def degree_table(fx: Fixture) -> DataFrame:
 query("degrees")(degree_table)
 query("top_stations")(lambda fx: trips.top_stations(degree_table(fx)))
 query("bottom_stations")(lambda fx: trips.top_stations(degree_table(fx), bottom=True))
-query("top_per_city")(lambda fx: trips.top_per_group(degree_table(fx), 3))
+query("top_per_city")(lambda fx: trips.top_per_group(degree_table(fx)))
 query("self_loops")(lambda fx: trips.self_loops(edges(fx)))
 query("hourly_share")(lambda fx: trips.hourly_share(fx.trip))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time
+from stationmine.sources.readers import METRICS_SCHEMA
 
 # The two header lines of the rule text form.
 RULE_HEADER = "Pattern, Confidence-Frequence"
@@ -78,7 +79,12 @@ def write_status(status: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").option("header", True).csv(path)
+    """Appends the columns of METRICS_SCHEMA in its order; a missing one is an error, others are left out."""
+    kinds = [x.split() for x in METRICS_SCHEMA.split(", ")]
+    missing = {name for name, _ in kinds} - set(metrics.columns)
+    if missing:
+        raise ValueError(f"metrics without {', '.join(sorted(missing))}")
+    metrics.select(*[F.col(name).cast(kind) for name, kind in kinds]).write.mode("append").option("header", True).csv(path)
 
 
 def stamp(df: DataFrame, bin_col: str = "bin") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from stationmine.operators import patterns as pt
@@ -114,8 +115,12 @@ def test_histogram_and_curve(mined):
     seqs, patterns = mined
     rules = pt.rules(patterns)
     confs = [c for c, _ in plain_rules(enumerate_patterns(seqs, 0.1, 3)).values()]
-    hist = dict(tuples(pt.conf_hist(rules), "bucket", "n_rules"))
-    assert hist == {b: n for b in range(10) if (n := sum(min(int(c * 10), 9) == b for c in confs))}
+    hist = dict(tuples(pt.conf_hist(rules, whole=True), "bucket", "n_rules"))
+    assert hist == {b: sum(min(int(c * 10), 9) == b for c in confs) for b in range(10)}
+    hist = [n for _, n in tuples(pt.conf_hist(rules), "bucket", "n_rules")]
+    assert hist == np.histogram([round(c, 2) for c in confs], 10)[0].tolist()
+    assert sum(n for _, n in tuples(pt.conf_hist(rules.limit(1)), "bucket", "n_rules")) == 1
+    assert pt.conf_hist(rules.limit(0)).count() == 0
     curve = tuples(pt.conf_curve(rules, 0.5), "threshold", "n_rules")
     assert curve == [(t, sum(c >= t for c in confs)) for t in (0.5, 0.6, 0.7, 0.8, 0.9)]
 
