@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.operators.classify import confusion, metrics
+from stationmine.operators.clean import skip_first
 from stationmine.operators.series import VALUES, lags, next_label, resample
-from stationmine.scale import join_small
+from stationmine.scale import cut, join_small, shared_dir
 
 # The two labels.
 POSITIVE, NEGATIVE = "QP", "N"
@@ -37,49 +40,55 @@ GRIDS = {
 SCORERS = {"recall": "recallByLabel", "precision": "precisionByLabel", "f1": "fMeasureByLabel"}
 
 
-def feature_table(
-    status: DataFrame, station: DataFrame, minutes: int, width: int, limit: int = 2
-) -> DataFrame:
-    """(station_id, city, bin, own, features, status) for every station as the one to predict.
+def station_rows(status: DataFrame, station: DataFrame, minutes: int, width: int, limit: int = 2) -> DataFrame:
+    """(station_id, city, bin, own, status) for all bins whose lags are known.
 
-    ``features`` holds, by station of the same city and from the oldest lag to the newest,
-    mean docks and bikes; ``own`` is the station's share of it.  Only bins where all of
-    them and the label are known are kept.  Features do not depend on the station to
-    predict, so they are built once per city and bin and each label is joined to them.
+    ``own`` holds mean docks and bikes from the oldest lag to the newest; the label may be null.
     """
     city = station.select(F.col("id").alias("station_id"), "city")
-    size = station.groupBy("city").agg(F.count(F.lit(1)).alias("n_stations"))
     labelled = next_label(resample(status, minutes, "mean"), limit)
     ordered = [f"{c}_T{i}" for i in reversed(range(width)) for c in reversed(VALUES)]
-    own = F.array(*[F.col(c) for c in ordered])
-    rows = lags(labelled, VALUES, width).select("station_id", "bin", "status", own.alias("own"))
-    rows = join_small(rows.filter(F.forall("own", lambda x: x.isNotNull())), city, ["station_id"])
-    merged = (
+    rows = lags(labelled, VALUES, width).select(
+        "station_id", "bin", "status", F.array(*[F.col(c) for c in ordered]).alias("own")
+    )
+    return join_small(rows.filter(F.forall("own", lambda x: x.isNotNull())), city, ["station_id"])
+
+
+def city_vectors(rows: DataFrame, station: DataFrame) -> DataFrame:
+    """(city, bin, features): what all stations of a city hold, in order of their ids; bins that miss one are left out."""
+    size = station.groupBy("city").agg(F.count(F.lit(1)).alias("n_stations"))
+    return (
         rows.groupBy("city", "bin")
-        .agg(F.array_sort(F.collect_list(F.struct("station_id", "own", "status"))).alias("members"))
+        .agg(F.array_sort(F.collect_list(F.struct("station_id", "own"))).alias("members"))
         .join(size, "city")
         .filter(F.size("members") == F.col("n_stations"))
+        .select("city", "bin", F.flatten(F.transform("members", lambda m: m["own"])).alias("features"))
     )
-    features = F.flatten(F.transform("members", lambda m: m["own"]))
+
+
+def feature_table(
+    status: DataFrame, station: DataFrame, minutes: int, width: int, limit: int = 2, only: list[int] | None = None
+) -> DataFrame:
+    """(station_id, city, bin, own, features, status) for every station as the one to predict.
+
+    ``features`` is the vector of the station's city. It does not depend on the station to predict, so
+    it is built once per city and bin, and joined to the labels of the stations asked for (``only``; else all).
+    """
+    rows = station_rows(status, station, minutes, width, limit)
+    asked = rows if only is None else rows.filter(F.col("station_id").isin(only))
     return (
-        merged.select("city", "bin", features.alias("features"), F.explode("members").alias("m"))
-        .select("m.station_id", "city", "bin", "m.own", "features", "m.status")
-        .filter(F.col("status").isNotNull())
+        asked.filter(F.col("status").isNotNull())
+        .join(city_vectors(rows, station), ["city", "bin"])
+        .select("station_id", "city", "bin", "own", "features", "status")
     )
 
 
-def network_features(table: DataFrame) -> DataFrame:
+def network_features(table: DataFrame, width: int) -> DataFrame:
     """Features of fixed width for one model over all stations: the station's own values and
-    the mean over its city for each of them."""
-    own, all_ = F.col("own"), F.col("features")
-    width = F.size(own)
-    members = F.size(all_) / width
-
-    def city_mean(_, i):
-        mine = F.filter(all_, lambda x, j: j % width == i)
-        return F.aggregate(mine, F.lit(0.0), lambda s, x: s + x) / members
-
-    return table.withColumn("features", F.concat(own, F.transform(own, city_mean)))
+    the mean over its city for each of them, from one grouped mean per city and bin."""
+    n = width * len(VALUES)
+    means = table.groupBy("city", "bin").agg(F.array(*[F.avg(F.col("own")[i]) for i in range(n)]).alias("city_mean"))
+    return table.join(means, ["city", "bin"]).withColumn("features", F.concat("own", "city_mean")).drop("city_mean")
 
 
 def class_weights(table: DataFrame, by: tuple = ("station_id",)) -> DataFrame:
@@ -92,7 +101,8 @@ def class_weights(table: DataFrame, by: tuple = ("station_id",)) -> DataFrame:
 
 
 def with_weights(table: DataFrame, by: tuple = ("station_id",)) -> DataFrame:
-    return join_small(table, class_weights(table, by).select(*by, "status", "weight"), [*by, "status"])
+    # weights are cut before their rows are counted, so that the table behind them is not run for that again
+    return join_small(table, cut(class_weights(table, by).select(*by, "status", "weight")), [*by, "status"])
 
 
 def to_vectors(table: DataFrame) -> DataFrame:
@@ -128,16 +138,47 @@ def fit(train: DataFrame, kind: str, weighted: bool = False, **params) -> Pipeli
     return Pipeline(stages=[classifier(kind, weighted, **params), _named()]).fit(to_vectors(train))
 
 
+class Constant:
+    """Stands for a model where training rows have one label only."""
+
+    def __init__(self, label: str):
+        self.label = label
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("y_pred", F.lit(self.label)).withColumn("y_true", F.col("status"))
+
+
 def fit_stations(
     train: DataFrame, stations: list[int], kind: str, parallelism: int = 4, **params
-) -> dict[int, PipelineModel]:
-    """One model per station of ``stations``; fits run side by side as Spark jobs."""
-
-    def one(s: int) -> PipelineModel:
-        return fit(train.filter(F.col("station_id") == s), kind, **params)
+) -> dict[int, PipelineModel | Constant]:
+    """One model per station of ``stations``; fits run side by side as Spark jobs.
 
+    Rows are written once, in a folder per station, so a fit reads its own rows only. Stations without rows have no model.
+    """
+    path = f"{shared_dir(train.sparkSession).rstrip('/')}/stationmine/{uuid.uuid4().hex}"
+    train.filter(F.col("station_id").isin(stations)).repartition("station_id").write.partitionBy("station_id").parquet(path)
+    parted = train.sparkSession.read.schema(train.schema).parquet(path)
+    labels = {
+        r["station_id"]: r["labels"]
+        for r in parted.groupBy("station_id").agg(F.collect_set("status").alias("labels")).collect()
+    }
+
+    def one(s: int) -> PipelineModel | Constant:
+        if len(labels[s]) == 1:
+            return Constant(labels[s][0])
+        return fit(parted.filter(F.col("station_id") == s), kind, **params)
+
+    known = [s for s in stations if s in labels]
     with ThreadPool(parallelism) as pool:
-        return dict(zip(stations, pool.map(one, stations)))
+        return dict(zip(known, pool.map(one, known)))
+
+
+def stations_confusion(models: dict[int, PipelineModel | Constant], test: DataFrame) -> DataFrame:
+    """Counts per station, each predicted by its own model; a station without model or rows has no row."""
+    if not models:
+        return station_confusion(persistence(test.limit(0)))
+    found = [predictions(m, test.filter(F.col("station_id") == s)) for s, m in models.items()]
+    return station_confusion(reduce(DataFrame.unionByName, found))
 
 
 def predictions(model: PipelineModel, test: DataFrame) -> DataFrame:
@@ -169,25 +210,56 @@ def tune(
     kind: str,
     scorer: str,
     grid: dict | None = None,
-    weighted: bool = False,
+    class_weight: tuple[bool, ...] | None = None,
     folds: int = 3,
     parallelism: int = 4,
 ) -> CrossValidatorModel:
-    """Grid search by cross validation on recall, precision or f1 of QP."""
-    model = classifier(kind, weighted)
-    builder = ParamGridBuilder()
-    for name, values in (grid or GRIDS[kind]).items():
-        builder = builder.addGrid(model.getParam(name), values)
+    """Grid search by cross validation on recall, precision or f1 of QP.
+
+    ``class_weight`` is an axis of the grid: without and with balanced weights (column ``weight``) for
+    single trees and forests, without for boosting, unless given. The best search of the axis is returned.
+    """
+    axis = class_weight if class_weight is not None else (False,) if kind == "gbt" else (False, True)
+    rows = to_vectors(with_weights(train, ()) if True in axis and "weight" not in train.columns else train)
     evaluator = MulticlassClassificationEvaluator(metricName=SCORERS[scorer], metricLabel=1.0)
-    search = CrossValidator(
-        estimator=Pipeline(stages=[model, _named()]),
-        estimatorParamMaps=builder.build(),
-        evaluator=evaluator,
-        numFolds=folds,
-        seed=42,
-        parallelism=parallelism,
-    )
-    return search.fit(to_vectors(train))
+    found = []
+    for weighted in axis:
+        model = classifier(kind, weighted)
+        builder = ParamGridBuilder()
+        for name, values in (grid or GRIDS[kind]).items():
+            builder = builder.addGrid(model.getParam(name), values)
+        search = CrossValidator(
+            estimator=Pipeline(stages=[model, _named()]),
+            estimatorParamMaps=builder.build(),
+            evaluator=evaluator,
+            numFolds=folds,
+            seed=42,
+            parallelism=parallelism,
+        )
+        found.append(search.fit(rows))
+    return max(found, key=lambda m: max(m.avgMetrics))
+
+
+def tuned_comparison(
+    train: DataFrame, test: DataFrame, stations: list[int], kinds: dict[str, str], grids: dict | None = None, **options
+) -> DataFrame:
+    """Overall metrics per scorer and classifier: one tuned model per station, tested without its first three rows."""
+    rest = skip_first(test, 3, order="bin")
+    out = []
+    for scorer in SCORERS:
+        results = {}
+        for name, kind in kinds.items():
+            models = {}
+            for s in stations:
+                own = train.filter(F.col("station_id") == s)
+                labels = [r["status"] for r in own.select("status").distinct().collect()]
+                if len(labels) == 1:
+                    models[s] = Constant(labels[0])
+                elif labels:
+                    models[s] = tune(own, kind, scorer, (grids or {}).get(kind), **options).bestModel
+            results[name] = micro_average(stations_confusion(models, rest))
+        out.append(comparison(results).withColumn("scorer", F.lit(scorer)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def comparison(results: dict[str, DataFrame]) -> DataFrame:

@@ -11,11 +11,13 @@ import re
 
 from stationmine.params import EXTRACTION_TYPES, MineParams
 from stationmine.plans.queries import (
+    CITY,
     CONF,
     CONFS,
     KS,
     LAGS,
     MINUTES,
+    MODELS,
     SPLIT,
     SUPPORT,
     TARGET,
@@ -1289,5 +1291,25 @@ final(
 )
 
 
+part(
+    "fx_scored",
+    f"""
+    SELECT station_id, count(*) AS n_rows, count(*) FILTER (status = 'QP') AS n_positive FROM fx_features
+    WHERE city = '{CITY}' AND {as_time('bin')} >= TIMESTAMP '{SPLIT}'
+      AND station_id IN (SELECT station_id FROM fx_features WHERE {as_time('bin')} < TIMESTAMP '{SPLIT}')
+    GROUP BY station_id
+    """,
+)
+for _key in ("dt", "rf", "gbt"):
+    final(f"{_key}_confusion", "SELECT * FROM fx_scored")
+final(
+    "classifier_comparison",
+    f"""
+    SELECT classifier, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n_positive) AS BIGINT) AS n_positive
+    FROM fx_scored, (VALUES {', '.join(f"('{m}')" for m in MODELS)}) m(classifier) GROUP BY classifier
+    """,
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {key: _with_parts(sql) for key, sql in _final.items()}

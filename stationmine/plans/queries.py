@@ -378,10 +378,25 @@ def features(fx: Fixture) -> DataFrame:
     return ml.feature_table(fx.status, fx.station, DAY, WIDTH)
 
 
-def feature_splits(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+CITY = "San Francisco"
+#: Sizes of the models: a tree as deep as Spark allows, a hundred such trees, a hundred rounds of depth six.
+MODELS = {
+    "DecisionTree": ("dt", {"maxDepth": 30}),
+    "RandomForest": ("rf", {"numTrees": 100, "maxDepth": 30}),
+    "BoostedTrees": ("gbt", {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}),
+}
+
+
+def city_stations(fx: Fixture) -> list[int]:
+    """Stations of one city, each to get a model of its own."""
+    return [r["id"] for r in fx.station.filter(F.col("city") == CITY).select("id").orderBy("id").collect()]
+
+
+def station_splits(fx: Fixture) -> tuple[DataFrame, DataFrame, list[int]]:
+    ids = city_stations(fx)
     # models read their rows many times: written once
-    rows = cut(ml.network_features(features(fx)).withColumn("time", bin_time("bin")))
-    return clean.before(rows, SPLIT), clean.since(rows, SPLIT)
+    rows = cut(ml.feature_table(fx.status, fx.station, DAY, WIDTH, only=ids).withColumn("time", bin_time("bin")))
+    return clean.before(rows, SPLIT), clean.since(rows, SPLIT), ids
 
 
 @query("feature_table")
@@ -390,14 +405,22 @@ def _(fx: Fixture) -> DataFrame:
     return stamp(features(fx)).select("station_id", "city", "time", text.alias("features"), "status")
 
 
-def scored(fx: Fixture, kind: str, **params) -> DataFrame:
-    train, test = feature_splits(fx)
-    return ml.station_confusion(ml.predictions(ml.fit(train, kind, **params), test))
+def scored(splits: tuple[DataFrame, DataFrame, list[int]], name: str) -> DataFrame:
+    train, test, ids = splits
+    kind, params = MODELS[name]
+    return ml.stations_confusion(ml.fit_stations(train, ids, kind, **params), test)
 
 
-query("dt_confusion")(lambda fx: scored(fx, "dt"))
-query("rf_confusion")(lambda fx: scored(fx, "rf"))
-query("gbt_confusion")(lambda fx: scored(fx, "gbt", maxIter=10))
+def support_of(confusion: DataFrame, *by: str) -> DataFrame:
+    """Rows tested and those that were positive, which do not depend on a model's choices."""
+    return confusion.groupBy(*by).agg(
+        F.sum(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n_rows"),
+        F.sum(F.col("tp") + F.col("fn")).alias("n_positive"),
+    )
+
+
+for _name, _key in zip(MODELS, ("dt", "rf", "gbt")):
+    query(f"{_key}_confusion")(lambda fx, name=_name: support_of(scored(station_splits(fx), name), "station_id"))
 query("station_metrics")(lambda fx: cl.metrics(ml.station_confusion(ml.persistence(features(fx)))))
 query("micro_metrics")(lambda fx: ml.micro_average(ml.station_confusion(ml.persistence(features(fx)))))
 query("class_weights")(lambda fx: ml.class_weights(features(fx)))
@@ -405,14 +428,9 @@ query("class_weights")(lambda fx: ml.class_weights(features(fx)))
 
 @query("classifier_comparison")
 def _(fx: Fixture) -> DataFrame:
-    train, test = feature_splits(fx)
-    kinds = {"DecisionTree": ("dt", {}), "RandomForest": ("rf", {}), "BoostedTrees": ("gbt", {"maxIter": 10})}
-    return ml.comparison(
-        {
-            name: ml.micro_average(ml.station_confusion(ml.predictions(ml.fit(train, kind, **params), test)))
-            for name, (kind, params) in kinds.items()
-        }
-    )
+    splits = station_splits(fx)
+    found = ml.comparison({name: scored(splits, name) for name in MODELS})
+    return support_of(found, "classifier")
 
 
 def queries() -> dict[str, Query]:

@@ -28,7 +28,7 @@ def test_feature_table_by_hand(spark):
     assert [(r.station_id, r.status) for r in got] == [(1, "N"), (2, "N")]
     assert got[0].features == [2.0, 12.0, 3.0, 13.0, 2.0, 22.0, 3.0, 23.0]
     assert got[1].own == [2.0, 22.0, 3.0, 23.0]
-    wide = ml.network_features(spark.createDataFrame(got)).orderBy("station_id").first()
+    wide = ml.network_features(spark.createDataFrame(got), 2).orderBy("station_id").first()
     assert wide.features == [2.0, 12.0, 3.0, 13.0, 2.0, 17.0, 3.0, 18.0]
 
 
@@ -41,7 +41,7 @@ def test_class_weights(spark):
 
 @pytest.mark.parametrize("kind,params", [("dt", {"maxDepth": 3}), ("rf", {"numTrees": 5}), ("gbt", {"maxIter": 2})])
 def test_fit_save_and_load(spark, table, tmp_path, kind, params):
-    train, test = (ml.network_features(x) for x in table)
+    train, test = (ml.network_features(x, q.WIDTH) for x in table)
     model = ml.fit(train, kind, **params)
     model.write().overwrite().save(str(tmp_path / kind))
     again = PipelineModel.load(str(tmp_path / kind))
@@ -63,12 +63,33 @@ def test_one_model_per_station(table):
 
 @pytest.mark.parametrize("scorer", ["recall", "precision", "f1"])
 def test_tuning(table, scorer):
-    train = ml.with_weights(ml.network_features(table[0]), by=())
-    found = ml.tune(train, "dt", scorer, {"maxDepth": [2, 3], "impurity": ["gini"]}, weighted=True)
+    train = ml.with_weights(ml.network_features(table[0], q.WIDTH), by=())
+    found = ml.tune(train, "dt", scorer, {"maxDepth": [2, 3], "impurity": ["gini"]})
     assert len(found.avgMetrics) == 2 and all(0 <= m <= 1 for m in found.avgMetrics)
     assert found.bestModel.transform(ml.to_vectors(train)).select("y_pred").count() == train.count()
 
 
+def test_counts_of_station_models(table):
+    train, test = table
+    ids = [r.station_id for r in train.select("station_id").distinct().orderBy("station_id").head(2)]
+    got = {r.station_id: r for r in ml.stations_confusion(ml.fit_stations(train, [*ids, -5], "dt", maxDepth=3), test).collect()}
+    assert set(got) == set(ids)
+    for s in ids:
+        mine = test.filter(F.col("station_id") == s)
+        assert sum(got[s][c] for c in ("tp", "tn", "fp", "fn")) == mine.count()
+        assert got[s].tp + got[s].fn == mine.filter("status = 'QP'").count()
+
+
+def test_tuned_comparison(table):
+    train, test = table
+    ids = [r.station_id for r in train.select("station_id").distinct().orderBy("station_id").head(1)]
+    grids = {"dt": {"maxDepth": [2], "impurity": ["gini", "entropy"]}}
+    got = ml.tuned_comparison(train, test, ids, {"DecisionTree": "dt"}, grids).collect()
+    assert sorted((r.scorer, r.classifier) for r in got) == [(s, "DecisionTree") for s in sorted(ml.SCORERS)]
+    n = clean.skip_first(test.filter(F.col("station_id").isin(ids)), 3, order="bin").count()
+    assert all(r.tp + r.tn + r.fp + r.fn == n for r in got)
+
+
 def test_skip_first(spark):
     df = spark.createDataFrame([(s, b) for s in (1, 2) for b in range(5)], "station_id long, bin long")
     assert tuples(clean.skip_first(df), "station_id", "bin") == [(1, 3), (1, 4), (2, 3), (2, 4)]
