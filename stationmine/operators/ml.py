@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from stationmine.operators.classify import confusion, metrics
 from stationmine.operators.clean import skip_first
 from stationmine.operators.series import VALUES, lags, next_label, resample
-from stationmine.scale import cut, join_small, shared_dir
+from stationmine.scale import cut, fresh_path, join_small
 
 # The two labels.
 POSITIVE, NEGATIVE = "QP", "N"
@@ -155,7 +154,7 @@ def fit_stations(
 
     Rows are written once, in a folder per station, so a fit reads its own rows only. Stations without rows have no model.
     """
-    path = f"{shared_dir(train.sparkSession).rstrip('/')}/stationmine/{uuid.uuid4().hex}"
+    path = fresh_path(train.sparkSession)
     train.filter(F.col("station_id").isin(stations)).repartition("station_id").write.partitionBy("station_id").parquet(path)
     parted = train.sparkSession.read.schema(train.schema).parquet(path)
     labels = {

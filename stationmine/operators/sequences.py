@@ -72,7 +72,10 @@ def _gather_bits(
     distance shifts the mask, and all aggregations hash fixed-width rows.  Labels are spelled
     out only for the centres that have a state in T0.
     """
-    bit = F.expr("CASE state " + " ".join(f"WHEN '{s}' THEN {1 << i}L" for s, i in bits.items()) + " END")
+    cases = " ".join(f"WHEN '{s}' THEN {1 << i}L" for s, i in bits.items())
+    # a state without a bit must not vanish: the other path would keep it
+    unknown = "IF(state IS NULL, NULL, raise_error(concat('unknown state ', state)))"
+    bit = F.expr(f"CASE state {cases} ELSE {unknown} END")
     masks = states.groupBy("slot", "station_id").agg(
         F.coalesce(F.bit_or(F.when(role_filter(p, F.lit(True)), bit)), F.lit(0)).alias("own"),
         F.bit_or(F.when(role_filter(p, F.lit(False)), bit)).alias("seen"),

@@ -18,6 +18,8 @@ from stationmine.plans.queries import (
     LAGS,
     MINUTES,
     MODELS,
+    PIVOT_CENTER,
+    PIVOT_STATIONS,
     SPLIT,
     SUPPORT,
     TARGET,
@@ -649,6 +651,7 @@ final(
     """,
 )
 
+final("rules_text_roundtrip", f"SELECT key, round(conf, 6) AS conf, sup FROM {_rules}")
 _other = rules_part(
     patterns_part(P.but(extraction_type="Empty-AlmostEmpty", n_neighbors=2, neighborhood="indegree"))
 )
@@ -816,6 +819,15 @@ final(
     metrics_sql("fx_grid", "confidence_threshold, CAST(match_threshold AS BIGINT) AS match_threshold, n_rules,"),
 )
 
+final(
+    "metrics_roundtrip",
+    metrics_sql(
+        "fx_grid",
+        "'Full-AlmostFull_wrapped' AS extraction, 'Dist' AS neighborhood, confidence_threshold, "
+        "CAST(match_threshold AS BIGINT) AS match_threshold,",
+    ),
+)
+
 # --- series ------------------------------------------------------------------------------
 
 
@@ -1099,6 +1111,19 @@ final(
 )
 
 
+final(
+    "neighborhood_pivot",
+    f"""
+    SELECT {as_time('bin')} AS time, {', '.join(
+        f'round(max(T{i}) FILTER (station_id = {s}), 6) AS "{s}_T{i}"' for s in PIVOT_STATIONS for i in range(WIDTH))}
+    FROM fx_nbrs_in JOIN (
+        SELECT station_id, bin, {', '.join(f'lag(bikes_available, {i}) OVER ({_by_bin}) AS T{i}' for i in range(WIDTH))}
+        FROM {_mean}) USING (station_id)
+    WHERE center = {PIVOT_CENTER} GROUP BY bin
+    """,
+)
+
+
 def corr_sql(bins: str, nbrs: str, width: int, by: str = "") -> str:
     key = f"{by}, station_id" if by else "station_id"
     over = f"PARTITION BY {key} ORDER BY bin"

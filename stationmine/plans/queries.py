@@ -14,9 +14,10 @@ from stationmine.operators import neighbors as nb
 from stationmine.operators import patterns as pt
 from stationmine.operators import sequences as sq
 from stationmine.params import EXTRACTION_TYPES, MineParams
-from stationmine.scale import cut, join_small
+from stationmine.scale import cut, fresh_path, join_small
+from stationmine.sources import readers
 from stationmine.sources.fixture import Fixture
-from stationmine.sources.sinks import rules_to_line, stamp
+from stationmine.sources.sinks import append_metrics, rules_to_line, stamp, write_rules_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,7 @@ SUPPORT = 0.1
 MINUTES = 360
 WIDTH = 3
 LAGS = 5
+PIVOT_CENTER, PIVOT_STATIONS = 1, [1, 2, 3, 4, 5]
 TARGET = "AlmostFull"
 CONF = 0.3
 CONFS = [0.2, 0.3, 0.4]
@@ -234,6 +236,14 @@ def _(fx: Fixture) -> DataFrame:
     )
 
 
+@query("rules_text_roundtrip")
+def _(fx: Fixture) -> DataFrame:
+    """Rules written as text to the shared folder and read back."""
+    path = fresh_path(fx.spark)
+    write_rules_text(mined_rules(fx), path)
+    return readers.read_rules_text(fx.spark, path).select("key", "conf", "sup")
+
+
 # --- associative classifier --------------------------------------------------------------
 
 TRAIN = P.but(wrap_states=True)
@@ -278,6 +288,14 @@ query("baseline_persistence")(
 )
 query("classifier_grid")(lambda fx: cl.evaluate_grid(labelled_test(fx), train_rules(fx), TARGET, CONFS, KS))
 
+@query("metrics_roundtrip")
+def _(fx: Fixture) -> DataFrame:
+    """The grid's metrics appended as CSV to the shared folder and read back."""
+    path = fresh_path(fx.spark)
+    append_metrics(cl.evaluate_grid(labelled_test(fx), train_rules(fx), TARGET, CONFS, KS, grid.tags(TEST)), path)
+    return readers.read_metrics(fx.spark, path)
+
+
 # --- series ------------------------------------------------------------------------------
 
 
@@ -332,6 +350,14 @@ query("lag_corr_slot")(
     )
 )
 
+@query("neighborhood_pivot")
+def _(fx: Fixture) -> DataFrame:
+    """The wide table of one centre."""
+    near = nb.graph_neighbors(small_edges(fx), "in").filter(F.col("center") == PIVOT_CENTER)
+    long = correlation.neighborhood_wide(fx.status, near, MINUTES, WIDTH)
+    return stamp(correlation.pivot_neighborhood(long, PIVOT_CENTER, PIVOT_STATIONS, WIDTH))
+
+
 # --- trips and graph ---------------------------------------------------------------------
 
 query("graph_size")(lambda fx: trips.graph_size(fx.trip))

@@ -20,13 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nobody has written to."""
+    return f"{shared_dir(spark).rstrip('/')}/stationmine/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from there.
 
     What is read several times, or must survive lost executors, is computed once; later reads
     prune columns and push filters. The folder is the cluster's to clear.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stationmine/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

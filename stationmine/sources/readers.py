@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATUS_SCHEMA = "station_id long, bikes_available int, docks_available int, time timestamp"
@@ -22,12 +22,45 @@ METRICS_SCHEMA = (
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options) -> DataFrame:
-    """A table with a known schema; CSV by default, any Spark format on request."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.options(**options).format(fmt).load(path)
+#: Time formats tried in this order when CSV is read.
+TIME_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy/MM/dd HH:mm:ss",
+    "yyyy/MM/dd HH:mm",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+)
+
+
+def parse_time(text: Column, formats: tuple[str, ...] = TIME_FORMATS, strict: bool = True) -> Column:
+    """Text as a timestamp by the first format that fits. Text that fits none fails the job, or is null unless ``strict``."""
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    if not strict:
+        return parsed
+    unknown = F.raise_error(F.concat(F.lit("time in no known format: "), text)).cast("timestamp")
+    return F.when(parsed.isNull() & text.isNotNull(), unknown).otherwise(parsed)
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: str, fmt: str = "csv", strict_times: bool = True, **options
+) -> DataFrame:
+    """A table with a known schema; CSV by default, any Spark format on request.
+
+    CSV columns are held against the names in the header, so a file with another order fails. Times may
+    come in any of TIME_FORMATS, or in the one named by ``timestampFormat``.
+    """
+    if fmt != "csv":
+        return spark.read.schema(schema).options(**options).format(fmt).load(path)
+    formats = (options.pop("timestampFormat"),) if "timestampFormat" in options else TIME_FORMATS
+    kinds = [x.split() for x in schema.split(", ")]
+    plain = ", ".join(f"{n} {'string' if k == 'timestamp' else k}" for n, k in kinds)
+    rows = spark.read.schema(plain).option("header", True).option("enforceSchema", False).options(**options).csv(path)
+    return rows.select(
+        *[parse_time(F.col(n), formats, strict_times).alias(n) if k == "timestamp" else F.col(n) for n, k in kinds]
+    )
 
 
 def read_status(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:

@@ -1,5 +1,7 @@
 """Readers and sinks on small files."""
 
+import pytest
+
 from stationmine.operators import classify as cl
 from stationmine.sources import readers, sinks
 from tests.conftest import status_frame, tuples
@@ -48,3 +50,33 @@ def test_metrics_rows_are_appended(spark, tmp_path):
         sinks.append_metrics(row, path)
     got = tuples(readers.read_metrics(spark, path), "extraction", "accuracy", "tp")
     assert got == [("Full-Decrease", 0.3, 1)] * 2
+
+
+def test_times_in_several_formats(spark, tmp_path):
+    head = "station_id,bikes_available,docks_available,time\n"
+    times = ["2013/08/29 12:06:01", "8/29/2013 14:13", "2013-08-29 12:06:01", ""]
+    (tmp_path / "good.csv").write_text(head + "".join(f"2,2,25,{t}\n" for t in times))
+    got = readers.read_status(spark, str(tmp_path / "good.csv")).select("time").collect()
+    assert sorted(str(r.time) for r in got) == ["2013-08-29 12:06:01", "2013-08-29 12:06:01", "2013-08-29 14:13:00", "None"]
+    (tmp_path / "bad.csv").write_text(head + "2,2,25,yesterday\n")
+    with pytest.raises(Exception, match="no known format"):
+        readers.read_status(spark, str(tmp_path / "bad.csv")).collect()
+    assert readers.read_status(spark, str(tmp_path / "bad.csv"), strict_times=False).first().time is None
+
+
+def test_columns_in_another_order_fail(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text("weight,start_id,end_id\n1,2,3\n")
+    with pytest.raises(Exception):
+        readers.read_edges(spark, str(tmp_path / "edges.csv")).collect()
+
+
+def test_grid_output_comes_back(spark, tmp_path):
+    conf = spark.createDataFrame([(1, 2, 3, 4)], "fn long, fp long, tn long, tp long")
+    rows = cl.metrics(conf).selectExpr("*", "7 n_rules", "30 interval", "1 match_threshold", "0.5D confidence_threshold",
+                                       "'Dist' neighborhood", "'Full-Decrease' extraction")
+    sinks.append_metrics(rows, str(tmp_path / "grid"))
+    assert tuples(readers.read_metrics(spark, str(tmp_path / "grid")), "extraction", "accuracy", "tp", "fn") == [
+        ("Full-Decrease", 0.7, 4, 1)
+    ]
+    with pytest.raises(ValueError):
+        sinks.append_metrics(conf, str(tmp_path / "grid"))
