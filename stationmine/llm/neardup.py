@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationmine.llm.graph import components
+from stationmine.llm.graph import components, forest
 from stationmine.llm.tables import binary_column, by_slice, mix, text_only, word_hashes
 from stationmine.scale import cut, join_small
 
@@ -29,8 +29,12 @@ TREES = 12
 NODE = 500
 #: At this depth every node is compared, whatever its size.
 DEPTH = 6
-#: Documents with more candidates than this in a node are paired with leaders first.
-GROUP = 32
+#: Documents with more candidates than this in a node are crowded: their pairs are not listed.
+GROUP = 8
+#: Crowded documents of one cluster are compared in blocks of so many.
+BLOCK = 512
+#: Shingles that a block's matrix holds at once.
+_WIDTH = 8192
 #: Two-bit sketches of a pair at 0.8 agree in 54.4 of 64 places, give or take 2.9; 42 is 4.3 deviations below.
 AGREE = 42
 
@@ -150,48 +154,38 @@ def _candidates(bits0: np.ndarray, bits1: np.ndarray, some: np.ndarray) -> Itera
         yield y, j[x]
 
 
-def _compare(rep: np.ndarray, bits0: np.ndarray, bits1: np.ndarray, node: int) -> tuple[list, list]:
-    """Candidate pairs of one node, and the documents that have too many candidates to list.
+def _compare(rep: np.ndarray, bits0: np.ndarray, bits1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one node, and edges that connect its crowded documents as far as they are candidates.
 
-    The latter are paired with leaders only. They are returned as members of a group, so that a second
-    pass can pair those that their leaders did not join. Everyone else's pairs are all listed.
+    Crowded documents have more than GROUP candidates. All pairs with someone who is not crowded are listed;
+    of the others only a forest is, one edge per document.
     """
     n = len(rep)
-    pairs, groups = [], []
-    if n <= GROUP:
-        crowded = np.zeros(n, bool)
-    elif n <= 16 * NODE:
-        degree = np.zeros(n, np.int64)
-        for i, _ in _candidates(bits0, bits1, np.arange(n)):
-            degree += np.bincount(i, minlength=n)
-        crowded = degree > GROUP + 1
-    else:
-        crowded = np.ones(n, bool)
-    for i, j in _candidates(bits0, bits1, np.flatnonzero(~crowded)):
+    degree = np.zeros(n, np.int64)
+    for i, _ in _candidates(bits0, bits1, np.arange(n)):
+        degree += np.bincount(i, minlength=n)
+    crowded = degree > GROUP + 1  # everyone is a candidate of oneself
+    pairs = [np.zeros((0, 2), np.uint64)]
+    for i, j in _candidates(bits0, bits1, np.flatnonzero(~crowded & (degree > 1))):
         once = (rep[i] < rep[j]) | crowded[i]
-        i, j = i[once], j[once]
-        pairs.append(np.c_[np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])])
-    waiting = crowded.copy()
-    while waiting.any():
-        lead = int(waiting.argmax())
-        near = np.flatnonzero(np.bitwise_count((bits0[lead] ^ bits0) | (bits1[lead] ^ bits1)) <= SKETCH - AGREE)
-        pairs.append(np.c_[np.minimum(rep[lead], rep[near]), np.maximum(rep[lead], rep[near])])
-        waiting[near] = False
-    if crowded.any():
-        groups.append(np.c_[np.full(crowded.sum(), node, np.uint64), rep[crowded], bits0[crowded], bits1[crowded]])
-    return pairs, groups
+        pairs.append(np.c_[np.minimum(rep[i[once]], rep[j[once]]), np.maximum(rep[i[once]], rep[j[once]])])
+    where = np.flatnonzero(crowded)
+    edges = [np.zeros((0, 2), np.uint64)]
+    for lo in range(0, len(where), 512):
+        own = where[lo : lo + 512]
+        for i, j in _candidates(bits0[where], bits1[where], np.arange(lo, lo + len(own))):
+            order = np.lexsort((j, i))
+            edges.append(forest(i[order], j[order] - lo, rep[where], rep[own]))
+    return np.concatenate(pairs), np.concatenate(edges)
 
 
-_FOUND = "kind int, a long, b long, bits0 long, bits1 long"
-_PAIR, _MEMBER, _OPEN = 0, 1, 2
+_FOUND = "kind int, a long, b long"
+_PAIR, _EDGE, _OPEN = 0, 1, 2
 
 
 def _found(kind: int, rows: np.ndarray) -> pa.RecordBatch:
-    """rows: unsigned columns a, b and perhaps bits."""
-    full = np.zeros((len(rows), 4), np.uint64)
-    full[:, : rows.shape[1]] = rows
-    columns = [pa.array(np.ascontiguousarray(full[:, c]).view(np.int64)) for c in range(4)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *columns], ["kind", "a", "b", "bits0", "bits1"])
+    columns = [pa.array(np.ascontiguousarray(rows[:, c]).view(np.int64)) for c in range(2)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *columns], ["kind", "a", "b"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -221,36 +215,39 @@ def _visit(nodes: DataFrame, branch: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (node, rep, b0, b1), bounds in _runs(batches, ("node", "rep", "bits0", "bits1")):
             sizes = np.diff(bounds)
-            pairs, groups = [], []
+            listed: dict[int, list] = {_PAIR: [], _EDGE: []}
             for lo, n in zip(bounds[:-1][sizes > 1], sizes[sizes > 1]):
                 at = slice(lo, lo + n)
                 if branch and n > NODE:
                     yield _found(_OPEN, np.c_[rep[at], node[at]])
                     continue
-                new, large = _compare(rep[at], b0[at], b1[at], int(node[lo]))
-                pairs += new
-                groups += large
-            if pairs:
-                both = np.unique(np.concatenate(pairs), axis=0)
-                yield _found(_PAIR, both[both[:, 0] != both[:, 1]])
-            if groups:
-                yield _found(_MEMBER, np.concatenate(groups))
+                for kind, rows in zip(listed, _compare(rep[at], b0[at], b1[at])):
+                    listed[kind].append(rows)
+            for kind, parts in listed.items():
+                if parts:
+                    both = np.unique(np.concatenate(parts), axis=0)
+                    yield _found(kind, both[both[:, 0] != both[:, 1]])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, _FOUND)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. Sets are built again for the documents in question only."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The sets (doc_id, members) of some documents, built again from their texts."""
 
-    def sets(part: pa.RecordBatch) -> pa.RecordBatch:
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t, k) for t in part.column("text").to_pylist()]
         bounds = np.cumsum([0, *map(len, found)])
         values = np.concatenate(found) if found else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays([part.column("doc_id"), binary_column(values, bounds)], ["doc_id", "members"])
 
+    chosen = join_small(text_only(docs), cut(ids), ["doc_id"], "left_semi")
+    return cut(chosen.mapInArrow(by_slice(run, "text"), "doc_id long, members binary").dropDuplicates(["doc_id"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity."""
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
@@ -261,18 +258,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                 keep.append(100 * short >= percent * long and _share(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    chosen = cut(
-        join_small(text_only(docs), cut(wanted), ["doc_id"], "left_semi").mapInArrow(
-            by_slice(sets, "text"), "doc_id long, members binary"
-        ).dropDuplicates(["doc_id"])
-    )
-    left = chosen.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
-    right = chosen.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
     # hints keep the sets from being broadcast; hot keys are split by adaptive execution
-    return cut(
-        pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-        .select("a", "b", "left", "right").mapInArrow(alike, "a long, b long")
-    )
+    both = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(alike, "a long, b long")
 
 
 def _share(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -280,29 +270,70 @@ def _share(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _unjoined(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs within large groups whose documents are not in one component yet."""
-    named = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
+def _linked(sets: list[np.ndarray], first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of linked pairs, i among the ``first`` sets, j among the others (or all, if there are none).
+
+    Sizes of intersections are products of 0/1 matrices over the shingles that more than one set has.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rest = first if first < len(sets) else 0
+    same = np.zeros((first, len(sets) - rest), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDTH):
+        at = slice(*np.searchsorted(column, (lo, lo + _WIDTH)))
+        dense = np.zeros((len(sets), _WIDTH), np.float32)
+        dense[owner[at], column[at] - lo] = 1
+        same += dense[:first] @ dense[rest:].T
+    i, j = np.nonzero(100 * same >= percent * (sizes[:first, None] + sizes[rest:] - same))
+    return i, j + rest
+
+
+def _within(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Connecting edges of all linked pairs within each cluster of crowded documents.
+
+    A cluster is what candidate edges connect. Its documents are dealt to blocks of about BLOCK, and each
+    pair of blocks is one group of rows, so no task holds more than two blocks, whatever a cluster's size.
+    """
+    named = cut(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    blocks = named.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    dealt = (
+        named.join(blocks, "cluster").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select("doc_id", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("pair"),
+                "cluster", (F.col("own") > F.col("other")).cast("long").alias("second"))
     )
-    mixed = named.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    rows = named.join(mixed.select("group"), "group", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, rep, b0, b1, part), bounds in _runs(batches, ("group", "rep", "bits0", "bits1", "component")):
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                at = slice(lo, hi)
-                names, own, sizes = np.unique(part[at], return_inverse=True, return_counts=True)
-                few = np.flatnonzero(own != sizes.argmax())  # each such pair has a side outside the largest component
-                for i, j in _candidates(b0[at], b1[at], few):
-                    apart = own[i] != own[j]
-                    x, y = rep[at][i[apart]], rep[at][j[apart]]
-                    both = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)], axis=0)
-                    yield _found(_PAIR, both)
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select("group", "rep", "bits0", "bits1", "component").repartition(n, "group").sortWithinPartitions("group")
-    return spread.mapInArrow(run, _FOUND).select("a", "b")
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "cluster", "second", "doc_id", "members"))):
+                if held and held[0][:2] != row[:2]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        ids = np.array([r[3] for r in rows], np.int64)
+        first = sum(r[2] == 0 for r in rows)
+        if not first:
+            return _found(_PAIR, np.zeros((0, 2), np.uint64)).select(["a", "b"])
+        i, j = _linked([np.frombuffer(r[4], np.uint64) for r in rows], first, percent)
+        apart = i != j
+        found = forest(i[apart], j[apart], ids, ids) if apart.any() else np.zeros((0, 2), np.int64)
+        return _found(_PAIR, found[found[:, 0] != found[:, 1]]).select(["a", "b"])
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = dealt.hint("merge").join(sets.hint("merge"), "doc_id")
+    return full.repartition(n, "pair").sortWithinPartitions("pair", "cluster", "second").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, seed: int = 1) -> DataFrame:
@@ -335,12 +366,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     for more in visited[1:]:
         found = found.union(more)
 
-    links = _confirmed(found.filter(F.col("kind") == _PAIR).select("a", "b"), docs, k, percent)
-    members = found.filter(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("rep"), "bits0", "bits1")
-    if not members.isEmpty():
-        late = cut(_unjoined(members, cut(components(links))))
-        if not late.isEmpty():
-            links = links.union(_confirmed(late, docs, k, percent))
+    pairs = cut(found.filter(F.col("kind") == _PAIR).select("a", "b").distinct())
+    edges = cut(found.filter(F.col("kind") == _EDGE).select("a", "b").distinct())
+    both = pairs.union(edges)
+    sets = _sets(docs, both.select(F.col("a").alias("doc_id")).union(both.select("b")).distinct(), k)
+    links = _confirmed(pairs, sets, percent)
+    if not edges.isEmpty():
+        links = links.union(_within(edges, sets, percent))
     parts = components(links).withColumnRenamed("node", "rep")
     named = same.join(parts, "rep", "left").select(
         "fp0", "fp1", "n", F.coalesce("component", "rep").alias("component_id")

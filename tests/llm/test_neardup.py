@@ -59,9 +59,11 @@ def test_same_as_all_pairs_at_a_small_root(spark, docs, k):
 
 
 def test_same_as_all_pairs_through_the_trees(spark, docs, monkeypatch):
-    """Small nodes and small groups: branching, leaders and the second pass all take part."""
+    """Small nodes, groups and blocks: branching, clusters and pairs of blocks all take part."""
     monkeypatch.setattr(neardup, "NODE", 12)
     monkeypatch.setattr(neardup, "GROUP", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "_WIDTH", 16)
     rows = corpus(2, 25, 24)
     assert answered(neardup.near_duplicates(docs(rows, 5), 2, 80)) == plain(rows, 2, 80)
 
@@ -92,10 +94,22 @@ def test_candidates_are_all_or_grouped():
     bits = rng.integers(0, 2**63, (2, 80), dtype=np.uint64)
     bits[:, :50] = bits[:, :1]
     rep = np.arange(80, dtype=np.uint64)
-    pairs, groups = neardup._compare(rep, bits[0], bits[1], 7)
-    found = {tuple(map(int, p)) for part in pairs for p in part if p[0] != p[1]}
-    assert found == {(0, i) for i in range(1, 50)}
-    assert sorted(groups[0][:, 1].tolist()) == list(range(50))
+    bits[:, 60:63] = bits[:, 60:61]
+    pairs, edges = neardup._compare(rep, bits[0], bits[1])
+    assert {tuple(map(int, p)) for p in pairs if p[0] != p[1]} == {(60, 61), (60, 62), (61, 62)}
+    assert {int(x) for x in edges.ravel()} == set(range(50)) and len(edges) <= 100
+
+
+def test_products_of_matrices_are_sizes_of_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(30)]
+    for first in (30, 11):
+        i, j = neardup._linked(sets, first, 50)
+        want = {
+            (a, b) for a in range(first) for b in range(first if first < 30 else 0, 30)
+            if 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))
+        }
+        assert set(zip(i.tolist(), j.tolist())) == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 70])
