@@ -78,7 +78,8 @@ def rule_antecedents(rules: DataFrame, seq_atoms: DataFrame, weights: dict[str,
     distinct = rules.groupBy(_atoms(_body()).alias("needed")).agg(
         *[F.sum(w).alias(name) for name, w in weights.items()]
     )
-    return _with_pivot(distinct, seq_atoms)
+    # cut, so that counting them for the join does not run the pass over all atoms again
+    return cut(_with_pivot(distinct, seq_atoms))
 
 
 def _with_pivot(antecedents: DataFrame, seq_atoms: DataFrame) -> DataFrame:

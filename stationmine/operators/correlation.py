@@ -33,14 +33,20 @@ def co_neighbors(nbrs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     sizes = nbrs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     members = join_small(nbrs, sizes, ["center"]).withColumn("part", F.pmod(F.xxhash64("station_id"), F.col("parts")))
-    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    # of each two blocks one order only
     left = members.select(
-        "center", F.col("station_id").alias("a"), F.col("part").alias("pa"), F.explode(all_parts).alias("pb")
+        "center", F.col("station_id").alias("x"), F.col("part").alias("pa"),
+        F.explode(F.sequence(F.col("part"), (F.col("parts") - 1).cast("long"))).alias("pb"),
     )
     right = members.select(
-        "center", F.col("station_id").alias("b"), F.col("part").alias("pb"), F.explode(all_parts).alias("pa")
+        "center", F.col("station_id").alias("y"), F.col("part").alias("pb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))).alias("pa"),
+    )
+    return (
+        left.join(right, ["center", "pa", "pb"])
+        .filter((F.col("pa") < F.col("pb")) | (F.col("x") <= F.col("y")))
+        .select("center", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
-    return left.join(right, ["center", "pa", "pb"]).filter(F.col("a") <= F.col("b")).select("center", "a", "b")
 
 
 def _chunks(series: DataFrame, width: int, step: int, by: list[str]) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.functions.columns import ratio
 from stationmine.operators.neighbors import with_distance
-from stationmine.scale import cut
+from stationmine.scale import cut, global_sum, join_small
 
 
 def od_weights(trips: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def weight_stats(edges: DataFrame) -> DataFrame:
 def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR and number of outliers, for all rows and per ``by``.
 
-    Rows are first counted per distinct value, and quartiles are taken from those counts.
+    Rows are counted per distinct value, and the counts summed up in order over ranges of values, so a
+    quartile is found where the running total passes it and no task holds all values of a kind.
     """
     kinds = F.array(F.lit("all"), F.col(by)) if by else F.array(F.lit("all"))
     counts = (
@@ -55,19 +56,30 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
         .groupBy("kind", "v")
         .agg(F.sum("n").alias("n"))
     )
-    quartiles = counts.groupBy("kind").agg(
-        F.percentile("v", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.sum("n").alias("n_rows")
+    summed = cut(global_sum(counts, ["kind", "v"], F.col("n"), "upto"))
+    sizes = cut(summed.groupBy("kind").agg(F.sum("n").alias("n_rows"), F.min(F.col("upto") - F.col("n")).alias("ahead")))
+    first, last = F.col("upto") - F.col("n") - F.col("ahead"), F.col("upto") - F.col("ahead")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place < last), F.col("v").cast("double")))
+
+    def quartile(q: float) -> Column:
+        place = (F.col("n_rows") - 1) * q
+        low, high = F.floor(place), F.ceil(place)
+        share = F.max(place - low)
+        return at(low) * (1 - share) + at(high) * share
+
+    quartiles = cut(
+        join_small(summed, sizes, ["kind"])
+        .groupBy("kind", "n_rows")
+        .agg(quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
     )
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    inside = (F.col("v") >= q1 - 1.5 * (q3 - q1)) & (F.col("v") <= q3 + 1.5 * (q3 - q1))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)
     return (
-        counts.join(F.broadcast(quartiles), "kind")  # one row per kind
-        .groupBy("kind")
+        join_small(summed, quartiles, ["kind"])
+        .groupBy("kind", "n_rows", "q1", "median", "q3")
         .agg(
-            F.first("n_rows").alias("n_rows"),
-            F.first(q1).alias("q1"),
-            F.first(F.col("q")[1]).alias("median"),
-            F.first(q3).alias("q3"),
             F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
             F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_outliers"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -86,22 +86,28 @@ def join_small(
     return joined.select(*kept)
 
 
-def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Number all rows from 1 in a total order without sorting them in one task.
+def global_sum(df: DataFrame, order: list, weight: Column, name: str) -> DataFrame:
+    """Running total of ``weight`` in a total order, without sorting all rows in one task.
 
     Rows are range partitioned and written with their partition number; each part is
-    numbered on its own and shifted by the sizes of the parts before it.
+    summed up on its own and shifted by the totals of the parts before it.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = df.withColumn("_weight", weight)
+    parts = cut(weighed.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.sum("_weight").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        parts.withColumn("_in", inside)
+        parts.withColumn("_in", F.sum("_weight").over(upto))
         .join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(name, (F.col("_ahead") + F.col("_in")).cast("long"))
-        .drop("_part", "_ahead", "_in")
+        .drop("_part", "_ahead", "_in", "_weight")
     )
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Number all rows from 1 in a total order."""
+    return global_sum(df, order, F.lit(1), name)
