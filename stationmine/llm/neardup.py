@@ -30,7 +30,7 @@ NODE = 500
 #: At this depth every node is compared, whatever its size.
 DEPTH = 6
 #: Documents with more candidates than this in a node are crowded: their pairs are not listed.
-GROUP = 8
+GROUP = 2
 #: Crowded documents of one cluster are compared in blocks of so many.
 BLOCK = 512
 #: Shingles that a block's matrix holds at once.
