@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.llm.ranges import matrix, usable
-from stationmine.llm.tables import binary_column
+from stationmine.llm.tables import binary_column, mix
 from stationmine.scale import cut
 
 #: Vectors a cell should have on average, and the most centroids of a half.
@@ -27,6 +27,8 @@ CENTROIDS = 256
 PROBES = 64
 #: Rows of a block of entries, and queries that meet it at once.
 BLOCK = 1024
+#: Queries whose neighbours a task holds before it passes them on.
+HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -125,11 +127,21 @@ def build(vectors: DataFrame, sample: int = 20_000, seed: int = 5) -> tuple[Code
     return Codebooks(first, second, sizes.reshape(len(first), len(second))), placed
 
 
-def _blocks(rows: DataFrame, names: list[str], parts: int) -> DataFrame:
-    """Rows (cell, id, vector) as blocks of at most BLOCK rows of one cell: cell, ids, vectors.
+def _parted(rows: DataFrame, id_: str, sizes: np.ndarray) -> DataFrame:
+    """``rows`` with the part of its cell a row is dealt to: one part for every BLOCK rows the cell holds."""
+    parts = np.maximum(1, -(-sizes.ravel() // BLOCK)).astype(np.uint64)
 
-    A cell's rows are dealt to several tasks by their ids, so a cell of any size is shared out.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cell = (batch.column(c).to_numpy() for c in (id_, "cell"))
+            part = mix(ids.view(np.uint64)) % parts[cell]
+            yield batch.append_column("part", pa.array(part.astype(np.int64)))
+
+    return rows.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, part long")
+
+
+def _blocks(rows: DataFrame, names: list[str], parts: int) -> DataFrame:
+    """Rows (cell, part, id, vector) as blocks of at most BLOCK rows of one cell: cell, ids, vectors."""
     id_ = names[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +164,45 @@ def _blocks(rows: DataFrame, names: list[str], parts: int) -> DataFrame:
         for cell in list(held):
             yield close(cell)
 
-    spread = rows.repartition(parts, "cell", F.pmod(F.xxhash64(id_), F.lit(4)))
-    return spread.mapInArrow(run, f"cell long, {names[0]} binary, {names[1]} binary")
-
-
-def _nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a block without the query itself: exact distances, ties to smaller ids."""
-    gap = x - query
-    distance = np.sqrt((gap * gap).sum(axis=1))
-    distance[ids == own] = np.inf
-    if len(ids) > k:
-        limit = np.partition(distance, k - 1)[k - 1]
-        some = np.flatnonzero(distance <= limit)
-    else:
-        some = np.arange(len(ids))
-    some = some[np.lexsort((ids[some], distance[some]))][:k]
-    some = some[np.isfinite(distance[some])]
-    return ids[some], distance[some]
+    return rows.repartition(parts, "cell", "part").mapInArrow(run, f"cell long, {names[0]} binary, {names[1]} binary")
+
+
+class Nearest:
+    """The k nearest of the blocks a task has seen, for each query: exact distances, ties to smaller ids."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        rough = _squared(queries, x)
+        limits = np.array([self._limit(int(q)) for q in asked])
+        slack = 1e-9 * (np.abs(rough).max(axis=1) + (queries * queries).sum(axis=1))
+        for i in np.flatnonzero(rough.min(axis=1) <= limits**2 + slack):
+            near = np.flatnonzero((rough[i] <= limits[i] ** 2 + slack[i]) & (ids != asked[i]))
+            if len(near) > self.k:
+                last = np.partition(rough[i, near], self.k - 1)[self.k - 1]
+                near = near[rough[i, near] <= last + slack[i]]
+            gap = x[near] - queries[i]
+            new = np.sqrt((gap * gap).sum(axis=1))
+            own, distance = self.found.get(int(asked[i]), (ids[:0], new[:0]))
+            own, distance = np.concatenate([own, ids[near]]), np.concatenate([distance, new])
+            best = np.lexsort((own, distance))[: self.k]
+            self.found[int(asked[i])] = own[best], distance[best]
+
+    def _limit(self, query: int) -> float:
+        held = self.found.get(query)
+        return float(held[1][-1]) if held and len(held[1]) == self.k else np.inf
+
+    def drain(self) -> pa.RecordBatch:
+        found, self.found = self.found, {}
+        n = [len(ids) for ids, _ in found.values()]
+        query = np.repeat(np.array([*found], np.int64), n)
+        both = [np.concatenate(c) if found else np.zeros(0) for c in zip(*found.values())] or [np.zeros(0), np.zeros(0)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query), pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(np.float64))],
+            ["query_id", "vec_id", "score"],
+        )
 
 
 def needed_share(books: Codebooks, entries: DataFrame, k: int, recall: float) -> float:
@@ -235,25 +269,19 @@ def search(
                 )
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(k)
         for batch in batches:
             for row in batch.select(["vec_ids", "vectors", "query_id", "queries"]).to_pylist():
-                ids = np.frombuffer(row["vec_ids"], np.int64)
-                asked = np.frombuffer(row["query_id"], np.int64)
+                ids, asked = (np.frombuffer(row[c], np.int64) for c in ("vec_ids", "query_id"))
                 x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-                found = [
-                    _nearest(x, ids, q, own, k)
-                    for own, q in zip(asked, np.frombuffer(row["queries"], np.float64).reshape(len(asked), -1))
-                ]
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asked, n)), pa.array(np.concatenate([f[0] for f in found])),
-                     pa.array(np.concatenate([f[1] for f in found]))],
-                    ["query_id", "vec_id", "score"],
-                )
+                best.add(asked, np.frombuffer(row["queries"], np.float64).reshape(len(asked), -1), ids, x)
+                if len(best.found) > HELD:
+                    yield best.drain()
+        yield best.drain()
 
     questions = entries.filter(is_query).dropDuplicates(["vec_id"]).mapInArrow(route, "query_id long, cell long, vector binary")
-    asked = _blocks(questions, ["query_id", "queries"], parts)
-    held = _blocks(entries.withColumnRenamed("vec_id", "vec_ids"), ["vec_ids", "vectors"], parts)
+    asked = _blocks(questions.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(4))), ["query_id", "queries"], parts)
+    held = _blocks(_parted(entries, "vec_id", books.sizes).withColumnRenamed("vec_id", "vec_ids"), ["vec_ids", "vectors"], parts)
     found = held.hint("merge").join(asked.hint("merge"), "cell").mapInArrow(
         rerank, "query_id long, vec_id long, score double"
     )
