@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationmine.llm.tables import by_slice, slices, text_only
+from stationmine.llm.tables import by_slice, claim, slices, text_only
 
 UNKNOWN = "und"
 _BOUND_AT_ONCE = 8192
@@ -46,6 +46,7 @@ def profiles(texts: list[str], size: int, seed: int) -> tuple[np.ndarray, np.nda
     Stretches of other characters count as one border, which is a letter of its own; each bound
     vector has a letter in its middle.
     """
+    claim("letters", lambda: None)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     codes = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le"), "<u4")
     letters = _letters()[codes]

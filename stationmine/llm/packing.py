@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from stationmine.llm.tables import slices, text_only
+from stationmine.llm.tables import claim, slices, text_only
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -196,6 +196,7 @@ def pack(
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
         plan = cuts(capacity, tolerance)
         end = np.array([end_id], "<u4").tobytes()
+        claim("ids", word_ids.cache_clear)
         encoder = word_ids(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):

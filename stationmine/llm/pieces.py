@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stationmine.llm.tables import by_slice, text_only
+from stationmine.llm.tables import by_slice, claim, text_only
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, decoded string"
 SPACE = "▁"
@@ -153,6 +153,7 @@ def encode(docs: DataFrame, model: str, begin: bool = True, end: bool = True) ->
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        claim("pieces", pieces.cache_clear)
         own = pieces(model)
         lib = own.library
         first = np.array([lib.bos_id()] * begin, "<u4").tobytes()

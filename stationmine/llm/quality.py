@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationmine.llm.tables import by_slice, slices, text_only
+from stationmine.llm.tables import by_slice, claim, slices, text_only
 
 #: Character classes: 0 other, then lower (and caseless letters), upper, digit, space, punctuation, symbol, "!".
 CLASSES = 8
@@ -48,6 +48,7 @@ def lines_of(text: str | None) -> list[str]:
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows of all lines, their lengths, and the number of lines of each text."""
+    claim("lines", lambda: None)
     lines = [lines_of(t) for t in texts]
     counts = np.fromiter(map(len, lines), np.int64, len(lines))
     flat = [x for part in lines for x in part]

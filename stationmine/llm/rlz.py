@@ -186,7 +186,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 yield from _parse(part, window)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

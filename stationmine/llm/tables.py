@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, whatever the size of an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -42,6 +42,20 @@ def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str):
     return run
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Tells that this worker's tables of words now serve operator ``name``; the tables of the one before are emptied.
+
+    Workers live on from stage to stage, so without this each would end up with the tables of all operators.
+    """
+    if _holder and _holder[0][0] != name:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((name, clear))
+
+
 class WordHashes(dict):
     """64-bit hash of a word; emptied when full, so a worker's memory stays bounded."""
 
@@ -54,10 +68,12 @@ class WordHashes(dict):
         return value
 
 
-_hash_of = WordHashes().__getitem__
+_words = WordHashes()
+_hash_of = _words.__getitem__
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    claim("hashes", _words.clear)
     return np.fromiter(map(_hash_of, words), np.int64, len(words)).view(np.uint64)
 
 
