@@ -10,8 +10,10 @@ from stationmine.llm.queries import QUALITY, tokenizer_file
 from stationmine.llm.tables import read
 from stationmine.scale import cut, fits
 
-#: A document below this cosine with every language is in none of them.
-LANGUAGE = 0.02
+#: Of texts unrelated to every language, the share that passes the language stage by chance.
+CHANCE = 0.002
+#: Texts of fewer different letter groups (about four words) are too short to tell from chance; they stay.
+FEW = 20
 #: Words of a shingle, percent of similarity, words of a repeated passage.
 SHINGLE, PERCENT, PASSAGE = 5, 80, 50
 
@@ -23,9 +25,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and are near some language. Learns from ``lang`` outside fold 0 of 5."""
+    """Documents that have letters and are nearer to some language than chance, or too short to tell. Learns from ``lang`` outside fold 0 of 5."""
     train = ~language.held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull()
-    return language.keep(docs, language.fit(docs, train), LANGUAGE)
+    model = language.fit(docs, train)
+    return language.keep(docs, model, model.noise(CHANCE), FEW)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

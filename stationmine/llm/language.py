@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,13 @@ def _vector(code: int, size: int, seed: int) -> np.ndarray:
 
 
 def profiles(texts: list[str], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit profile of each text, and whether it has letters at all.
+    """Unit profile of each text, and whether it has letters at all."""
+    found, groups = bundled(texts, size, seed)
+    return found, groups > 0
+
+
+def bundled(texts: list[str], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit profile of each text, and how many different bound vectors it bundles.
 
     Stretches of other characters count as one border, which is a letter of its own; each bound
     vector has a letter in its middle.
@@ -59,7 +66,7 @@ def profiles(texts: list[str], size: int, seed: int) -> tuple[np.ndarray, np.nda
     out = np.zeros((len(texts), size), np.float32)
     middle = np.flatnonzero(letters[1:-1] != 0) + 1 if len(letters) > 2 else np.zeros(0, np.int64)
     if not len(middle):
-        return out, np.zeros(len(texts), bool)
+        return out, np.zeros(len(texts), np.int64)
     seen = np.zeros(0x110000, bool)
     seen[letters] = True
     own = np.flatnonzero(seen)
@@ -81,10 +88,8 @@ def profiles(texts: list[str], size: int, seed: int) -> tuple[np.ndarray, np.nda
         dense = np.zeros((len(texts), len(part)), np.float32)
         dense[doc[mine], column[mine] - lo] = counts[mine]
         out += dense @ bound.astype(np.float32)
-    some = np.zeros(len(texts), bool)
-    some[doc] = True
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms == 0, 1, norms), some
+    return out / np.where(norms == 0, 1, norms), np.bincount(doc, minlength=len(texts))
 
 
 @dataclass(frozen=True)
@@ -96,14 +101,27 @@ class LanguageModel:
     size: int
     seed: int
 
+    def noise(self, chance: float) -> float:
+        """The score that a text unrelated to every language reaches with probability ``chance``.
+
+        The cosine of unrelated profiles is about normal, with a deviation of 1 / sqrt(size); a score is the
+        best of one for each language.
+        """
+        return NormalDist().inv_cdf(1 - chance / max(1, len(self.names))) / self.size**0.5
+
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        found, some = profiles([t or "" for t in texts], self.size, self.seed)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and number of different letter groups of each text."""
+        found, groups = bundled([t or "" for t in texts], self.size, self.seed)
+        some = groups > 0
         names, scores = np.full(len(some), UNKNOWN, object), np.zeros(len(some))
         if self.names:
             cosines = found @ self.prototypes.T
             names[some] = np.array(self.names, object)[cosines.argmax(axis=1)][some]
             scores[some] = np.clip(cosines.max(axis=1), 0, 1)[some]
-        return names, scores
+        return names, scores, groups
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -176,10 +194,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return text_only(docs).mapInArrow(by_slice(work, "text"), "doc_id long, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: LanguageModel, at_least: float) -> DataFrame:
+def keep(docs: DataFrame, model: LanguageModel, at_least: float, few: int = 0) -> DataFrame:
     """Rows of ``docs``, with all their columns, that have a language, with a score of ``at_least`` or more.
 
-    Nothing is shuffled. A model without languages rejects nothing.
+    Texts with letters but fewer than ``few`` different letter groups are kept at any score: they are too short to
+    tell. Nothing is shuffled. A model without languages rejects nothing.
     """
     if not model.names:
         return docs
@@ -187,7 +206,7 @@ def keep(docs: DataFrame, model: LanguageModel, at_least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                names, scores = model.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array((names != UNKNOWN) & (scores >= at_least), pa.bool_()))
+                names, scores, groups = model.judge(part.column("text").to_pylist())
+                yield part.filter(pa.array((names != UNKNOWN) & ((scores >= at_least) | (groups < few)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

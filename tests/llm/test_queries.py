@@ -124,6 +124,22 @@ def test_language_stage_drops_what_has_no_letters(spark, docs):
     assert [i for i, _ in pairs(pipeline.known_language(spark, docs(rows), ROOT))] == list(range(10))
 
 
+def test_language_stage_drops_unlearned_scripts(spark, docs):
+    rng, before = np.random.default_rng(5), read(spark, ROOT, "documents")
+    known = [(i, r["text"]) for i, r in enumerate(before.filter(language.held_out(F.col("doc_id"), 5, 0)).collect())]
+    scripts = [(0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00), (0x627, 0x64B), (0x5D0, 0x5EB), (0x10D0, 0x10F1)]
+    made = []
+    for low, high in scripts:
+        for _ in range(25):
+            made.append(" ".join("".join(map(chr, rng.integers(low, high, rng.integers(2, 9)))) for _ in range(300)))
+    learned = before.filter(~language.held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang")
+    unseen = 1 << 40  # ids of rows not learned from: lang is null
+    rows = spark.createDataFrame([(unseen + i, t, None) for i, t in known + [(1000 + i, t) for i, t in enumerate(made)]], learned.schema)
+    kept = [r[0] - unseen for r in pipeline.known_language(spark, learned.union(rows), ROOT).select("doc_id").collect()]
+    assert sorted(i for i in kept if 0 <= i < 1000) == [i for i, t in known if any(map(str.isalpha, t or ""))]
+    assert sum(i >= 1000 for i in kept) <= 3
+
+
 def test_near_duplicate_stage_keeps_one_of_each(stages):
     before, after = stages["near duplicates"]
     assert [i for i, _ in pairs(after)] == sorted(r[0] for r in plain_near(pairs(before), 5, 80) if r[3])
