@@ -1,7 +1,7 @@
 """Visible text of HTML pages, laid out (operator 9).
 
 A small tree builder follows the rules that shape text: implied end tags and table rows, raw text elements, void elements,
-comments, end tags that match nothing, text misplaced in tables. A renderer then walks the tree,
+comments, end tags that match nothing, text and elements misplaced in tables, drawings and formulas. A renderer then walks the tree,
 skips what is not visible and writes blocks, lists and tables as text.
 """
 
@@ -23,7 +23,7 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes noscrip
 ESCAPABLE = frozenset("title textarea".split())
 NEVER = frozenset(
     "head script style title template noscript noembed noframes iframe datalist area base link meta param rp "
-    "source track audio video canvas object svg math".split()
+    "source track audio video canvas object".split()
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr listing xmp".split())
 BLOCKS = PARAGRAPHS | frozenset(
@@ -35,6 +35,19 @@ INLINE_MARKS = frozenset("a b big code em font i nobr s small strike strong tt u
 GROUPS = frozenset("thead tbody tfoot".split())
 TABLE_PARTS = GROUPS | {"table", "tr"}
 CELLS = frozenset(("td", "th", "caption"))
+#: start tag → elements it stands in directly; others above them end.
+CONTEXTS = {t: frozenset(("table",)) for t in GROUPS | {"caption", "colgroup"}}
+CONTEXTS |= {"tr": GROUPS | {"table"}, "td": TABLE_PARTS, "th": TABLE_PARTS}
+#: Drawings and formulas, what is not seen in them, start tags that end them and elements that may hold these.
+FOREIGN = frozenset(("svg", "math"))
+UNDRAWN = frozenset(
+    "defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split()
+)
+BREAKOUTS = frozenset(
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+HOLDERS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 LISTS = frozenset("ul ol menu dir".split())
 
 #: start tag → elements it ends, and elements it does not look beyond.
@@ -55,10 +68,14 @@ ENDS |= {
 }
 ENDS |= {t: (CELLS | GROUPS | {"tr", "colgroup"}, frozenset(("table",))) for t in GROUPS | {"colgroup"}}
 
+_TABLE, _COLUMNS = frozenset(("table",)), frozenset(("colgroup",))
+
 #: Elements nested deeper than this go beside each other.
 DEEPEST = 200
 #: Cells wider than this neither widen their column nor are padded.
 WIDEST_CELL = 80
+#: Cells that hold one of these are blocks, not columns.
+LAID_OUT = frozenset(("table", "pre", "listing", "dl")) | LISTS
 MOST_COLUMNS = 1000
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -73,12 +90,11 @@ _NO_DISPLAY = re.compile(r"(?:^|[;{\s])display\s*:\s*none\b", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "before")
+    __slots__ = ("tag", "attributes", "children")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
-        self.before: list[str] = []  # text misplaced between a table's cells
 
 
 def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -98,7 +114,7 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
     """("text", text, None), ("start", name, attributes) and ("end", name, None). Every character is read a bounded number of times."""
-    at, n = 0, len(page)
+    at, n, foreign = 0, len(page), 0
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -122,10 +138,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             if at < 0:
                 return
             if closing:
+                foreign = max(0, foreign - (name in FOREIGN))
                 yield "end", name, None
                 continue
+            alone = page[at - 2] == "/" and (foreign > 0 or name in FOREIGN)
+            foreign += name in FOREIGN and not alone
             yield "start", name, attributes
-            if name in RAW:
+            if alone:
+                yield "end", name, None
+            elif name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else n
                 if stop > at:
@@ -144,17 +165,26 @@ def tree(page: str) -> tuple[Node, list[str]]:
     def pop_to(i: int) -> None:
         del stack[i:]
 
+    def nearest(tags: frozenset[str]) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
+
+    def put(child: Node | str) -> None:
+        """Adds to the current element; what is misplaced in a table goes before the table, its parent's last child."""
+        if stack[-1].tag in TABLE_PARTS and (table := nearest(_TABLE)):
+            stack[table - 1].children.insert(-1, child)
+        else:
+            stack[-1].children.append(child)
+
     for kind, value, attributes in tokens(page):
         top = stack[-1]
         if kind == "text":
             text = html.unescape(value) if "&" in value else value
-            if top.tag in TABLE_PARTS:
-                table = next((x for x in reversed(stack) if x.tag == "table"), None)
-                if table is not None:
-                    if text.strip(" \t\n\f\r"):
-                        table.before.append(text)
+            if top.tag in _COLUMNS or top.tag in TABLE_PARTS:
+                if not text.strip(" \t\n\f\r"):
                     continue
-            top.children.append(text)
+                if top.tag in _COLUMNS:
+                    stack.pop()
+            put(text)
         elif kind == "raw":
             if top.tag == "style":
                 styles.append(value)
@@ -166,6 +196,10 @@ def tree(page: str) -> tuple[Node, list[str]]:
                 continue
             if value == "head":
                 continue
+            if value in BREAKOUTS and (i := nearest(FOREIGN)) and nearest(HOLDERS) < i:
+                pop_to(i)
+            if stack[-1].tag in _COLUMNS and value != "col":
+                stack.pop()
             in_table = any(x.tag == "table" for x in stack) if value in CELLS | GROUPS | {"tr", "col", "colgroup"} else True
             if not in_table:
                 continue
@@ -181,20 +215,30 @@ def tree(page: str) -> tuple[Node, list[str]]:
                     pop_to(first)
             if value in HEADINGS and stack[-1].tag in HEADINGS:
                 stack.pop()
+            if value in CONTEXTS:
+                pop_to(nearest(CONTEXTS[value]) + 1)
+            elif value in ("table", "form") and stack[nearest(TABLE_PARTS | CELLS)].tag in TABLE_PARTS:
+                if value == "form":
+                    stack[-1].children.append(Node(value, attributes))
+                    continue
+                pop_to(nearest(_TABLE))
             if value in ("td", "th") and stack[-1].tag in GROUPS | {"table"}:
                 row = Node("tr", {})
                 stack[-1].children.append(row)
                 stack.append(row)
             node = Node(value, attributes)
-            stack[-1].children.append(node)
+            if value in CONTEXTS or value == "col":
+                stack[-1].children.append(node)
+            else:
+                put(node)
             if value not in VOID and (len(stack) < DEEPEST or value in RAW):
                 stack.append(node)
         else:
             if value == "br":
-                top.children.append(Node("br", {}))
+                put(Node("br", {}))
                 continue
             same = HEADINGS if value in HEADINGS else (value,)
-            walls = frozenset(("table",)) if value in CELLS | GROUPS | {"tr"} else CELLS - {value} if value != "table" else ()
+            walls = frozenset(("table",)) if value in CELLS | GROUPS | {"tr"} else CELLS | {"table"} if value != "table" else ()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in same:
                     if value not in INLINE_MARKS or not any(x.tag in BLOCKS for x in stack[i + 1 :]):
@@ -215,6 +259,18 @@ def hidden_names(styles: list[str]) -> frozenset[str]:
     return frozenset(out)
 
 
+def _laid_out(cell: Node) -> bool:
+    """Whether a list, an inner table or preformatted text stands in the cell, not counting what other cells hold."""
+    left = [cell]
+    while left:
+        for child in left.pop().children:
+            if isinstance(child, Node):
+                if child.tag in LAID_OUT:
+                    return True
+                left.append(child)
+    return False
+
+
 class Page:
     """Writes visible nodes as lines. Pending spaces and line ends are written before the next text only."""
 
@@ -222,7 +278,7 @@ class Page:
         self.unseen = unseen
         self.out: list[str] = []
         self.gap, self.space, self.marker = 0, False, ""
-        self.indent = 0
+        self.indent, self.drawn = 0, 0
 
     def _lead(self) -> str:
         if self.gap or not self.out:
@@ -304,12 +360,21 @@ class Page:
         if not displayed:
             return
         tag = node.tag
+        if self.drawn and tag in UNDRAWN:
+            return
+        self.drawn += tag in FOREIGN
+        self.displayed(node, shown, pre)
+        self.drawn -= tag in FOREIGN
+
+    def displayed(self, node: Node, shown: bool, pre: bool) -> None:
+        tag = node.tag
         if tag == "br":
             self.gap, self.space = self.gap + 1 if self.out else 0, False
         elif tag == "table":
             self.table(node, shown)
         else:
-            lines = 2 if tag in PARAGRAPHS else 1 if tag in BLOCKS else 0
+            lines = 2 if tag in PARAGRAPHS else 1 if tag in BLOCKS or self.drawn and tag in ("text", "mtr") else 0
+            self.space |= self.drawn > 0 and tag == "mtd"
             nested = tag in LISTS and self.indent > 0
             if lines:
                 self.block(1 if nested else lines)
@@ -320,11 +385,9 @@ class Page:
                 self.block(1 if nested else lines)
 
     def table(self, table: Node, shown: bool) -> None:
-        for text in table.before:
-            if shown:
-                self.text(text)
         self.block(2)
         rows: list[list[str]] = []
+        whole: list[list[str]] = []  # cells of rows that are written as blocks, not as columns
         for part, seen in self._parts(table, shown):
             if part.tag == "caption":
                 self.block(1)
@@ -332,6 +395,8 @@ class Page:
                 self.block(1)
                 continue
             row: list[str] = []
+            texts: list[str] = []
+            blocks = False
             for cell in part.children:
                 if isinstance(cell, Node) and cell.tag in ("td", "th"):
                     displayed, inside = self.visible(cell, seen)
@@ -340,17 +405,26 @@ class Page:
                     own = Page(self.unseen)
                     own.children(cell, inside, False)
                     span = cell.attributes.get("colspan", "1").strip()
-                    row.append(_SPACE.sub(" ", own.result()))
+                    texts.append(own.result())
+                    row.append(_SPACE.sub(" ", texts[-1]).strip(" "))
+                    blocks |= "\n" in texts[-1] and (len(texts[-1]) > WIDEST_CELL or _laid_out(cell))
                     if re.fullmatch(r"\d{1,4}", span):
                         row += [""] * (min(int(span), MOST_COLUMNS) - 1)
-            rows.append(row)
+            texts = [t for t in texts if t]
+            blocks |= len(texts) == 1 and "\n" in texts[0]
+            rows.append([] if blocks else row)
+            whole.append(texts if blocks else [])
         widths: list[int] = []
         for row in rows:
             widths += [0] * (len(row) - len(widths))
             for i, cell in enumerate(row):
                 if len(cell) <= WIDEST_CELL:
                     widths[i] = max(widths[i], len(cell))
-        for row in rows:
+        for row, texts in zip(rows, whole):
+            for text in texts:
+                self.block(1)
+                self.verbatim(text)
+                self.block(1)
             while row and not row[-1]:
                 row.pop()
             if row:

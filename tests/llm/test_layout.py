@@ -39,6 +39,41 @@ CASES = [
 ]
 
 
+MISPLACED = [
+    ("<table><form><tr><td>x<td>y</form></table>z", "x  y\n\nz"),
+    ("<table><center><tr><td>x</center></table>", "x"),
+    ("<table><tr><b>x</b><td>y</table>", "x\n\ny"),
+    ("<table><tr><div>x</div><p>w<td>y</table>z", "x\n\nw\n\ny\n\nz"),
+    ("<table><tr><td>x</td></tr><div>a</div><p>b", "a\n\nb\n\nx"),
+    ("<table hidden><tr><td>x</td></tr><p>b", "b"),
+    ("<table><colgroup><col><tr><td>x</table>", "x"),
+    ("<table><colgroup>w<tr><td>x</table>", "w\n\nx"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+    ("<div><table><tr></div><td>x<td>y</table>z</div>w", "x  y\n\nz\nw"),
+    ("<table><tr><td><ul><li>a<li>b</ul><td>c</table>", "- a\n- b\nc"),
+    ("<table><tr><td><p>a<p>b</table>", "a\n\nb"),
+    ("<table><tr><td><table><tr><td>a<td>b<tr><td>c<td>d</table><td>e</table>", "a  b\nc  d\ne"),
+    ("<ul><li>k<table><tr><td><pre>a\n b</pre></table></ul>", "- k\n\n  a\n   b"),
+    ("a<svg><title>t</title><defs><text>n</text></defs><path d='x'/><text x=1>b</text><text>c</text></svg>d", "a\nb\nc\nd"),
+    ("<svg><defs/><title/><text>b</text></svg>", "b"),
+    ("<svg><defs><p>b", "b"),
+    ("x <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>q</annotation></math>", "x a=1"),
+]
+
+
+@pytest.mark.parametrize("page,text", MISPLACED)
+def test_misplaced_and_nested_text_is_kept(page, text):
+    assert render(page) == text
+
+
+@pytest.mark.parametrize("page", ["<table><b>x" * 20_000, "<table><tr>" + "<p>x" * 50_000, "<svg><g>x" * 20_000,
+                                  "<table><tr><td><ul><li>x<li>y" * 5_000, "<table><form>x" * 20_000])
+def test_hostile_pages_with_misplaced_elements_take_linear_time(page):
+    start = time.process_time()
+    assert render(page).count("x") == page.count("x")
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_cases(page, text):
     assert render(page) == text
