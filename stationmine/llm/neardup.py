@@ -29,6 +29,8 @@ TREES = 12
 NODE = 500
 #: At this depth every node is compared, whatever its size.
 DEPTH = 6
+#: A task compares about so many documents at once; larger nodes are compared as pairs of blocks of half of that.
+TASK = 16_384
 #: Documents with more candidates than this in a node are crowded: their pairs are not listed.
 GROUP = 2
 #: Crowded documents of one cluster are compared in blocks of so many.
@@ -146,12 +148,15 @@ def _next_nodes(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _candidates(bits0: np.ndarray, bits1: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j or i not in ``some``, whose sketches agree enough; i from all rows, j from ``some``."""
+    """Pairs (i, j) whose sketches agree enough, tile by tile; i from all rows, j from ``some``."""
     for lo in range(0, len(some), 512):
         j = some[lo : lo + 512]
-        differ = np.bitwise_count((bits0[j, None] ^ bits0) | (bits1[j, None] ^ bits1))
-        x, y = np.nonzero(differ <= SKETCH - AGREE)
-        yield y, j[x]
+        for at in range(0, len(bits0), 4096):
+            own0, own1 = bits0[at : at + 4096], bits1[at : at + 4096]
+            differ = np.bitwise_count((bits0[j, None] ^ own0) | (bits1[j, None] ^ own1))
+            x, y = np.nonzero(differ <= SKETCH - AGREE)
+            if len(x):
+                yield y + at, j[x]
 
 
 def _compare(rep: np.ndarray, bits0: np.ndarray, bits1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +181,18 @@ def _compare(rep: np.ndarray, bits0: np.ndarray, bits1: np.ndarray) -> tuple[np.
         for i, j in _candidates(bits0[where], bits1[where], np.arange(lo, lo + len(own))):
             order = np.lexsort((j, i))
             edges.append(forest(i[order], j[order] - lo, rep[where], rep[own]))
-    return np.concatenate(pairs), np.concatenate(edges)
+    return np.concatenate(pairs), _thinned(np.concatenate(edges))
+
+
+def _thinned(edges: np.ndarray) -> np.ndarray:
+    """At most two edges per document that connect what ``edges`` connect."""
+    if not len(edges):
+        return edges
+    ids, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    order = np.lexsort((b, a))
+    found = forest(a[order], b[order], ids, ids)
+    return found[found[:, 0] != found[:, 1]]
 
 
 _FOUND = "kind int, a long, b long"
@@ -232,6 +248,25 @@ def _visit(nodes: DataFrame, branch: bool) -> DataFrame:
     return nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, _FOUND)
 
 
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """Nodes of more than TASK documents as one node for each pair of their blocks; other nodes stay.
+
+    Every two documents of a node meet in some pair of blocks, so the node is still compared in full, by
+    many tasks. What is crowded is judged, and connected, within each pair of blocks.
+    """
+    nodes = cut(nodes)
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > TASK)
+    large = cut(sizes.select("node", F.ceil(2 * F.col("size") / TASK).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return nodes
+    own = F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int")
+    dealt = join_small(nodes, large, ["node"], "left").withColumn("own", own)
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    parted = dealt.filter("blocks IS NOT NULL").withColumn("other", F.explode(others)).withColumn("node", pair)
+    return dealt.filter("blocks IS NULL").select(nodes.columns).union(parted.select(nodes.columns))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The sets (doc_id, members) of some documents, built again from their texts."""
 
@@ -361,7 +396,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         if still.isEmpty():
             break
         depth += 1
-        visited.append(cut(_visit(_next_nodes(still, reps), depth < DEPTH)))
+        nodes = _next_nodes(still, reps)
+        visited.append(cut(_visit(nodes, True) if depth < DEPTH else _visit(_blocks(nodes), False)))
     found = visited[0]
     for more in visited[1:]:
         found = found.union(more)

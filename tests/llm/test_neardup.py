@@ -68,6 +68,38 @@ def test_same_as_all_pairs_through_the_trees(spark, docs, monkeypatch):
     assert answered(neardup.near_duplicates(docs(rows, 5), 2, 80)) == plain(rows, 2, 80)
 
 
+def test_large_nodes_are_compared_as_pairs_of_blocks(spark, docs, monkeypatch):
+    rows = [(7, i, 0, 0) for i in range(100)] + [(8, i, 0, 0) for i in range(16)]
+    monkeypatch.setattr(neardup, "TASK", 16)
+    met = {}
+    for r in neardup._blocks(spark.createDataFrame(rows, neardup._NODE_ROW)).collect():
+        met.setdefault(r["node"], []).append(r["rep"])
+    assert sorted(met.pop(8)) == list(range(16)) and 7 not in met and max(map(len, met.values())) <= 32
+    assert {(a, b) for m in met.values() for a in m for b in m} == {(a, b) for a in range(100) for b in range(100)}
+
+    monkeypatch.setattr(neardup, "NODE", 12)
+    monkeypatch.setattr(neardup, "DEPTH", 3)
+    seen, visit = [], neardup._visit
+
+    def counted(nodes, branch):
+        if not branch:
+            seen.append(max(r["count"] for r in nodes.groupBy("node").count().collect()))
+        return visit(nodes, branch)
+
+    monkeypatch.setattr(neardup, "_visit", counted)
+    rows = corpus(3, 4, 90)
+    assert answered(neardup.near_duplicates(docs(rows, 5), 2, 80)) == plain(rows, 2, 80)
+    assert len(seen) == 1 and seen[0] <= 32
+
+
+def test_candidates_are_tiled_on_both_sides():
+    bits = np.zeros((2, 5000), np.uint64)
+    tiles = [len(i) for i, _ in neardup._candidates(bits[0], bits[1], np.arange(5000))]
+    assert sum(tiles) == 5000**2 and max(tiles) <= 512 * 4096
+    pairs, edges = neardup._compare(np.arange(5000, dtype=np.uint64), bits[0], bits[1])
+    assert not len(pairs) and {int(x) for x in edges.ravel()} == set(range(5000)) and len(edges) <= 10_000
+
+
 def test_many_copies_are_one_row_of_the_join(spark, docs):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(i, text) for i in range(400)] + [(1000, text.upper()), (1001, text + " x"), (1002, "other text of its own")]
