@@ -42,7 +42,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # such strings in a text are plain text
         before = json.loads(self.library.to_str())["pre_tokenizer"]
         self.by_word = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         self.line_end = len(self._ids(["\n"])[0])

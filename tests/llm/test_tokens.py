@@ -13,7 +13,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     "", None, " ", "a", "a  b", "\n\na b \n c\n", "x\ty z", "it's we'll <|endoftext|> ok", "é b", "　a b", "a" * 3000,
     "no " * 5000, "1234 5,6;7 \r\n b", "end\n", "▁x ▁", "  lead", "\n", "a\nb", "日本語 テキスト", "👩‍👩‍👧 x\x00y", "<s> </s> <unk>",
-    "a b c", "one\n\ntwo", "tail ", "ﬁ ①",
+    "a b c", "one\n\ntwo", "tail ", "ﬁ ①", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>\nb <|endoftext|>",
 ]
 
 
@@ -21,9 +21,7 @@ ODD = [
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def test_packed_ids_are_the_librarys(spark, docs, library):
