@@ -215,7 +215,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     and ``verified`` tells whether it is the root. Null, empty and long values are told apart by ``field``.
     Only doc_id, source, lang, n_chars and text are read. No rows: no rows.
     """
-    rows = leaves(docs)
+    rows = cut(leaves(docs))  # ranges are sampled first: texts are read and hashed once
     placed = ranked(rows, ["doc_id", "leaf"])
     keep = F.struct("doc_id", "altered")
     trees = Forest(placed.select("tree", "rank", "size", F.col("leaf").alias("digest"), keep.alias("kept")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, layout, merkle, multiindex, neardup, packing, pieces, quality, ranges, rlz
+from stationmine.llm import chat, language, layout, merkle, multiindex, neardup, packing, pieces, quality, ranges, rlz, whitening
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
@@ -101,6 +101,10 @@ def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op12_bidiagonal_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(read(spark, root, "embeddings"), components=32)
+
+
 def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     return merkle.manifest(read(spark, root, "documents"))
 

@@ -26,6 +26,7 @@ COLUMNS = {
     "op7_chosen_path_near_duplicates": "doc_id n_shingles component_id kept",
     "op8_metric_range_join": "vec_id n_links component_id kept",
     "op9_layout_text": "page_id text",
+    "op12_bidiagonal_whitening": "vec_id component n deviation whitened explained identity_error",
     "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op10_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
