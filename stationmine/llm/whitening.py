@@ -202,7 +202,7 @@ def right_vectors(a: np.ndarray, b: np.ndarray, squares: np.ndarray, k: int) ->
             if size > 0.5:
                 break
             # nothing new in z: look elsewhere, and let the factorisation turn it to this value
-            start = draw.standard_normal(len(a)) if attempt % 2 == 0 else left / max(size, 1e-300)
+            start = left / size if attempt % 2 and size > _EPS else draw.standard_normal(len(a))
             start -= before @ (before.T @ start)
             z = form.solve(start / np.sqrt(start @ start)) if attempt < 6 else start / np.sqrt(start @ start)
         out[:, j] = left / size
@@ -313,17 +313,18 @@ def whiten(vectors: DataFrame, components: int = 32) -> DataFrame:
     rows = vectors.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), grid(F.col("embedding")).alias("x"))
     rows = cut(rows)
     spark = vectors.sparkSession
-    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.size("x")), F.max(F.size("x"))).first()
+    largest = F.max(F.array_max(F.transform("x", F.abs)))
+    n, least, most, largest = rows.agg(F.count(F.lit(1)), F.min(F.size("x")), F.max(F.size("x")), largest).first()
     if n == 0:
         return spark.createDataFrame([], _OUT)
     if least != most:
         raise ValueError(f"vectors of different lengths: {least} to {most} entries")
     d = most
-    largest = rows.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
     if n * largest >= 2**62:
         raise OverflowError("sums of entries need more than 64 bits")
     sums = np.array(_sums(rows, "x", "array<long>", lambda x: x.sum(axis=0), d), np.int64)
-    squares, basis = directions(_folded(rows, n, sums), min(components, d))
+    r = _folded(rows, n, sums)
+    squares, basis = directions(r, min(components, d))
     if not len(squares):
         return spark.createDataFrame([], _OUT)
     k = len(squares)
@@ -335,9 +336,7 @@ def whiten(vectors: DataFrame, components: int = 32) -> DataFrame:
 
     found = np.array(_sums(rows, "x", "array<double>", products, d)).reshape(k + 1, k) / n
     error = float(np.abs(found[1:] - np.outer(found[0], found[0]) - np.eye(k)).max())
-    # the trace is the sum of all squares, exact in the limit of rounding; V's size cancels
-    trace = float(np.sum(_deviations(rows, n, sums))) / n / n / n
-    explained = squares / n / trace
+    explained = squares / (r * r).sum()  # all squares together are n times the trace
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,8 +369,3 @@ def _deviation(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
             raise OverflowError("a deviation needs more than 64 bits")
         return np.array(exact, np.int64)
     return (apart * apart).sum(axis=1)
-
-
-def _deviations(rows: DataFrame, n: int, sums: np.ndarray) -> list[float]:
-    """Sums of (n x - S)² per dimension."""
-    return _sums(rows, "x", "array<double>", lambda x: ((n * x - sums).astype(float) ** 2).sum(axis=0), len(sums))
