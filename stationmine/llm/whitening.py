@@ -137,7 +137,7 @@ class Twisted:
         self.off = a[:-1] * b
         tiny = np.finfo(float).tiny / _EPS
         floor = tiny + _EPS * _EPS * max(x, 0.0)
-        guard = lambda v: v if abs(v) > floor else floor
+        guard = self.guard = lambda v: v if abs(v) > floor else floor
         s, p = np.empty(n), np.empty(n)
         self.down, self.up = np.empty(n), np.empty(n)
         s[0] = -x
@@ -163,7 +163,7 @@ class Twisted:
             y[i + 1] -= self.off[i] / self.down[i] * y[i]
         for i in range(n - 1, k, -1):
             y[i - 1] -= self.off[i - 1] / self.up[i] * y[i]
-        middle = self.gamma[k] or np.finfo(float).tiny / _EPS
+        middle = self.guard(self.gamma[k])
         pivots = np.concatenate([self.down[:k], [middle], self.up[k + 1 :]])
         z = y * (np.abs(pivots).min() / pivots)
         return self._spread(z, z[k])
