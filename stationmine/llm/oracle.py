@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stationmine.llm import urls
+
 _CHAT = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -171,11 +173,57 @@ SELECT *, folded_root = root AS verified FROM found
 """
 
 
+def _spread(name: str, src: str, dst: str, verdict: str) -> str:
+    """Recursive table (round, host, score) of a propagation along edges from ``src`` to ``dst``."""
+    kept = urls.PARTS - urls.PASSED
+    return f"""{name}_flows AS (
+  SELECT {src} AS src, {dst} AS dst, CAST(count(*) OVER (PARTITION BY {src}) AS BIGINT) AS degree, CAST(NULL AS BIGINT) AS base FROM edges
+  UNION ALL
+  SELECT host, host, 1, CAST(sum(base) AS BIGINT) FROM (
+    SELECT host, CAST(count(*) * {urls.UNIT} * {kept} // {urls.PARTS} AS BIGINT) AS base FROM ruled
+    WHERE verdict = '{verdict}' GROUP BY host
+    UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY host
+), {name}_rounds AS (
+  SELECT 0 AS round, src AS host, CAST(base AS BIGINT) AS score FROM {name}_flows WHERE base IS NOT NULL
+  UNION ALL
+  SELECT round + 1, dst, CAST(sum(coalesce(base, score * {urls.PASSED} // ({urls.PARTS} * degree))) AS BIGINT)
+  FROM {name}_rounds JOIN {name}_flows ON host = src WHERE round < {urls.ROUNDS} GROUP BY round, dst
+), {name} AS (SELECT host, score FROM {name}_rounds WHERE round = {urls.ROUNDS})"""
+
+
+_URLS = rf"""
+WITH RECURSIVE located AS (
+  SELECT row_number() OVER () AS row, page_id, html, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host
+  FROM pages
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT row, verdict, rule_host || rule_path AS rule FROM located JOIN rules
+    ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC) = 1
+), ruled AS (
+  SELECT page_id, host, path, rule, verdict FROM located LEFT JOIN fits USING (row)
+), links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{urls.LINK.replace("'", "''")}', 1)),
+    '{urls.UPPER}', '{urls.LOWER}') AS dst FROM located
+), edges AS (
+  SELECT DISTINCT src, dst FROM links WHERE src <> '' AND src <> dst
+), {_spread("trusted", "src", "dst", "allow")}, {_spread("distrusted", "dst", "src", "block")}
+SELECT page_id, host, path, rule, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust,
+  coalesce(verdict, CASE WHEN CAST(coalesce(d.score, 0) AS HUGEINT) * 100 >
+    (CAST(coalesce(t.score, 0) AS HUGEINT) + coalesce(d.score, 0)) * {urls.PERCENT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN trusted t USING (host) LEFT JOIN distrusted d USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _CHAT,
         "op3_relative_lempel_ziv": _PASSAGES,
         "op7_chosen_path_near_duplicates": _NEAR,
         "op8_metric_range_join": _RANGE,
+        "op11_link_graph_filter": _URLS,
         "op13_merkle_manifest": _MERKLE,
     }

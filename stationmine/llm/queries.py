@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationmine.llm import chat, language, layout, merkle, multiindex, neardup, packing, pieces, quality, ranges, rlz, whitening
+from stationmine.llm import chat, language, layout, merkle, multiindex, neardup, packing, pieces, quality, ranges, rlz, urls, whitening
 from stationmine.llm.tables import read
 
 #: Documents that score less are predicted to be of low quality.
 QUALITY = 0.7
 
+#: Hosts, starts of paths and what becomes of their pages.
+RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -101,6 +110,11 @@ def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_link_graph_filter(spark: SparkSession, root: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return urls.judge(read(spark, root, "pages"), rules)
+
+
 def op12_bidiagonal_whitening(spark: SparkSession, root: str) -> DataFrame:
     return whitening.whiten(read(spark, root, "embeddings"), components=32)
 

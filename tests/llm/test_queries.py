@@ -26,6 +26,7 @@ COLUMNS = {
     "op7_chosen_path_near_duplicates": "doc_id n_shingles component_id kept",
     "op8_metric_range_join": "vec_id n_links component_id kept",
     "op9_layout_text": "page_id text",
+    "op11_link_graph_filter": "page_id host path rule verdict trust distrust",
     "op12_bidiagonal_whitening": "vec_id component n deviation whitened explained identity_error",
     "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op10_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
@@ -35,7 +36,7 @@ COLUMNS = {
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     return con
 
