@@ -7,6 +7,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from stationmine.operators import mining
 from stationmine.operators import patterns as pt
 from stationmine.sources.readers import read_rules_text
 from stationmine.sources.sinks import rules_to_line, write_rules_text
@@ -51,6 +54,67 @@ def mined(spark):
     return seqs, pt.frequent_patterns(df, 0.1, 3)
 
 
+def held(seq, pattern):
+    """Whether the pattern's slots lie in slots of the sequence, in order."""
+    at = 0
+    for slot in pattern:
+        while at < len(seq) and not set(slot) <= set(seq[at]):
+            at += 1
+        if at == len(seq):
+            return False
+        at += 1
+    return True
+
+
+def grow_plainly(seqs, need, max_items):
+    """Patterns over items that may recur in several slots, by growing and counting each one apart."""
+    items = sorted({i for s in seqs for slot in s for i in slot})
+    level, out = [((i,),) for i in items], {}
+    for _ in range(max_items):
+        counts = {p: sum(held(s, p) for s in seqs) for p in level}
+        level = [p for p, c in counts.items() if c >= need]
+        out |= {p: counts[p] for p in level}
+        level = [p + ((i,),) for p in level for i in items] + [p[:-1] + (p[-1] + (i,),) for p in level for i in items if i > p[-1][-1]]
+    return out
+
+
+@pytest.mark.parametrize("seed,block", [(1, 256), (2, 2)])
+def test_items_that_recur_in_later_slots(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(mining, "BLOCK", block)
+    monkeypatch.setattr(mining, "BLOCKS", 3)
+    monkeypatch.setattr(mining, "CHUNK_BYTES", 100)
+    rng = random.Random(seed)
+    seqs = [[[i for i in "abcd" if rng.random() < 0.4] for _ in range(rng.randrange(5))] for _ in range(90)]
+    seqs += seqs[:7] * 40 + [[["a", "a"], ["b"]]] * 3
+    df = spark.createDataFrame([(s,) for s in seqs] + [(None,)], "sequence array<array<string>>")
+    got = {tuple(map(tuple, r["sequence"])): r["freq"] for r in mining.mine(df, 0.2, 4).collect()}
+    assert got == grow_plainly(seqs, math.ceil(0.2 * len(seqs)), 4)
+
+
+def test_sets_are_mined_side_by_side(spark):
+    groups = {k: random_sequences(k, 40 + 20 * k) for k in (1, 2, 3)}
+    df = spark.createDataFrame([(k, s) for k, seqs in groups.items() for s in seqs], "tag int, sequence array<array<string>>")
+    found = pt.named(mining.mine(df, 0.15, 3, F.col("tag"))).collect()
+    for k, seqs in groups.items():
+        assert {r["key"]: r["freq"] for r in found if r["tag"] == k} == enumerate_patterns(seqs, 0.15, 3)
+
+
+def test_nothing_to_mine(spark):
+    empty = spark.createDataFrame([], "sequence array<array<string>>")
+    assert mining.mine(empty, 0.1).count() == 0
+    rare = spark.createDataFrame([([[str(i)]],) for i in range(20)] + [([],)], "sequence array<array<string>>")
+    assert mining.mine(rare, 0.5).count() == 0
+
+
+def test_patterns_stay_off_the_driver(spark, monkeypatch):
+    """Only totals and frequent items are collected."""
+    df = spark.createDataFrame([(s,) for s in random_sequences(4)], "sequence array<array<string>>")
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: seen.append(d.columns) or collect(d))
+    mining.mine(df, 0.1, 4)
+    assert seen == [["key", "n"], ["key", "item", "n"]]
+
+
 def is_focal(key):
     return any(i.endswith("_T0_0") for slot in key.split("-") for i in slot.split(","))
 
