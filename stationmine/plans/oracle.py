@@ -23,6 +23,7 @@ from stationmine.plans.queries import (
     SPLIT,
     SUPPORT,
     TARGET,
+    TREE_DEPTH,
     TEST,
     TRAIN,
     WIDTH,
@@ -1336,5 +1337,73 @@ final(
 )
 
 
+def grown(name: str, rows: str, depth: int) -> str:
+    """Trees per model ``s`` over rows (s, station_id, x, y, w; w = 0: to be predicted): one step of the tree per part."""
+    part(f"{name}_0", f"SELECT *, 1::BIGINT AS node FROM {rows}")
+
+    def impurity(n: str, p: str) -> str:
+        return f"(CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * ({p}) * ({n} - ({p})) / ({n}) END)"
+
+    for k in range(depth):
+        part(
+            f"{name}_h{k}",
+            f"""
+            SELECT s, node, f, b, sum(w) AS n, sum(w * y) AS p FROM (
+              SELECT s, node, w, y, unnest(range(len(x))) AS f, unnest(x) AS b FROM {name}_{k} WHERE w > 0 AND node >= {1 << k})
+            GROUP BY ALL
+            """,
+        )
+        part(
+            f"{name}_c{k}",
+            f"""
+            SELECT *, sum(n) OVER upto AS ln, sum(p) OVER upto AS lp, sum(n) OVER whole AS tn, sum(p) OVER whole AS tp
+            FROM {name}_h{k}
+            WINDOW whole AS (PARTITION BY s, node, f), upto AS (PARTITION BY s, node, f ORDER BY b)
+            """,
+        )
+        part(
+            f"{name}_b{k}",
+            f"""
+            SELECT s, node, f, b FROM (
+              SELECT *, round({impurity('tn', 'tp')} - {impurity('ln', 'lp')} - {impurity('tn - ln', 'tp - lp')}, 9) AS gain
+              FROM {name}_c{k} WHERE ln < tn)
+            WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY s, node ORDER BY gain DESC, f, b) = 1
+            """,
+        )
+        part(
+            f"{name}_{k + 1}",
+            f"""
+            SELECT t.s, station_id, x, y, w, CASE WHEN f IS NULL THEN t.node ELSE 2 * t.node + CAST(x[f + 1] > b AS INT) END AS node
+            FROM {name}_{k} t LEFT JOIN {name}_b{k} g ON t.s = g.s AND t.node = g.node
+            """,
+        )
+    part(f"{name}_leaf", f"SELECT s, node, sum(w) AS n, sum(w * y) AS p FROM {name}_{depth} WHERE w > 0 GROUP BY ALL")
+    return part(
+        f"{name}_hit", f"SELECT station_id, y, 2 * p > n AS hit FROM {name}_{depth} JOIN {name}_leaf USING (s, node) WHERE w = 0"
+    )
+
+
+def _binned(features: str) -> str:
+    return f"[CAST(greatest(0, least(63, floor(round(v, 6)))) AS INT) FOR v IN {features}]"
+
+
+_late = f"CAST({as_time('bin')} < TIMESTAMP '{SPLIT}' AS INT) AS w, CAST(status = 'QP' AS INT) AS y"
+part("fx_tree_rows", f"SELECT station_id AS s, station_id, {_binned('features')} AS x, {_late} FROM fx_features")
+part(
+    "fx_city_means",
+    f"SELECT city, bin, [{', '.join(f'avg(own[{i + 1}])' for i in range(2 * WIDTH))}] AS means FROM fx_features GROUP BY ALL",
+)
+part(
+    "fx_network_rows",
+    f"""
+    SELECT 0 AS s, station_id, {_binned('list_concat(own, means)')} AS x, {_late}
+    FROM fx_features JOIN fx_city_means USING (city, bin)
+    """,
+)
+for _key, _rows in (("tree_confusion", "fx_tree_rows"), ("network_tree_confusion", "fx_network_rows")):
+    _hit = grown(f"{_rows}_t", _rows, TREE_DEPTH)
+    final(_key, f"SELECT station_id, {cells('hit', 'y = 1')} FROM {_hit} GROUP BY station_id")
+
+
 def oracle_sql() -> dict[str, str]:
     return {key: _with_parts(sql) for key, sql in _final.items()}

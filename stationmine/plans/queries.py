@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time, pattern_key, register_sql_functions
 from stationmine.operators import classify as cl
-from stationmine.operators import clean, correlation, grid, inspect, ml, series, states, trips, windows
+from stationmine.operators import clean, correlation, grid, inspect, ml, series, states, trees, trips, windows
 from stationmine.operators import neighbors as nb
 from stationmine.operators import patterns as pt
 from stationmine.operators import sequences as sq
@@ -459,6 +459,80 @@ def _(fx: Fixture) -> DataFrame:
     return support_of(found, "classifier")
 
 
+# --- one tree per station, all of them at once ---------------------------------------------
+
+#: Limits of single trees and of forests; the grid that is searched; folds.
+TREE_DEPTH, FOREST, FOREST_DEPTH, FOLDS = 5, 100, 10, 3
+POINTS = ([2, 3, 4, 5], [1, 2, 3], [False, True])
+
+
+def tree_rows(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of all stations of every city, binned by whole docks and bikes."""
+    x = trees.cells(F.transform("features", lambda v: F.round(v, 6)))
+    y = (F.col("status") == ml.POSITIVE).cast("int")
+    rows = cut(table.select("station_id", bin_time("bin").alias("time"), x.alias("x"), y.alias("y"), F.lit(1).alias("w")))
+    return clean.before(rows, SPLIT), clean.since(rows, SPLIT)
+
+
+def limited(rows: DataFrame, depth: int) -> DataFrame:
+    return rows.select("*", F.lit(depth).alias("depth"), F.lit(1).alias("least"), F.lit(False).alias("entropy"))
+
+
+def hits(routed: DataFrame, hit, *by: str) -> DataFrame:
+    """Counts per ``by`` of rows whose prediction is ``hit`` and whose truth is y."""
+    cells_ = cl._cells(hit, F.col("y") == 1)
+    return routed.groupBy(*by).agg(*[c.alias(n) for n, c in cells_.items()])
+
+
+MAJORITY = 2 * F.col("p") > F.col("n")
+
+
+@query("tree_confusion")
+def _(fx: Fixture) -> DataFrame:
+    """A tree per station of every city, saved, loaded and applied to what came later."""
+    train, test = tree_rows(features(fx))
+    path = fresh_path(fx.spark)
+    trees.save(trees.grow(limited(train, TREE_DEPTH), ["station_id"]), path)
+    return hits(trees.route(test, trees.load(fx.spark, path)), MAJORITY, "station_id")
+
+
+@query("network_tree_confusion")
+def _(fx: Fixture) -> DataFrame:
+    """One tree for the whole network, on each station's values and its city's means."""
+    train, test = tree_rows(ml.network_features(features(fx), WIDTH))
+    whole = F.lit(0).alias("network")
+    model = trees.grow(limited(train, TREE_DEPTH).select("*", whole), ["network"])
+    return hits(trees.route(test.select("*", whole), model), MAJORITY, "station_id")
+
+
+@query("forest_confusion")
+def _(fx: Fixture) -> DataFrame:
+    """A forest per station, all trees of all stations grown together."""
+    train, test = tree_rows(features(fx))
+    n = F.size("x")
+    width = train.select(F.max(F.ceil(F.sqrt(n)))).first()[0] or 1
+    model = trees.grow(limited(trees.drawn(train, FOREST, ["station_id", "time"]), FOREST_DEPTH), ["station_id", "tree"], width)
+    many = test.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(FOREST - 1))))
+    voted = trees.vote(trees.route(many, model), ["station_id", "time", "y"])
+    return hits(voted, F.col("positive"), "station_id")
+
+
+@query("tuned_trees")
+def _(fx: Fixture) -> DataFrame:
+    """Per scorer: overall metrics of trees whose limits were chosen per station by cross validation."""
+    train, test = tree_rows(features(fx))
+    counts = cl._cells(F.col("hit"), F.col("y") == 1)
+    points = trees.grid_points(train, *POINTS)
+    folds = cl.metrics(trees.cross_validated(points, ["station_id", "point"], ["station_id", "time"], FOLDS, counts))
+    scorers = F.explode(F.array(*[F.struct(F.lit(s).alias("scorer"), F.coalesce(F.col(s), F.lit(0.0)).alias("value")) for s in ml.SCORERS]))
+    means = folds.select("station_id", "point", scorers.alias("s")).groupBy("station_id", "s.scorer", "point").agg(F.round(F.avg("s.value"), 9).alias("mean"))
+    best = means.groupBy("station_id", "scorer").agg(F.max(F.struct("mean", (-F.col("point")).alias("p")))["p"].alias("p"))
+    chosen = cut(best.select("station_id", "scorer", (-F.col("p")).alias("point")))
+    model = trees.grow(points.join(chosen.select("station_id", "point").distinct(), ["station_id", "point"], "left_semi"), ["station_id", "point"])
+    rest = clean.skip_first(test, 3, order="time").join(chosen, "station_id")
+    return cl.metrics(hits(trees.route(rest, model), MAJORITY, "scorer"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_registry)
 

@@ -34,7 +34,8 @@ def normal(rows, names):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    # these depend on hashes that SQL does not have; tests/test_trees.py holds them against plain versions
+    assert set(QUERIES) - set(SQL) == {"forest_confusion", "tuned_trees"} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

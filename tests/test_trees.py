@@ -1,0 +1,252 @@
+"""Trees grown side by side against a plain learner on the same bins."""
+
+import math
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from stationmine.operators import trees
+
+SCHEMA = "s int, row int, x array<int>, y int, w int, depth int, least int, entropy boolean"
+
+
+def impurity(n, p, entropy):
+    if n == 0:
+        return 0.0
+    if not entropy:
+        return 2.0 * p * (n - p) / n
+    return sum(-a * math.log2(a / n) for a in (p, n - p) if a)
+
+
+def plain_tree(rows, depth, least, entropy, choose=None, node=1):
+    """{node: (feature, bin)} and {node: (n, p)} from rows (x, y, w)."""
+    n, p = sum(w for *_, w in rows), sum(y * w for _, y, w in rows)
+    best = None
+    if depth:
+        for f in choose(node) if choose else range(len(rows[0][0])):
+            for b in sorted({x[f] for x, _, _ in rows}):
+                left = [(x, y, w) for x, y, w in rows if x[f] <= b]
+                ln, lp = sum(w for *_, w in left), sum(y * w for _, y, w in left)
+                if ln < least or n - ln < least:
+                    continue
+                gain = round(impurity(n, p, entropy) - impurity(ln, lp, entropy) - impurity(n - ln, p - lp, entropy), 9)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, f, b)
+    if best is None:
+        return {}, {node: (n, p)}
+    _, f, b = best
+    splits, leaves = {node: (f, b)}, {}
+    for side in (0, 1):
+        part = [r for r in rows if (r[0][f] > b) == side]
+        s, m = plain_tree(part, depth - 1, least, entropy, choose, 2 * node + side)
+        splits |= s
+        leaves |= m
+    return splits, leaves
+
+
+def some_rows(seed, stations=4, n=40, features=5):
+    draw = random.Random(seed)
+    limits = [(3, 1, False), (5, 2, True), (2, 3, False), (30, 1, False)]
+    out = []
+    for s in range(stations):
+        for i in range(n):
+            x = [draw.randrange(6) for _ in range(features)]
+            y = int((x[0] > 2) ^ (x[s % features] > 3) ^ (draw.random() < 0.1))
+            out.append((s, i, x, y, draw.choice([0, 1, 1, 2]), *limits[s % 4]))
+    return out
+
+
+def tables(model, *keys):
+    splits, leaves = defaultdict(dict), defaultdict(dict)
+    for r in model.splits.collect():
+        splits[tuple(r[k] for k in keys)][r["node"]] = (r["feature"], r["bin"])
+    for r in model.leaves.collect():
+        leaves[tuple(r[k] for k in keys)][r["node"]] = (r["n"], r["p"])
+    return splits, leaves
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_same_trees_as_one_by_one(spark, seed):
+    rows = some_rows(seed)
+    splits, leaves = tables(trees.grow(spark.createDataFrame(rows, SCHEMA).repartition(3), ["s"]), "s")
+    for s in range(4):
+        mine = [(x, y, w) for k, _, x, y, w, *_ in rows if k == s and w]
+        limits = next(r[5:] for r in rows if r[0] == s)
+        want = plain_tree(mine, *limits)
+        assert (splits[(s,)], leaves[(s,)]) == want and want[0]
+
+
+def walk(x, splits):
+    node = 1
+    while node in splits:
+        f, b = splits[node]
+        node = 2 * node + (x[f] > b)
+    return node
+
+
+def test_routing_a_saved_model(spark, tmp_path):
+    rows = some_rows(3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = trees.grow(frame, ["s"])
+    trees.save(model, str(tmp_path / "m"))
+    again = trees.load(spark, str(tmp_path / "m"))
+    assert (again.keys, again.depth) == (["s"], model.depth)
+    splits, leaves = tables(model, "s")
+    got = {(r["s"], r["row"]): (r["n"], r["p"]) for r in trees.route(frame, again).collect()}
+    assert got == {(s, i): leaves[(s,)][walk(x, splits[(s,)])] for s, i, x, *_ in rows}
+
+
+def test_forest_of_drawn_rows_and_features(spark):
+    frame = spark.createDataFrame(some_rows(4, 2, 30), SCHEMA).withColumn("depth", F.lit(4))
+    many = trees.drawn(frame, 5, ["s", "row"])
+    weights = many.collect()
+    assert 0.7 < sum(r["w"] for r in weights) / sum(r["w"] > -1 and r["y"] > -1 for r in weights) / 0.75 < 1.3
+    model = trees.grow(many, ["s", "tree"], subset=2)
+    splits, leaves = tables(model, "s", "tree")
+    nodes = spark.range(1, 64).select(F.col("id").alias("node"))
+    luck = defaultdict(list)
+    for r in nodes.selectExpr("node", "explode(sequence(0, 1)) AS s").selectExpr("*", "explode(sequence(0, 4)) AS tree").selectExpr(
+        "*", "explode(sequence(0, 4)) AS f").selectExpr("*", "xxhash64(s, tree, node, f) AS h").collect():
+        luck[r["s"], r["tree"], r["node"]].append((r["h"], r["f"]))
+    for s in range(2):
+        for t in range(5):
+            mine = [(r["x"], r["y"], r["w"]) for r in weights if (r["s"], r["tree"]) == (s, t) and r["w"]]
+            limits = next((r["depth"], r["least"], r["entropy"]) for r in weights if r["s"] == s)
+            choose = lambda node: sorted(f for _, f in sorted(luck[s, t, node])[:2])  # noqa: B023, E731
+            assert (splits[s, t], leaves[s, t]) == plain_tree(mine, *limits, choose)
+    voted = trees.vote(trees.route(many, model), ["s", "row", "y"]).collect()
+    assert len(voted) == 60 and sum(r["positive"] == bool(r["y"]) for r in voted) > 45
+
+
+def test_one_class_equal_rows_and_no_rows(spark):
+    rows = [(1, i, [1, 2], 1, 1, 3, 1, False) for i in range(4)] + [(2, i, [i, 0], 0, 1, 3, 1, True) for i in range(4)]
+    rows += [(3, i, [0, 0], i % 2, 1, 3, 1, False) for i in range(4)] + [(4, 0, [0, 0], 1, 0, 3, 1, False)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = trees.grow(frame, ["s"])
+    assert model.splits.isEmpty() and {r["s"]: (r["n"], r["p"]) for r in model.leaves.collect()} == {1: (4, 4), 2: (4, 0), 3: (4, 2)}
+    assert trees.route(frame, model).count() == 12  # the fourth has no tree
+    none = trees.grow(frame.limit(0), ["s"])
+    assert none.leaves.isEmpty() and trees.route(frame, none).isEmpty()
+
+
+def test_folds_and_points_grow_side_by_side(spark):
+    frame = spark.createDataFrame(some_rows(6, 2, 45), SCHEMA).drop("depth", "least", "entropy")
+    points = trees.grid_points(frame, [1, 3], [1, 2], [False, True])
+    counts = {"right": F.count_if(F.col("hit") == (F.col("y") == 1)), "n": F.count(F.lit(1))}
+    got = {(r["s"], r["point"], r["fold"]): (r["right"], r["n"]) for r in trees.cross_validated(points, ["s", "point"], ["s", "row"], 3, counts).collect()}
+    fold = {(r["s"], r["row"]): r["f"] for r in frame.selectExpr("s", "row", "pmod(xxhash64(5, s, row), 3) AS f").collect()}
+    rows = frame.collect()
+    grid = [(d, m, e) for d in (1, 3) for m in (1, 2) for e in (False, True)]
+    for s in range(2):
+        for i, limits in enumerate(grid):
+            for k in range(3):
+                train = [(r["x"], r["y"], r["w"]) for r in rows if r["s"] == s and fold[s, r["row"]] != k and r["w"]]
+                held = [r for r in rows if r["s"] == s and fold[s, r["row"]] == k]
+                splits, leaves = plain_tree(train, *limits)
+                right = 0
+                for r in held:
+                    n, p = leaves[walk(r["x"], splits)]
+                    right += (2 * p > n) == (r["y"] == 1)
+                assert got[s, i, k] == (right, len(held))
+
+
+ROOT = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def fixture_rows(spark):
+    """(train, test) per station: time, x, y."""
+    from stationmine.plans import queries as q
+    from stationmine.sources.fixture import Fixture
+
+    out = []
+    for part in q.tree_rows(q.features(Fixture(spark, ROOT))):
+        by = defaultdict(list)
+        for r in part.orderBy("time").collect():
+            by[r["station_id"]].append((r["time"], r["x"], r["y"]))
+        out.append(by)
+    return out
+
+
+def count(found):
+    out = {"tp": 0, "tn": 0, "fp": 0, "fn": 0}
+    for hit, y in found:
+        out[("tp" if y else "fp") if hit else ("fn" if y else "tn")] += 1
+    return out
+
+
+def test_query_of_forests(spark, monkeypatch, fixture_rows):
+    from stationmine.plans import queries as q
+
+    monkeypatch.setattr(q, "FOREST", 3)
+    monkeypatch.setattr(q, "FOREST_DEPTH", 2)
+    train, test = fixture_rows
+    got = {r["station_id"]: r.asDict() for r in q.queries()["forest_confusion"](spark, ROOT).collect()}
+    n_features = len(next(iter(train.values()))[0][1])
+    times = [(s, t) for s, rows in train.items() for t, *_ in rows]
+    ids = spark.createDataFrame(times, "s long, time timestamp").selectExpr("*", "explode(sequence(0, 2)) AS tree")
+    u = ids.selectExpr("s", "time", "tree", "pmod(xxhash64(tree, s, time), 1048576) / 1048576.0D AS u").collect()
+    weight = {(r["s"], r["time"], r["tree"]): sum(a <= r["u"] for a in trees.AT_MOST) for r in u}
+    luck = defaultdict(list)
+    cells_ = spark.createDataFrame([(s,) for s in train], "s long").selectExpr("s", "explode(sequence(0, 2)) AS tree")
+    cells_ = cells_.selectExpr("*", "explode(sequence(1L, 7L)) AS node").selectExpr("*", f"explode(sequence(0, {n_features - 1})) AS f")
+    for r in cells_.selectExpr("*", "xxhash64(s, tree, node, f) AS h").collect():
+        luck[r["s"], r["tree"], r["node"]].append((r["h"], r["f"]))
+    for s in set(train) & set(test):
+        votes = defaultdict(list)
+        for t in range(3):
+            own = [(x, y, weight[s, time, t]) for time, x, y in train[s] if weight[s, time, t]]
+            if not own:
+                continue
+            choose = lambda node: sorted(f for _, f in sorted(luck[s, t, node])[: math.ceil(math.sqrt(n_features))])  # noqa: B023, E731
+            splits, leaves = plain_tree(own, 2, 1, False, choose)
+            for i, (_, x, _) in enumerate(test[s]):
+                n, p = leaves[walk(x, splits)]
+                votes[i].append(p / n)
+        want = count((sum(v) / len(v) > 0.5, test[s][i][2]) for i, v in votes.items())
+        assert {c: got[s][c] for c in want} == want
+    assert set(got) == set(train) & set(test)
+
+
+def test_query_of_tuned_trees(spark, monkeypatch, fixture_rows):
+    from stationmine.plans import queries as q
+
+    monkeypatch.setattr(q, "POINTS", ([1, 3], [1, 2], [True]))
+    train, test = fixture_rows
+    got = {r["scorer"]: r.asDict() for r in q.queries()["tuned_trees"](spark, ROOT).collect()}
+    ids = spark.createDataFrame([(s, t) for s, rows in train.items() for t, *_ in rows], "s long, time timestamp")
+    fold = {(r["s"], r["time"]): r["f"] for r in ids.selectExpr("s", "time", "pmod(xxhash64(5, s, time), 3) AS f").collect()}
+    points = [(d, m, True) for d in (1, 3) for m in (1, 2)]
+
+    def score(found, scorer):
+        c = count(found)
+        p = c["tp"] / (c["tp"] + c["fp"]) if c["tp"] + c["fp"] else 0
+        r = c["tp"] / (c["tp"] + c["fn"]) if c["tp"] + c["fn"] else 0
+        return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0}[scorer]
+
+    def predict(rows, held, limits):
+        splits, leaves = plain_tree([(x, y, 1) for _, x, y in rows], *limits)
+        for _, x, y in held:
+            n, p = leaves[walk(x, splits)]
+            yield 2 * p > n, y
+
+    for scorer, row in got.items():
+        found = []
+        for s in set(train):
+            means = []
+            for limits in points:
+                values = []
+                for k in range(3):
+                    rest = [r for r in train[s] if fold[s, r[0]] != k]
+                    held = [r for r in train[s] if fold[s, r[0]] == k]
+                    if rest and held:
+                        values.append(score(predict(rest, held, limits), scorer))
+                means.append(round(sum(values) / len(values), 9) if values else None)
+            if any(m is not None for m in means):
+                best = max(range(len(points)), key=lambda i: (means[i] is not None, means[i] or 0, -i))
+                found += predict(train[s], test[s][3:], points[best])
+        want = count(found)
+        assert {c: row[c] for c in want} == want
+    assert set(got) == {"recall", "precision", "f1"}
