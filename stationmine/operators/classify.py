@@ -56,26 +56,33 @@ def _atoms(body: Column, prefix: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(body, per_slot))))
 
 
+def _tagged(atoms: Column, by: tuple[str, ...]) -> Column:
+    """Atoms led by the row's ``by`` columns, so that those of different configurations never meet."""
+    return F.transform(atoms, lambda a: F.concat_ws("|", *[F.col(c).cast("string") for c in by], a)) if by else atoms
+
+
 def _body(sequence: str = "sequence") -> Column:
     return F.slice(sequence, F.lit(1), F.size(sequence) - 1)
 
 
-def sequence_atoms(labelled: DataFrame, prefix: bool = False) -> DataFrame:
-    """(win, center, y_true, atoms). ``prefix=True`` lets distance 1 also stand for 10 to 19.
+def sequence_atoms(labelled: DataFrame, prefix: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(win, center, y_true, atoms) and ``by``. ``prefix=True`` lets distance 1 also stand for 10 to 19.
 
     Written once, since atoms are counted and then joined, and spread by sequence, since
     each is exploded.
     """
-    return cut(spread(labelled.select(*ID, "y_true", _atoms(_body(), prefix).alias("atoms")), *ID))
+    return cut(spread(labelled.select(*by, *ID, "y_true", _tagged(_atoms(_body(), prefix), by).alias("atoms")), *by, *ID))
 
 
-def rule_antecedents(rules: DataFrame, seq_atoms: DataFrame, weights: dict[str, Column]) -> DataFrame:
+def rule_antecedents(
+    rules: DataFrame, seq_atoms: DataFrame, weights: dict[str, Column], by: tuple[str, ...] = ()
+) -> DataFrame:
     """Distinct antecedents with their rarest atom ``pivot`` and summed ``weights``.
 
     Rules that differ only in consequent or time index share an antecedent, and each
     of them is a vote, so votes are added up here.
     """
-    distinct = rules.groupBy(_atoms(_body()).alias("needed")).agg(
+    distinct = rules.groupBy(_tagged(_atoms(_body()), by).alias("needed")).agg(
         *[F.sum(w).alias(name) for name, w in weights.items()]
     )
     # cut, so that counting them for the join does not run the pass over all atoms again
@@ -108,13 +115,15 @@ def rule_matches(labelled: DataFrame, rules: DataFrame, prefix: bool = False) ->
     return _meet(atoms, votes, "inner").groupBy(*ID).agg(F.sum("weight").alias("votes"))
 
 
-def count_votes(labelled: DataFrame, rules: DataFrame, weights: dict[str, Column], prefix: bool = False) -> DataFrame:
-    """Each sequence with the sum of each weight over the rules it matches, zero included."""
-    atoms = sequence_atoms(labelled, prefix)
-    antecedents = rule_antecedents(rules, atoms, weights)
+def count_votes(
+    labelled: DataFrame, rules: DataFrame, weights: dict[str, Column], prefix: bool = False, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Each sequence with the sum of each weight over the rules it matches, zero included. Sequences meet the rules of their own ``by``."""
+    atoms = sequence_atoms(labelled, prefix, by)
+    antecedents = rule_antecedents(rules, atoms, weights, by)
     return (
         _meet(atoms, antecedents, "left")
-        .groupBy(*ID, "y_true")
+        .groupBy(*by, *ID, "y_true")
         .agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in weights])
     )
 
@@ -184,9 +193,15 @@ def persistence_rule(spark: SparkSession, target: str) -> DataFrame:
 
 
 def evaluate_grid(
-    labelled: DataFrame, rules: DataFrame, target: str, confs: list[float], ks: list[int], tags: dict | None = None
+    labelled: DataFrame,
+    rules: DataFrame,
+    target: str,
+    confs: list[float],
+    ks: list[int],
+    tags: dict | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One metrics row per confidence and match threshold, from one pass over the sequences.
+    """One metrics row per ``by``, confidence and match threshold, from one pass over the sequences.
 
     Votes of all confidence thresholds are summed side by side.  A threshold with no
     rules, or with fewer rules than ``k``, yields no row.
@@ -194,7 +209,7 @@ def evaluate_grid(
     rules = target_rules(rules, target)
     names = {f"v{i}": c for i, c in enumerate(confs)}
     weights = {v: (F.col("conf") >= c).cast("int") for v, c in names.items()}
-    votes = count_votes(labelled, rules, weights)
+    votes = count_votes(labelled, rules, weights, by=by)
     true = F.col("y_true") == target
     rows = []
     for v, c in names.items():
@@ -207,16 +222,17 @@ def evaluate_grid(
                     *[x.alias(n) for n, x in cells.items()],
                 )
             )
-    grid = votes.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
-    counts = rules.agg(
+    spelled = lambda df: df.select(*by, F.explode("rows").alias("row")).select(*by, "row.*")
+    grid = spelled(votes.groupBy(*by).agg(F.array(*rows).alias("rows")))
+    counts = spelled(rules.groupBy(*by).agg(
         F.array(
             *[
                 F.struct(F.lit(float(c)).alias("confidence_threshold"), F.sum(weights[v]).alias("n_rules"))
                 for v, c in names.items()
             ]
         ).alias("rows")
-    ).select(F.explode("rows").alias("row")).select("row.*")
-    scored = metrics(grid.join(counts, "confidence_threshold")).filter(
+    ))
+    scored = metrics(grid.join(counts, [*by, "confidence_threshold"])).filter(
         (F.col("n_rules") > 0) & (F.col("n_rules") >= F.col("match_threshold"))
     )
     for name, value in (tags or {}).items():

@@ -138,14 +138,19 @@ def _gather_sets(items: DataFrame, windows: DataFrame, p: MineParams, dedup: boo
 
 
 def build_sequences(
-    states: DataFrame, nbrs: DataFrame, p: MineParams, dedup: bool = True, base: int = 0
+    states: DataFrame,
+    nbrs: DataFrame,
+    p: MineParams,
+    dedup: bool = True,
+    base: int = 0,
+    windows: DataFrame | None = None,
 ) -> DataFrame:
     """(win, center, sequence): one sequence per window and centre with a state in T0.
 
     With ``dedup=False`` (first version) labels keep their multiplicity and a centre
-    yields one sequence per record it has in T0.
+    yields one sequence per record it has in T0. ``windows`` is the map of the states' slots, if it is known.
     """
-    windows = window_map(states, p.window_size, base)
+    windows = window_map(states, p.window_size, base) if windows is None else windows
     states = spread(states, "slot", "station_id")
     bits = label_bits(p) if dedup else {}
     if bits:

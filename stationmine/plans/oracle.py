@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from stationmine.operators.grid import tags
 from stationmine.params import EXTRACTION_TYPES, MineParams
 from stationmine.plans.queries import (
     CITY,
@@ -22,6 +23,10 @@ from stationmine.plans.queries import (
     PIVOT_STATIONS,
     SPLIT,
     SUPPORT,
+    SWEEP,
+    SWEEP_CONFS,
+    SWEEP_SUPPORT,
+    SWEEP_TARGET,
     TARGET,
     TREE_DEPTH,
     TEST,
@@ -216,31 +221,32 @@ final(
 # --- states ------------------------------------------------------------------------------
 
 
-def by_reading(side: str, wrap: bool) -> str:
+def by_reading(side: str, wrap: bool, ct: int = P.ct) -> str:
     level = "docks_available" if side == "Full" else "bikes_available"
     zero = "" if wrap else f"WHEN {level} = 0 THEN '{side}'"
-    return f"CASE {zero} WHEN {level} < {P.ct} THEN 'Almost{side}' ELSE 'Normal' END"
+    return f"CASE {zero} WHEN {level} < {ct} THEN 'Almost{side}' ELSE 'Normal' END"
 
 
 final("state_full", f"SELECT station_id, time, slot, {by_reading('Full', False)} AS state FROM fx_valid")
 final("state_empty", f"SELECT station_id, time, slot, {by_reading('Empty', False)} AS state FROM fx_valid")
 
 
-def flags_part(p: MineParams) -> str:
+def flags_part(p: MineParams, source: str = "fx_valid") -> str:
     """Trend and level flags with windows over single readings."""
     level = "docks_available" if p.side == "Full" else "bikes_available"
     scope = "k > 1" if p.state_change else "true"
+    tag = f"{p.side.lower()}_{int(p.state_change)}{int(p.wrap_states)}_{p.ct}_{source}"
     ordered = part(
-        "fx_ordered",
-        """
+        f"fx_ordered_{source}",
+        f"""
         SELECT *, row_number() OVER w AS k, min(bikes_available) OVER w AS low, max(bikes_available) OVER w AS high
-        FROM fx_valid
+        FROM {source}
         WINDOW w AS (PARTITION BY station_id, slot ORDER BY s, bikes_available, docks_available
                      ROWS UNBOUNDED PRECEDING)
         """,
     )
     counts = part(
-        f"fx_counts_{p.side.lower()}_{int(p.state_change)}",
+        f"fx_counts_{tag}",
         f"""
         SELECT station_id, slot, max(bikes_available - low) > {p.thr} AS increase,
                max(high - bikes_available) > {p.thr} AS decrease,
@@ -255,7 +261,7 @@ def flags_part(p: MineParams) -> str:
     if p.state_change:
         critical, ok = f"({critical} AND b0 <> 0)", f"b0 >= {p.ct}"
     return part(
-        f"fx_flags_{p.side.lower()}_{int(p.state_change)}{int(p.wrap_states)}",
+        f"fx_flags_{tag}",
         f"""
         SELECT station_id, slot, increase, decrease, {critical} AS critical, {ok} AS almost_ok,
                {ok} AND n_low - CAST({critical} AS INTEGER) >= 1 AS almost
@@ -267,16 +273,17 @@ def flags_part(p: MineParams) -> str:
 def states_part(p: MineParams, source: str = "fx_valid") -> str:
     tag = re.sub(r"\W", "_", p.extraction_type.lower())
     tag += "_" + "".join(str(int(x)) for x in (p.wrap_states, p.state_change, p.for_test, p.negatives))
+    tag += f"_{p.ct}_{source}"
     if p.by_reading:
         kept = "" if p.for_test else "WHERE state <> 'Normal'"
         return part(
-            f"fx_states_{tag}_{source}",
+            f"fx_states_{tag}",
             f"""
             SELECT DISTINCT slot, station_id, state
-            FROM (SELECT slot, station_id, {by_reading(p.side, p.wrap_states)} AS state FROM {source}) {kept}
+            FROM (SELECT slot, station_id, {by_reading(p.side, p.wrap_states, p.ct)} AS state FROM {source}) {kept}
             """,
         )
-    flags = flags_part(p)
+    flags = flags_part(p, source)
     pieces = [
         (f"'{p.side}'", "critical"),
         (f"'Almost{p.side}'", "almost"),
@@ -669,34 +676,51 @@ final(
 _train = part("fx_valid_train", f"SELECT * FROM fx_valid WHERE time < TIMESTAMP '{SPLIT}'")
 _held = part("fx_valid_test", f"SELECT * FROM fx_valid WHERE time >= TIMESTAMP '{SPLIT}'")
 _train_rules = rules_part(patterns_part(TRAIN, source=_train))
-_aim = part(
-    "fx_aimed",
-    f"""
-    SELECT * FROM {_train_rules}
-    WHERE NOT regexp_matches(consequent_key, '_[1-9][0-9]*(,|$)')
-      AND len(list_filter(string_split(consequent_key, ','), lambda i: NOT contains(i, '{TARGET}'))) = 0
-    """,
-)
-part("fx_chosen", f"SELECT * FROM fx_aimed WHERE conf >= {CONF}")
-part(
-    "fx_tested",
-    f"""
-    SELECT *, CASE WHEN regexp_matches(split_part(sequence, '-', 3), '{TARGET}_T._0') THEN '{TARGET}'
-                   ELSE 'Normal' END AS y_true
-    FROM {sequences_part(TEST, _held)} WHERE n_slots = 3
-    """,
-)
+
+
+def aimed_part(rules: str, target: str = TARGET) -> str:
+    """Rules whose consequent holds only the centre's target."""
+    return part(
+        f"fx_aimed_{rules}",
+        f"""
+        SELECT * FROM {rules}
+        WHERE NOT regexp_matches(consequent_key, '_[1-9][0-9]*(,|$)')
+          AND len(list_filter(string_split(consequent_key, ','), lambda i: NOT contains(i, '{target}'))) = 0
+        """,
+    )
+
+
+def tested_part(p: MineParams, target: str = TARGET) -> str:
+    """Held-out sequences of full length with their label."""
+    found = sequences_part(p, _held)
+    return part(
+        f"fx_tested_{found}",
+        f"""
+        SELECT *, CASE WHEN regexp_matches(split_part(sequence, '-', 3), '{target}_T._0') THEN '{target}'
+                       ELSE 'Normal' END AS y_true
+        FROM {found} WHERE n_slots = 3
+        """,
+    )
+
+
 _atom = "back || '|' || split_part(item, '_', 1) || '|' || split_part(item, '_', 3)"
-part(
-    "fx_seq_atoms",
-    f"""
-    SELECT DISTINCT win, center, {_atom} AS atom
-    FROM (SELECT win, center, 3 - i AS back, unnest(string_split(split_part(sequence, '-', i), ',')) AS item
-          FROM fx_tested, (VALUES (1), (2)) s(i))
-    """,
-)
 
 
+def tested_atoms_part(tested: str) -> str:
+    return part(
+        f"fx_seq_atoms_{tested}",
+        f"""
+        SELECT DISTINCT win, center, {_atom} AS atom
+        FROM (SELECT win, center, 3 - i AS back, unnest(string_split(split_part(sequence, '-', i), ',')) AS item
+              FROM {tested}, (VALUES (1), (2)) s(i))
+        """,
+    )
+
+
+part("fx_aimed", f"SELECT * FROM {aimed_part(_train_rules)}")
+part("fx_chosen", f"SELECT * FROM fx_aimed WHERE conf >= {CONF}")
+part("fx_tested", f"SELECT * FROM {tested_part(TEST)}")
+part("fx_seq_atoms", f"SELECT * FROM {tested_atoms_part(tested_part(TEST))}")
 part("fx_several", f"SELECT * FROM {sequences_part(TEST, _held)} WHERE n_slots > 1")
 part(
     "fx_several_atoms",
@@ -790,36 +814,58 @@ part(
     """,
 )
 final("baseline_persistence", metrics_sql("fx_dummy"))
-_grid = match_part("fx_aimed")
-_is_target = f"y_true = '{TARGET}'"
-_confs = f"(VALUES {', '.join(f'({c}::DOUBLE)' for c in CONFS)}) v(c)"
-part(
-    "fx_votes",
-    f"""
-    SELECT c, s.win, s.center, y_true, count(m.key) AS votes
-    FROM (SELECT * FROM fx_tested, {_confs}) s
-    LEFT JOIN (SELECT win, center, key, conf FROM {_grid} JOIN fx_aimed USING (key)) m
-      ON m.win = s.win AND m.center = s.center AND m.conf >= c
-    GROUP BY ALL
-    """,
-)
-part(
-    "fx_grid",
-    f"""
-    SELECT c AS confidence_threshold, k AS match_threshold, n_rules,
-           {cells('votes >= k', _is_target)}
-    FROM fx_votes
-    JOIN (SELECT c, count(*) AS n_rules FROM fx_aimed, {_confs} WHERE conf >= c GROUP BY c) USING (c),
-         (VALUES {', '.join(f'({k})' for k in KS)}) x(k)
-    WHERE n_rules >= k
-    GROUP BY c, k, n_rules
-    """,
-)
+
+
+def grid_part(name: str, aimed: str, tested: str, atoms: str, target: str, confs: list[float]) -> str:
+    """Counts per confidence and match threshold."""
+    limits = f"(VALUES {', '.join(f'({c}::DOUBLE)' for c in confs)}) v(c)"
+    votes = part(
+        f"{name}_votes",
+        f"""
+        SELECT c, s.win, s.center, y_true, count(m.key) AS votes
+        FROM (SELECT * FROM {tested}, {limits}) s
+        LEFT JOIN (SELECT win, center, key, conf FROM {match_part(aimed, atoms)} JOIN {aimed} USING (key)) m
+          ON m.win = s.win AND m.center = s.center AND m.conf >= c
+        GROUP BY ALL
+        """,
+    )
+    is_target = f"y_true = '{target}'"
+    return part(
+        name,
+        f"""
+        SELECT c AS confidence_threshold, k AS match_threshold, n_rules, {cells('votes >= k', is_target)}
+        FROM {votes}
+        JOIN (SELECT c, count(*) AS n_rules FROM {aimed}, {limits} WHERE conf >= c GROUP BY c) USING (c),
+             (VALUES {', '.join(f'({k})' for k in KS)}) x(k)
+        WHERE n_rules >= k
+        GROUP BY c, k, n_rules
+        """,
+    )
+
+
+grid_part("fx_grid", "fx_aimed", "fx_tested", "fx_seq_atoms", TARGET, CONFS)
 final(
     "classifier_grid",
     metrics_sql("fx_grid", "confidence_threshold, CAST(match_threshold AS BIGINT) AS match_threshold, n_rules,"),
 )
 
+def _swept(i: int, p: MineParams) -> str:
+    aimed = aimed_part(rules_part(patterns_part(p, source=_train, support=SWEEP_SUPPORT)), SWEEP_TARGET)
+    tested = tested_part(p.but(for_test=True), SWEEP_TARGET)
+    counts = grid_part(f"fx_sweep_{i}", aimed, tested, tested_atoms_part(tested), SWEEP_TARGET, SWEEP_CONFS)
+    named = tags(p)
+    return f"SELECT '{named['extraction']}' AS extraction, '{named['neighborhood']}' AS neighborhood, {p.ct} AS ct, * FROM {counts}"
+
+
+part("fx_sweep", " UNION ALL ".join(_swept(i, p) for i, p in enumerate(SWEEP)))
+final(
+    "classifier_sweep",
+    metrics_sql(
+        "fx_sweep",
+        "extraction, neighborhood, CAST(ct AS BIGINT) AS ct, confidence_threshold, "
+        "CAST(match_threshold AS BIGINT) AS match_threshold, n_rules,",
+    ),
+)
 final(
     "metrics_roundtrip",
     metrics_sql(

@@ -288,6 +288,33 @@ query("baseline_persistence")(
 )
 query("classifier_grid")(lambda fx: cl.evaluate_grid(labelled_test(fx), train_rules(fx), TARGET, CONFS, KS))
 
+#: The sweep: neighbourhood, its size, extraction type, for two critical thresholds. Fixed values.
+_SWEPT = [
+    ("indegree", 10, "Empty-AlmostEmpty"),
+    ("distance", 10, "Empty-AlmostEmpty"),
+    ("indegree", 10, "Empty-Increase"),
+    ("distance", 10, "Empty-Increase"),
+    ("indegree", 10, "Empty-Decrease"),
+    ("indegree", 0, "Empty-Decrease"),
+    ("distance", 10, "Empty-Decrease"),
+]
+SWEEP = [
+    P.but(neighborhood=n, n_neighbors=size, extraction_type=kind, ct=ct, wrap_states=True)
+    for ct in (1, 2)
+    for n, size, kind in _SWEPT
+]
+SWEEP_TARGET, SWEEP_SUPPORT, SWEEP_CONFS = "AlmostEmpty", 0.05, [0.1, 0.2, 0.3, 0.4]
+
+
+@query("classifier_sweep")
+def _(fx: Fixture) -> DataFrame:
+    found = grid.evaluate_configs(
+        split_status(fx, "train"), split_status(fx, "test"), fx.station, SWEEP, SWEEP_TARGET, SWEEP_SUPPORT, SWEEP_CONFS, KS,
+        small_edges(fx),
+    )
+    return found.drop("interval", "thr")
+
+
 @query("metrics_roundtrip")
 def _(fx: Fixture) -> DataFrame:
     """The grid's metrics appended as CSV to the shared folder and read back."""
