@@ -35,6 +35,8 @@ TASK = 16_384
 GROUP = 2
 #: Crowded documents of one cluster are compared in blocks of so many.
 BLOCK = 512
+#: Edges a task gathers before it thins them.
+_HELD = 1 << 20
 #: Shingles that a block's matrix holds at once.
 _WIDTH = 8192
 #: Two-bit sketches of a pair at 0.8 agree in 54.4 of 64 places, give or take 2.9; 42 is 4.3 deviations below.
@@ -144,7 +146,7 @@ def _next_nodes(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
             child, row = _children(node, _sketch(batch))
             yield _rows(rep[row], child, b0[row], b1[row])
 
-    return open_rows.join(reps, "rep").mapInArrow(run, _NODE_ROW)
+    return open_rows.select("node", "rep").join(reps, "rep").mapInArrow(run, _NODE_ROW)
 
 
 def _candidates(bits0: np.ndarray, bits1: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,23 +228,30 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 
 def _visit(nodes: DataFrame, branch: bool) -> DataFrame:
-    """Compares small nodes (all nodes, unless ``branch``) and lists the documents of the others."""
+    """Compares small nodes (all nodes, unless ``branch``) and names the others, one row each. A task's edges are thinned together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, held = [np.zeros((0, 2), np.uint64)], 0
         for (node, rep, b0, b1), bounds in _runs(batches, ("node", "rep", "bits0", "bits1")):
             sizes = np.diff(bounds)
-            listed: dict[int, list] = {_PAIR: [], _EDGE: []}
+            large = bounds[:-1][sizes > NODE] if branch else bounds[:0]
+            if len(large):
+                yield _found(_OPEN, np.c_[node[large], node[large]])
+            pairs = [np.zeros((0, 2), np.uint64)]
             for lo, n in zip(bounds[:-1][sizes > 1], sizes[sizes > 1]):
-                at = slice(lo, lo + n)
                 if branch and n > NODE:
-                    yield _found(_OPEN, np.c_[rep[at], node[at]])
                     continue
-                for kind, rows in zip(listed, _compare(rep[at], b0[at], b1[at])):
-                    listed[kind].append(rows)
-            for kind, parts in listed.items():
-                if parts:
-                    both = np.unique(np.concatenate(parts), axis=0)
-                    yield _found(kind, both[both[:, 0] != both[:, 1]])
+                at = slice(lo, lo + n)
+                listed, connecting = _compare(rep[at], b0[at], b1[at])
+                pairs.append(listed)
+                edges.append(connecting)
+                held += len(connecting)
+                if held > _HELD:
+                    edges = [_thinned(np.concatenate(edges))]
+                    held = len(edges[0])
+            both = np.unique(np.concatenate(pairs), axis=0)
+            yield _found(_PAIR, both[both[:, 0] != both[:, 1]])
+        yield _found(_EDGE, _thinned(np.concatenate(edges)))
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, _FOUND)
@@ -252,9 +261,8 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     """Nodes of more than TASK documents as one node for each pair of their blocks; other nodes stay.
 
     Every two documents of a node meet in some pair of blocks, so the node is still compared in full, by
-    many tasks. What is crowded is judged, and connected, within each pair of blocks.
+    many tasks. What is crowded is judged, and connected, within each pair of blocks. ``nodes`` is read several times.
     """
-    nodes = cut(nodes)
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > TASK)
     large = cut(sizes.select("node", F.ceil(2 * F.col("size") / TASK).cast("int").alias("blocks")))
     if large.isEmpty():
@@ -390,13 +398,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
     small = reps.count() <= NODE  # the root itself is a small node: one tree compares everything
     depth = 0 if small else 2
-    visited = [cut(_visit(_first_nodes(reps, 1 if small else trees, depth, seed), not small))]
+    nodes = _first_nodes(reps, 1 if small else trees, depth, seed)
+    visited = [cut(_visit(nodes, not small))]
     while not small and depth < DEPTH:
-        still = visited[-1].filter(F.col("kind") == _OPEN).select(F.col("a").alias("rep"), F.col("b").alias("node"))
+        still = cut(visited[-1].filter(F.col("kind") == _OPEN).select(F.col("a").alias("node")))
         if still.isEmpty():
             break
         depth += 1
-        nodes = _next_nodes(still, reps)
+        nodes = cut(_next_nodes(join_small(nodes, still, ["node"], "left_semi"), reps))
         visited.append(cut(_visit(nodes, True) if depth < DEPTH else _visit(_blocks(nodes), False)))
     found = visited[0]
     for more in visited[1:]:
