@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time, pattern_key, register_sql_functions
@@ -505,13 +505,14 @@ def limited(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("*", F.lit(depth).alias("depth"), F.lit(1).alias("least"), F.lit(False).alias("entropy"))
 
 
-def hits(routed: DataFrame, hit, *by: str) -> DataFrame:
+def hits(routed: DataFrame, hit: Column, *by: str) -> DataFrame:
     """Counts per ``by`` of rows whose prediction is ``hit`` and whose truth is y."""
     cells_ = cl._cells(hit, F.col("y") == 1)
     return routed.groupBy(*by).agg(*[c.alias(n) for n, c in cells_.items()])
 
 
-MAJORITY = 2 * F.col("p") > F.col("n")
+def majority() -> Column:
+    return 2 * F.col("p") > F.col("n")
 
 
 @query("tree_confusion")
@@ -520,7 +521,7 @@ def _(fx: Fixture) -> DataFrame:
     train, test = tree_rows(features(fx))
     path = fresh_path(fx.spark)
     trees.save(trees.grow(limited(train, TREE_DEPTH), ["station_id"]), path)
-    return hits(trees.route(test, trees.load(fx.spark, path)), MAJORITY, "station_id")
+    return hits(trees.route(test, trees.load(fx.spark, path)), majority(), "station_id")
 
 
 @query("network_tree_confusion")
@@ -529,7 +530,7 @@ def _(fx: Fixture) -> DataFrame:
     train, test = tree_rows(ml.network_features(features(fx), WIDTH))
     whole = F.lit(0).alias("network")
     model = trees.grow(limited(train, TREE_DEPTH).select("*", whole), ["network"])
-    return hits(trees.route(test.select("*", whole), model), MAJORITY, "station_id")
+    return hits(trees.route(test.select("*", whole), model), majority(), "station_id")
 
 
 @query("forest_confusion")
@@ -557,7 +558,7 @@ def _(fx: Fixture) -> DataFrame:
     chosen = cut(best.select("station_id", "scorer", (-F.col("p")).alias("point")))
     model = trees.grow(points.join(chosen.select("station_id", "point").distinct(), ["station_id", "point"], "left_semi"), ["station_id", "point"])
     rest = clean.skip_first(test, 3, order="time").join(chosen, "station_id")
-    return cl.metrics(hits(trees.route(rest, model), MAJORITY, "scorer"))
+    return cl.metrics(hits(trees.route(rest, model), majority(), "scorer"))
 
 
 def queries() -> dict[str, Query]:
