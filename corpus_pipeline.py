@@ -49,9 +49,9 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of PASSAGE words that an earlier document holds; texts that lose every word go."""
+    """Texts without passages of PASSAGE words that an earlier document holds; texts that lose every word go, those that had none stay."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = rlz.deduplicate(docs, PASSAGE, others).filter("n_words > n_removed")
+    left = rlz.deduplicate(docs, PASSAGE, others).filter("n_words > n_removed OR n_removed = 0")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -207,7 +207,12 @@ def score(docs: DataFrame, field: LineField) -> DataFrame:
 
 
 def keep(docs: DataFrame, field: LineField, at_least: float) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose score is ``at_least`` or more. Nothing is shuffled."""
+    """Rows of ``docs``, with all their columns, whose score is ``at_least`` or more. Nothing is shuffled.
+
+    A field that learned from no document rejects none.
+    """
+    if not np.any(field.weights):
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

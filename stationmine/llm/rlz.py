@@ -28,8 +28,9 @@ from stationmine.llm.tables import binary_column, by_slice, mix, slices, text_on
 
 PHRASE = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_PARSED = "block long, doc_id long, start long, windows binary, length long, ref_doc_id long, ref_start long"
+_PARSED = "block long, doc_id long, start long, windows binary, length long, ref_doc_id long, ref_start long, spans binary"
 FACTOR = "doc_id long, start long, length long, ref_doc_id long, ref_start long"
+SPANS = "doc_id long, spans binary"
 
 
 def _joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
@@ -72,6 +73,21 @@ def _factors(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.
     return [doc[first], start[first], sizes + window - 1, ref[first], ref_start[first]]
 
 
+def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """Documents of factors, and for each the stretches (start, length) its factors cover together, as one binary value."""
+    doc, start, length = parts[:3]
+    end = start + length
+    fresh = np.ones(len(doc), bool)
+    # factors come by document and start, and end in the same order
+    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    stretches = np.c_[start[first], end[last] - start[first]]
+    owner = doc[first]
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else first
+    return owner[heads], binary_column(stretches.ravel().astype(np.int64), 2 * np.append(heads, len(owner)))
+
+
 def _earliest(name: np.ndarray) -> np.ndarray:
     """For every row the first row with the same name."""
     order = np.argsort(name, kind="stable")
@@ -83,16 +99,17 @@ def _earliest(name: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch(block, doc, start, windows, length, ref, ref_start) -> pa.RecordBatch:
+def _batch(block, doc, start, windows, length, ref, ref_start, spans=None) -> pa.RecordBatch:
     signed = lambda x: pa.array(np.asarray(x).astype(np.int64, copy=False))
     return pa.RecordBatch.from_arrays(
-        [signed(block), signed(doc), signed(start), windows, signed(length), signed(ref), signed(ref_start)],
+        [signed(block), signed(doc), signed(start), windows, signed(length), signed(ref), signed(ref_start),
+         pa.nulls(len(doc), pa.binary()) if spans is None else spans],
         [x.split()[0] for x in _PARSED.split(", ")],
     )
 
 
-def _parse(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of some documents by block, and the factors these documents have among themselves.
+def _parse(batch: pa.RecordBatch, window: int, merge: bool) -> Iterator[pa.RecordBatch]:
+    """Windows of some documents by block, and the factors these documents have among themselves (``merge``: one row per document).
 
     A window that an earlier document of the batch holds is a factor's already; it is not sent on, so a
     passage in very many documents goes to its block once per batch.
@@ -120,9 +137,13 @@ def _parse(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
     known = doc[early] < doc
     found = np.flatnonzero(known)
     parts = _factors(doc[found], place[found], doc[early[found]], place[early[found]], window)
-    n = len(parts[0])
-    where = mix(parts[0].view(np.uint64) + parts[1].astype(np.uint64)).view(np.int64)  # spreads finished factors
-    yield _batch(where, parts[0], parts[1], pa.nulls(n, pa.binary()), *parts[2:])
+    if merge:
+        own, spans = _merged(parts)
+        none = np.zeros(len(own), np.int64)
+        yield _batch(mix(own.view(np.uint64)).view(np.int64), own, none, pa.nulls(len(own), pa.binary()), none, none, none, spans)
+    else:
+        where = mix(parts[0].view(np.uint64) + parts[1].astype(np.uint64)).view(np.int64)  # spreads finished factors
+        yield _batch(where, parts[0], parts[1], pa.nulls(len(where), pa.binary()), *parts[2:])
     sent = np.flatnonzero(~known)
     if not len(sent):
         return
@@ -137,9 +158,9 @@ def _parse(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _against_blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _against_blocks(batches: Iterator[pa.RecordBatch], window: int, merge: bool) -> Iterator[pa.RecordBatch]:
     """Parses what each block's documents hold of it against its index; rows come sorted by block, document, place."""
-    names = ["doc_id", "start", "length", "ref_doc_id", "ref_start"]
+    names = [c.split()[0] for c in (SPANS if merge else FACTOR).split(", ")]
     held: list[pa.RecordBatch] = []
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -154,7 +175,12 @@ def _against_blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         place = np.repeat(start, sizes) + np.arange(len(own)) - first
         early = _earliest(own + mix(np.repeat(block, sizes).view(np.uint64)))
         found = np.flatnonzero(doc[early] < doc)
+        if merge:  # over all blocks at hand
+            found = found[np.lexsort((place[found], doc[found]))]
         parts = _factors(doc[found], place[found], doc[early[found]], place[early[found]], window)
+        if merge:
+            own, spans = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), spans], names)
         return pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)) for p in parts], names)
 
     for batch in batches:
@@ -181,13 +207,18 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Together they cover exactly the words of windows that also start in a document with a smaller id.
     """
+    return _found(docs, window, False)
+
+
+def _found(docs: DataFrame, window: int, merge: bool) -> DataFrame:
+    """All factors; or, merged, the stretches they cover: rows (doc_id, spans), one per document and batch that finds some."""
     if window < PHRASE:
         raise ValueError(f"window must be {PHRASE} words at least")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                yield from _parse(part, window)
+                yield from _parse(part, window, merge)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
@@ -195,7 +226,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
         .mapInArrow(parse, _PARSED)
         .repartition(parts, "block")
         .sortWithinPartitions("block", "doc_id", "start")
-        .mapInArrow(lambda batches: _against_blocks(batches, window), FACTOR)
+        .mapInArrow(lambda batches: _against_blocks(batches, window, merge), SPANS if merge else FACTOR)
     )
 
 
@@ -220,6 +251,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return (data[: at[0]] + b"".join(kept)).decode(), n, int(gone.sum())
 
 
+def _stretches_of(found: list[bytes] | None) -> list[tuple[int, int]]:
+    return np.frombuffer(b"".join(found or ()), np.int64).reshape(-1, 2).tolist()
+
+
 def deduplicate(docs: DataFrame, window: int = 50, others: Sequence[str] = ()) -> DataFrame:
     """doc_id, text (what is left), n_words, n_removed and the columns ``others``, one row per document.
 
@@ -228,12 +263,12 @@ def deduplicate(docs: DataFrame, window: int = 50, others: Sequence[str] = ()) -
     doc_ids are neither references nor changed. Rows that share a doc_id do not refer to each other, and all of
     their spans are taken from each. Other columns are passed on or left out, never read. No rows: no rows.
     """
-    spans = factors(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = _found(docs, window, True).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-            out.append((None, 0, 0) if text is None else without(text, [(s["start"], s["length"]) for s in found or ()]))
+            out.append((None, 0, 0) if text is None else without(text, _stretches_of(found)))
         texts, words, removed = zip(*out) if out else ((), (), ())
         own = [pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
         return pa.RecordBatch.from_arrays(

@@ -160,6 +160,18 @@ def test_passage_stage(stages):
     assert after.filter("n_chars <> length(text)").count() == 0
 
 
+def test_passage_stage_keeps_texts_without_words(spark, docs):
+    rows = docs([(1, None), (2, ""), (3, " \n"), (4, "w " * 60), (5, "w " * 60)])
+    kept = pipeline.no_repeated_passages(spark, rows, ROOT)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4]
+
+
+def test_quality_stage_without_labels_rejects_nothing(spark, docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = docs([(1, "a"), (2, None)])
+    assert pipeline.good_quality(spark, rows, str(tmp_path)).count() == 2
+
+
 def test_packing_stage_holds_every_token(stages):
     from tokenizers import Tokenizer
 
