@@ -50,9 +50,13 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of PASSAGE words that an earlier document holds; texts that lose every word go, those that had none stay."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = rlz.deduplicate(docs, PASSAGE, others).filter("n_words > n_removed OR n_removed = 0")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    # other columns travel under names that clash with none of the operator's
+    others = {f"_other{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in others.items()])
+    left = rlz.deduplicate(rows, PASSAGE, list(others)).filter("n_words > n_removed OR n_removed = 0")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    own |= {c: F.col(n) for n, c in others.items()}
+    return left.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
