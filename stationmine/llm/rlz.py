@@ -7,10 +7,10 @@ document's duplicate spans.
 References are indexed in blocks. A window (``window`` consecutive words) belongs to the block
 named by the least phrase of eight words in it, which depends on its words alone, so equal windows of
 any documents meet in one block, and a document is parsed against every block that can hold a
-factor of it. Within a block the index maps a window to the first place it occurs, least document
-first. A factor starts at the first window found there and is drawn out greedily while the next
-window is found at the next place of the same reference. Where it ends, the windows across the
-border are looked up themselves, so a factor that follows, from this reference or another one, starts there and overlaps.
+factor of it. The index of a block is the suffix order of its texts (see ``_longest``). A parse starts at the first
+window that the reference holds and takes the longest stretch from there that any smaller document goes on
+with. Where a factor ends, the window across its border is looked up: if the reference holds it, the next factor starts there,
+else at the next window it holds. ``factors`` joins what block borders cut.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.llm.tables import binary_column, by_slice, mix, slices, text_only, word_hashes
@@ -62,24 +62,98 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _factors(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> list[np.ndarray]:
-    """Greedy factors of found windows, which come in order of document and place."""
-    if not len(doc):
-        return [doc, start, start, ref, ref_start]
-    goes_on = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)
-    goes_on &= (ref[1:] == ref[:-1]) & (ref_start[1:] == ref_start[:-1] + 1)
-    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
-    sizes = np.diff(np.append(first, len(doc)))
-    return [doc[first], start[first], sizes + window - 1, ref[first], ref_start[first]]
+def _nearest_less(doc: np.ndarray) -> np.ndarray:
+    """For every place the nearest one before it that has a smaller document, else -1."""
+    doc = np.append(doc, np.iinfo(np.int64).min)  # place -1 is smaller than any
+    at = np.arange(-1, len(doc) - 2)
+    todo = np.flatnonzero(doc[at] >= doc[:-1])
+    while len(todo):
+        at[todo] = at[at[todo]]
+        todo = todo[doc[at[todo]] >= doc[todo]]
+    return at
+
+
+def _longest(name: np.ndarray, doc: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window the most windows from it on that a smaller document has too, and the first document's place of these.
+
+    ``upto`` is where the stretch ends that a window lies in. Stretches are ranked by doubling their length,
+    which puts all suffixes in order. The longest match of a suffix lies next to it in that order, before or behind,
+    among the suffixes of smaller documents.
+    """
+    n = len(name)
+    at = np.arange(n)
+    ranks = [np.unique(name, return_inverse=True)[1].astype(np.int64)]
+    size, most = 1, int((upto - at).max())
+    while size < most and ranks[-1].max() < n - 1:
+        last, after = ranks[-1], np.zeros(n, np.int64)
+        more = np.flatnonzero(at + size < upto)
+        after[more] = last[more + size] + 1
+        ranks.append(np.unique(last * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
+        size *= 2
+
+    def shared(other: np.ndarray) -> np.ndarray:
+        """How many windows two suffixes share."""
+        mine = np.flatnonzero(other >= 0)
+        x, y = at[mine], other[mine]
+        for k in range(len(ranks) - 1, -1, -1):
+            same = np.flatnonzero((x < upto[mine]) & (y < upto[other[mine]]))
+            same = same[ranks[k][x[same]] == ranks[k][y[same]]]
+            step = np.minimum(1 << k, upto[mine[same]] - x[same])
+            x[same] += step
+            y[same] += step
+        out = np.zeros(n, np.int64)
+        out[mine] = x - at[mine]
+        return out
+
+    order = np.lexsort((doc, ranks[-1]))
+    before, behind = _nearest_less(doc[order]), n - 1 - _nearest_less(doc[order[::-1]])[::-1]
+    ends = np.append(order, -1)  # places -1 and n: none
+    sides = np.empty((2, n), np.int64)
+    sides[0, order], sides[1, order] = ends[before], ends[behind]
+    first, second = shared(sides[0]), shared(sides[1])
+    length, ref = np.maximum(first, second), np.where(first >= second, sides[0], sides[1])
+    todo = np.flatnonzero(length > 0)
+    todo = todo[length[ref[todo]] >= length[todo]]
+    while len(todo):  # a smaller document goes on as long
+        ref[todo] = ref[ref[todo]]
+        todo = todo[length[ref[todo]] >= length[todo]]
+    return length, ref
+
+
+def _factors(early: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> list[np.ndarray]:
+    """Greedy factors of windows, which come by block, document and place; ``early``: the first row with the same window."""
+    known = doc[early] < doc
+    hit = np.zeros(len(doc), bool)
+    hit[early[known]] = True
+    some = np.flatnonzero(hit[early])
+    early, block, doc, place, known = early[some], block[some], doc[some], place[some], known[some]
+    if not len(some):
+        return [doc, place, place, doc, place]
+    goes_on = (block[1:] == block[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1)
+    ends = np.append(np.flatnonzero(~goes_on) + 1, len(doc))
+    upto = np.repeat(ends, np.diff(np.append(0, ends)))
+    length, ref = _longest(early, doc, upto)
+    follows = np.append(False, goes_on & known[:-1]) & known
+    at = np.flatnonzero(known & ~follows)
+    starts = [at]
+    while len(at):  # every stretch of known windows takes its next factor
+        at = at + length[at]
+        at = at[at < len(doc)]
+        at = at[follows[at]]
+        starts.append(at)
+    at = np.sort(np.concatenate(starts))
+    return [doc[at], place[at], length[at] + window - 1, doc[ref[at]], place[ref[at]]]
 
 
 def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
     """Documents of factors, and for each the stretches (start, length) its factors cover together, as one binary value."""
-    doc, start, length = parts[:3]
-    end = start + length
+    by = np.lexsort(parts[1::-1])
+    doc, start, length = (p[by] for p in parts[:3])
+    heads = np.append(False, doc[1:] != doc[:-1])[: len(doc)]
+    shift = np.cumsum(heads) << 40  # the furthest end so far, within each document
+    end = np.maximum.accumulate(start + length + shift) - shift
     fresh = np.ones(len(doc), bool)
-    # factors come by document and start, and end in the same order
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    fresh[1:] = heads[1:] | (start[1:] > end[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(doc))[: len(first)] - 1
     stretches = np.c_[start[first], end[last] - start[first]]
@@ -135,8 +209,7 @@ def _parse(batch: pa.RecordBatch, window: int, merge: bool) -> Iterator[pa.Recor
     name, least = name[at], least[at]
     early = _earliest(name)
     known = doc[early] < doc
-    found = np.flatnonzero(known)
-    parts = _factors(doc[found], place[found], doc[early[found]], place[early[found]], window)
+    parts = _factors(early, np.zeros(len(doc), np.int64), doc, place, window)
     if merge:
         own, spans = _merged(parts)
         none = np.zeros(len(own), np.int64)
@@ -171,13 +244,9 @@ def _against_blocks(batches: Iterator[pa.RecordBatch], window: int, merge: bool)
         packed = rows.column("windows").to_pylist()
         sizes = np.fromiter((len(w) // 8 for w in packed), np.int64, len(packed))
         own = np.frombuffer(b"".join(packed), np.uint64)
-        doc, first = np.repeat(doc, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        block, doc, first = (np.repeat(x, sizes) for x in (block, doc, np.cumsum(sizes) - sizes))
         place = np.repeat(start, sizes) + np.arange(len(own)) - first
-        early = _earliest(own + mix(np.repeat(block, sizes).view(np.uint64)))
-        found = np.flatnonzero(doc[early] < doc)
-        if merge:  # over all blocks at hand
-            found = found[np.lexsort((place[found], doc[found]))]
-        parts = _factors(doc[found], place[found], doc[early[found]], place[early[found]], window)
+        parts = _factors(_earliest(own + mix(block.view(np.uint64))), block, doc, place, window)
         if merge:
             own, spans = _merged(parts)
             return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), spans], names)
@@ -205,9 +274,22 @@ def _against_blocks(batches: Iterator[pa.RecordBatch], window: int, merge: bool)
 def factors(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, start, length (in words), ref_doc_id, ref_start: all factors of ``window`` words or more.
 
-    Together they cover exactly the words of windows that also start in a document with a smaller id.
+    Together they cover exactly the words of windows that also start in a document with a smaller id. Factors that go on in
+    the same reference across the border of a block are one.
     """
-    return _found(docs, window, False)
+    end = F.col("start") + F.col("length")
+    line = Window.partitionBy("doc_id", "ref_doc_id", F.col("ref_start") - F.col("start")).orderBy("start", "length")
+    before = F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") <= before, 0).otherwise(1)
+    return (
+        _found(docs, window, False)
+        .withColumn("fresh", fresh)
+        .withColumn("line", F.col("ref_start") - F.col("start"))
+        .withColumn("part", F.sum("fresh").over(line))
+        .groupBy("doc_id", "ref_doc_id", "line", "part")
+        .agg(F.min("start").alias("start"), F.max(end).alias("end"), F.min("ref_start").alias("ref_start"))
+        .select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "ref_doc_id", "ref_start")
+    )
 
 
 def _found(docs: DataFrame, window: int, merge: bool) -> DataFrame:
