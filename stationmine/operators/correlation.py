@@ -1,10 +1,10 @@
 """Lagged correlations between the series of a neighbourhood.
 
 A correlation does not depend on the centre, so each pair of stations that share a
-centre is computed once and joined to its centres afterwards.  Series travel as arrays
-of up to ``CHUNK`` bins with the earlier bins the lags need, so a pair meets once per
-chunk instead of once per bin and lag, and the sums of all its lag pairs are taken from
-the two arrays.
+centre is computed once and joined to its centres afterwards.  Stations are dealt into
+tiles.  The series of a tile travel together, ``CHUNK`` bins at a time with the earlier bins
+the lags need, so two tiles meet once per chunk instead of two stations once per bin and
+lag, and the moment sums of all their pairs and lags are six matrix products.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationmine.operators.clean import day_slots
 from stationmine.operators.series import lags, resample
-from stationmine.scale import cut, join_small
+from stationmine.scale import cut, global_rank, join_small, spread
 
 CHUNK = 256
 BLOCK = 256
+#: Stations of a tile.
+TILE = 64
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -49,56 +51,92 @@ def co_neighbors(nbrs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def _chunks(series: DataFrame, width: int, step: int, by: list[str]) -> DataFrame:
-    """Arrays per station and chunk: values at the chunk's bins, and before them the width-1 earlier ones.
+def _tiles(nbrs: DataFrame) -> DataFrame:
+    """(station_id, tile): TILE stations each, in the order of their least centre, so neighbours meet in few pairs of tiles."""
+    home = nbrs.groupBy("station_id").agg(F.min("center").alias("home"))
+    tile = F.floor((F.col("rank") - 1) / TILE)
+    return global_rank(home, ["home", "station_id"]).select("station_id", tile.alias("tile"))
 
-    A bin near the end of a chunk is copied into the next one. ``present`` tells bins of the
-    series from padding: a lag reaches a bin only where the series has a row for T0.
+
+def _chunks(series: DataFrame, tiles: DataFrame, width: int, step: int, by: list[str]) -> DataFrame:
+    """Arrays per tile and chunk: station, place and value of each bin, and of the width-1 bins before the chunk.
+
+    A bin near the end of a chunk is copied into the next one. Places without an entry are padding: a lag
+    reaches a bin only where the series has a row for T0.
     """
     pos = F.floor(F.col("bin") / step)
     at = pos % CHUNK
     own = F.struct(F.floor(pos / CHUNK).alias("chunk"), (at + (width - 1)).cast("int").alias("i"))
     ahead = F.struct((F.floor(pos / CHUNK) + 1).alias("chunk"), (at - CHUNK + (width - 1)).cast("int").alias("i"))
     copies = F.filter(F.array(own, F.when(at > CHUNK - width, ahead)), lambda c: c.isNotNull())
+    entry = F.struct("station_id", F.col("c.i").alias("i"), F.coalesce("bikes_available", F.lit(float("nan"))).alias("value"))
     return (
-        series.select(*by, "station_id", "bikes_available", F.explode(copies).alias("c"))
-        .groupBy(*by, "station_id", F.col("c.chunk").alias("chunk"))
-        .agg(
-            F.collect_list(F.col("c.i")).alias("at"),
-            F.collect_list(F.coalesce("bikes_available", F.lit(float("nan")))).alias("value"),
-        )
+        join_small(series, tiles, ["station_id"])
+        .select(*by, "tile", "station_id", "bikes_available", F.explode(copies).alias("c"))
+        .groupBy(*by, "tile", F.col("c.chunk").alias("chunk"))
+        .agg(F.collect_list(entry).alias("m"))
+        .select(*by, "tile", "chunk", F.col("m.station_id").alias("station"), F.col("m.i").alias("at"), F.col("m.value").alias("value"))
     )
 
 
-def _pair_sums(width: int, keys: list[str]):
-    """Moment sums of all lag pairs from two chunk arrays, a batch of pairs at a time."""
+def _tile_sums(width: int, by: list[str]):
+    """Moment sums of all lag pairs for the wanted pairs of stations of two tiles, a pair of tiles and chunk at a time."""
     length = CHUNK + width - 1
 
-    def dense(at: pd.Series, value: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        values = np.full((len(at), length), np.nan)
-        rows = np.zeros((len(at), length), dtype=bool)
-        for r, (i, v) in enumerate(zip(at, value)):
-            values[r, i] = v
-            rows[r, i] = True
-        return values, rows
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            (xa, ra), (xb, rb) = dense(pdf.at_a, pdf.value_a), dense(pdf.at_b, pdf.value_b)
-            for i in range(width):
-                for j in range(width):
-                    now = ra[:, width - 1 :] & rb[:, width - 1 :]
-                    x = xa[:, width - 1 - i : length - i]
-                    y = xb[:, width - 1 - j : length - j]
-                    ok = now & ~np.isnan(x) & ~np.isnan(y)
-                    x, y = np.where(ok, x, 0.0), np.where(ok, y, 0.0)
-                    out = pdf[keys].copy()
-                    out["lag_a"], out["lag_b"] = i, j
-                    out["n"] = ok.sum(axis=1)
-                    out["sx"], out["sy"] = x.sum(axis=1), y.sum(axis=1)
-                    out["sxx"], out["syy"] = (x * x).sum(axis=1), (y * y).sum(axis=1)
-                    out["sxy"] = (x * y).sum(axis=1)
-                    yield out[out["n"] > 0]
+    def lagged(station: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Station ids, and a row per station and lag: its values (0 where unknown), and where they are known."""
+        ids, row = np.unique(station, return_inverse=True)
+        values, present = np.full((len(ids), length), np.nan), np.zeros((len(ids), length), bool)
+        values[row, at], present[row, at] = value, True
+        x = np.stack([values[:, width - 1 - i : length - i] for i in range(width)], axis=1)
+        known = present[:, None, width - 1 :] & ~np.isnan(x)
+        rows = len(ids) * width
+        return ids, np.where(known, x, 0.0).reshape(rows, -1), known.reshape(rows, -1).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: batch.column(c)[r].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                (left, x, kx), (right, y, ky) = (lagged(*(get(f"{c}_{side}") for c in ("station", "at", "value"))) for side in "ab")
+                a, b = get("a"), get("b")
+                there = np.isin(a, left) & np.isin(b, right)
+                a, b = a[there], b[there]
+                ia, ib = np.searchsorted(left, a), np.searchsorted(right, b)
+
+                def sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+                    every = (u @ v.T).reshape(len(left), width, len(right), width)  # noqa: B023
+                    return every[ia, :, ib, :].reshape(len(ia), width**2)  # noqa: B023
+
+                each = np.hstack([sums(kx, ky), sums(x, ky), sums(kx, y), sums(x * x, ky), sums(kx, y * y), sums(x, y)])
+                offsets = pa.array(np.arange(len(a) + 1) * each.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.repeat(batch.column(k)[r], len(a)) for k in by), pa.array(a), pa.array(b),
+                     pa.ListArray.from_arrays(offsets, pa.array(each.ravel()))],
+                    [*by, "a", "b", "sums"],
+                )
+
+    return run
+
+
+def _coefficients(width: int, by: list[str]):
+    """Adds up the moment sums of each pair's chunks; n and r for all its lags, r null where either side is constant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            chunks = batch.column("chunks")
+            each = chunks.flatten().flatten().to_numpy().reshape(-1, len(SUMS) * width**2)
+            counts = np.diff(chunks.offsets.to_numpy())
+            n, sx, sy, sxx, syy, sxy = np.split(np.add.reduceat(each, np.cumsum(counts) - counts), len(SUMS), axis=1)
+            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+            # variances are differences of large sums: tell a constant series from rounding noise
+            varies = (vx > 1e-11 * n * sxx) & (vy > 1e-11 * n * syy)
+            r = np.divide(n * sxy - sx * sy, np.sqrt(np.where(varies, vx * vy, 1.0)))
+            offsets = pa.array(np.arange(len(batch) + 1) * width**2, pa.int32())
+            lists = [pa.array(n.ravel().astype(np.int64)), pa.array(r.ravel(), mask=~varies.ravel())]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in (*by, "a", "b")), *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+                [*by, "a", "b", "n", "r"],
+            )
 
     return run
 
@@ -120,28 +158,35 @@ def lag_correlation(
     # a correlation is the same for centred values, and their sums lose no digits to a large level
     mean = F.avg("bikes_available").over(Window.partitionBy(*keys))
     series = series.withColumn("bikes_available", F.col("bikes_available") - mean)
-    chunks = cut(_chunks(series, width, minutes * 60, by))
-    pairs = cut(co_neighbors(cut(nbrs)))
-    a = chunks.select(*by, F.col("station_id").alias("a"), "chunk", F.col("at").alias("at_a"),
-                      F.col("value").alias("value_a"))
-    b = chunks.select(*by, F.col("station_id").alias("b"), "chunk", F.col("at").alias("at_b"),
-                      F.col("value").alias("value_b"))
-    joined = pairs.select("a", "b").distinct().join(a, "a").join(b, [*by, "b", "chunk"])
-    kinds = "".join(f"{k} string, " for k in by) + "a long, b long, lag_a int, lag_b int, n long, "
-    schema = kinds + ", ".join(f"{s} double" for s in SUMS[1:])
-    sums = (
-        joined.mapInPandas(_pair_sums(width, [*by, "a", "b"]), schema)
-        .groupBy(*by, "a", "b", "lag_a", "lag_b")
-        .agg(*[F.sum(s).alias(s) for s in SUMS])
+    nbrs = cut(nbrs)
+    tiles = cut(_tiles(nbrs))
+    chunks = cut(_chunks(series, tiles, width, minutes * 60, by))
+    pairs = cut(co_neighbors(nbrs))
+    side = lambda c: tiles.select(F.col("station_id").alias(c), F.col("tile").alias(f"tile_{c}"))
+    wanted = (
+        join_small(join_small(pairs.select("a", "b").distinct(), side("a"), ["a"]), side("b"), ["b"])
+        .groupBy("tile_a", "tile_b")
+        .agg(F.collect_list(F.struct("a", "b")).alias("p"))
+        .select("tile_a", "tile_b", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    )
+    part = lambda c: chunks.select(
+        *by, "chunk", F.col("tile").alias(f"tile_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("station", "at", "value")]
+    )
+    joined = wanted.join(part("a"), "tile_a").join(part("b"), [*by, "tile_b", "chunk"])
+    schema = "".join(f"{k} string, " for k in by) + "a long, b long, sums array<double>"
+    # a row of the exchange holds all moments and lags of a pair in a chunk; lags become rows when nothing moves them any more
+    table = (
+        spread(joined.mapInArrow(_tile_sums(width, by), schema), "a", "b")
+        .groupBy(*by, "a", "b")
+        .agg(F.collect_list("sums").alias("chunks"))
+        .mapInArrow(_coefficients(width, by), schema.replace("sums array<double>", "n array<long>, r array<double>"))
+    )
+    lag = F.posexplode(F.arrays_zip("n", "r")).alias("i", "v")
+    return (
+        pairs.join(table, ["a", "b"]).select(*by, "center", "a", "b", lag).filter("v.n > 0")
+        .select(*by, "center", "a", F.expr(f"cast(i div {width} as int)").alias("lag_a"), "b",
+                (F.col("i") % width).alias("lag_b"), "v.r", "v.n")
     )
-    n = F.col("n")
-    vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
-    # variances are differences of large sums: tell a constant series from rounding noise
-    varies = (vx > 1e-11 * n * F.col("sxx")) & (vy > 1e-11 * n * F.col("syy"))
-    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    r = F.when(varies, cov / F.sqrt(vx * vy))
-    table = sums.select(*by, "a", "b", "lag_a", "lag_b", r.alias("r"), "n")
-    return pairs.join(table, ["a", "b"]).select(*by, "center", "a", "lag_a", "b", "lag_b", "r", "n")
 
 
 def neighborhood_wide(status: DataFrame, nbrs: DataFrame, minutes: int, width: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Series operators against pandas on random readings."""
 
+import collections
 import random
 
 import numpy as np
@@ -202,8 +203,10 @@ def plain_corr(pdf, nbrs, minutes, width):
     return out
 
 
-def test_lag_correlation(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [1, 2, 64])
+def test_lag_correlation(spark, monkeypatch, tile):
     monkeypatch.setattr(correlation, "CHUNK", 16)
+    monkeypatch.setattr(correlation, "TILE", tile)
     rows = random_status(11, stations=5, n=900, hours=200)
     pairs = [(1, 1), (1, 2), (1, 0), (3, 4), (3, 1), (3, 3)]
     nbrs = spark.createDataFrame(pairs, "center long, station_id long")
@@ -215,6 +218,13 @@ def test_lag_correlation(spark, monkeypatch):
         assert (r is None and np.isnan(want[k])) or r == pytest.approx(want[k], abs=1e-9), k
 
 
+def test_tiles_hold_each_station_once(spark):
+    nbrs = spark.createDataFrame([(c, s) for c in (1, 2) for s in range(400)] + [(3, 900)], "center long, station_id long")
+    got = [tuple(r) for r in correlation._tiles(nbrs).collect()]
+    sizes = collections.Counter(t for _, t in got)
+    assert len(got) == 401 and len(sizes) == 7 and max(sizes.values()) == correlation.TILE
+
+
 def test_constant_series_has_no_correlation(spark):
     rows = [(s, 3, 1, f"2024-01-01 {h:02d}:00:00") for s in (1, 2) for h in range(20)]
     nbrs = spark.createDataFrame([(1, 1), (1, 2)], "center long, station_id long")
