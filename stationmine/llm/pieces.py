@@ -101,16 +101,32 @@ class Pieces(dict):
             raise ValueError(f"{path} is not a merge vocabulary with byte fallback and whole words")
         if lib.normalize(" a  ﬁ ") != f"{SPACE}{SPACE}a{SPACE}{SPACE}ﬁ{SPACE}":
             raise ValueError(f"{path} changes texts before it cuts them")
-        self.new: list[str] = []
+        self.new: dict[str, tuple[bytes, bytes]] = {}
+        self.mark, self.line = self.merged(SPACE), self.merged("\n")
 
     def __missing__(self, unit: str) -> bytes:
         """unit: a word without the space before it, or a line end and what follows it."""
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[unit] = self.merged("\n" + unit[1:] if unit[:1] == "\n" else SPACE + unit)
-        self.new.append(unit)
+        value = self[unit] = self.noted(unit if unit[:1] == "\n" else SPACE + unit)
         return value
 
+    def noted(self, chunk: str) -> bytes:
+        """Ids of a chunk, noted by the text that has them behind some others in the library.
+
+        The library puts a space mark before every text, and no merge crosses a line end.
+        """
+        ids = self.merged(chunk)
+        if chunk[0] == "\n":
+            self.new[chunk] = self.mark, ids
+        elif chunk == SPACE:
+            self.new["\n"] = ids, self.line
+        elif chunk[0] == SPACE:
+            self.new[chunk[1:]] = b"", ids
+        else:
+            self.new["\n" + chunk] = self.mark, self.line + ids
+        return ids
+
     def merged(self, text: str) -> bytes:
         """Ids of a text whose spaces are space marks already."""
         ids: list[int] = []
@@ -126,14 +142,15 @@ class Pieces(dict):
             return b""
         spread = text.replace("\n", " \n")
         if "  " in spread or spread[0] == " " or spread[-1] == " " or SPACE in text:
-            return b"".join(map(self.merged, _CHUNK.findall(SPACE + text.replace(" ", SPACE))))
+            return b"".join(map(self.noted, _CHUNK.findall(SPACE + text.replace(" ", SPACE))))
         return b"".join(map(self.__getitem__, spread.split(" ")))
 
     def check(self) -> None:
-        """Holds the words merged since the last call against the library's own merges of them."""
-        units, self.new = [u for u in self.new if u and u[0] != "\n"], []
-        for unit, ids in zip(units, self.library.encode(units, num_threads=1)):
-            if self.get(unit, b"") not in (b"", np.array(ids, "<u4").tobytes()):
+        """Holds all that was merged since the last call against the library's own merges."""
+        noted, self.new = self.new, {}
+        for unit, ids in zip(noted, self.library.encode(list(noted), num_threads=1)):
+            before, own = noted[unit]
+            if before + self.get(unit, own) != np.array(ids, "<u4").tobytes():
                 raise AssertionError(f"other ids than the library's for {unit!r}")
 
 

@@ -116,3 +116,19 @@ def test_a_wrong_merge_is_noticed():
     own["hello"] = b"\1\0\0\0"
     with pytest.raises(AssertionError):
         own.check()
+
+
+@pytest.mark.parametrize("text", ["plain words", "two  spaces", " lead", "trail ", "line\nends", "a\n\nb", "▁mark", "\n", "x \n y"])
+@pytest.mark.parametrize("letter", "wasr▁\nby")
+def test_every_merged_unit_is_checked(text, letter):
+    """A table of merges that gives wrong ids for one letter is noticed in every kind of unit."""
+    own = pieces.Pieces(PIECES)
+    own.encode(text)
+    own.check()
+    right = own.merged
+    own.merged = lambda chunk: right(chunk) + (b"\7\0\0\0" if letter in chunk else b"")
+    own.clear()
+    own.encode(text)
+    if letter in text:
+        with pytest.raises(AssertionError):
+            own.check()

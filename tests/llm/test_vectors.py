@@ -112,3 +112,13 @@ def test_cells_come_in_order_of_summed_distance():
     order = books.route(q, 63)
     total = (((a - q[:4]) ** 2).sum(1)[:, None] + ((b - q[4:]) ** 2).sum(1)).ravel()
     assert sorted(order) == list(range(63)) and (np.diff(total[order]) >= -1e-9).all()
+
+
+def test_vectors_of_several_lengths_are_named():
+    import pyarrow as pa
+
+    from stationmine.llm import ranges
+
+    with pytest.raises(ValueError, match="several lengths"):
+        ranges.matrix(pa.array([[1.0] * 3, [1.0] * 5, [1.0] * 4]))
+    assert ranges.matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1, 2], [3, 4]]
