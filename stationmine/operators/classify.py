@@ -2,8 +2,10 @@
 
 A sequence and a rule meet through atoms ``back|state|distance``, where ``back`` counts
 slots before the one to predict.  A rule matches when all atoms of its antecedent are in
-the sequence.  Each antecedent is keyed by its rarest atom only, so a pair of sequence
-and antecedent is looked at once at most, and the containment test is part of the join.
+the sequence.  Atoms of antecedents are numbered, so a sequence and an antecedent are a few
+longs each and containment is a bit test.  Each antecedent is keyed by its rarest atom only,
+and a sequence is repeated for those of its atoms that are such a key, so a pair of sequence
+and antecedent is looked at once at most.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from stationmine.params import check_target
 from stationmine.scale import cut, join_small, spread
 
 ID = ["win", "center"]
+#: Bits of a mask used; the sign is left alone.
+WORD = 63
 
 
 def target_rules(rules: DataFrame, target: str, conf: float = 0.0, sup: int = 0) -> DataFrame:
@@ -56,73 +60,95 @@ def _atoms(body: Column, prefix: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(body, per_slot))))
 
 
-def _tagged(atoms: Column, by: tuple[str, ...]) -> Column:
-    """Atoms led by the row's ``by`` columns, so that those of different configurations never meet."""
-    return F.transform(atoms, lambda a: F.concat_ws("|", *[F.col(c).cast("string") for c in by], a)) if by else atoms
-
-
 def _body(sequence: str = "sequence") -> Column:
     return F.slice(sequence, F.lit(1), F.size(sequence) - 1)
 
 
-def sequence_atoms(labelled: DataFrame, prefix: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """(win, center, y_true, atoms) and ``by``. ``prefix=True`` lets distance 1 also stand for 10 to 19.
+def _dictionary(antecedents: DataFrame) -> list[str]:
+    """The distinct atoms of ``needed``: as many as frequent items times slots, whatever the number of rules or sequences."""
+    return sorted(r["atom"] for r in antecedents.select(F.explode("needed").alias("atom")).distinct().collect())
+
+
+def _words(known: list[str]) -> list[str]:
+    return [f"m{w}" for w in range(-(-len(known) // WORD))]
+
+
+def _masks(atoms: Column, known: list[str]) -> list[Column]:
+    """Columns m0, m1, ...: bit i % WORD of word i // WORD stands for the i-th known atom; other atoms have no bit."""
+    masks = []
+    for w, name in enumerate(_words(known)):
+        here = F.array(*[F.lit(a) for a in known[w * WORD : (w + 1) * WORD]])
+        bits = F.filter(F.transform(atoms, lambda a: F.array_position(here, a)), lambda p: p > 0)  # noqa: B023
+        bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p - 1).cast("int"))
+        masks.append(F.aggregate(bits, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(bit(p))).alias(name))
+    return masks
+
+
+def _bits(among: list[int]) -> Column:
+    """Those numbers ``among`` whose bit is set in the masks."""
+    found = [F.array().cast("array<int>")]
+    for w in sorted({i // WORD for i in among}):
+        here = F.array(*[F.lit(i % WORD) for i in among if i // WORD == w])
+        word = F.col(f"m{w}")
+        is_set = lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1).cast("long")) == 1  # noqa: B023, E731
+        found.append(F.transform(F.filter(here, is_set), lambda i: i + F.lit(w * WORD)))  # noqa: B023
+    return F.concat(*found)
+
+
+def _with_pivot(antecedents: DataFrame, masked: DataFrame, known: list[str]) -> DataFrame:
+    """Antecedents with ``pivot``, the atom that is in fewest sequences; those without atoms match nothing and go."""
+    everything = list(range(len(known)))
+    counts = masked.select(F.explode(_bits(everything)).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+    often = {r["i"]: r["n"] for r in counts}
+    rarest = sorted(everything, key=lambda i: (often.get(i, 0), known[i]))
+    bits = _bits(everything)
+    place = F.array(*[F.lit(rarest.index(i)) for i in everything]) if known else F.array().cast("array<int>")
+    first = F.array_min(F.transform(bits, lambda i: F.struct(F.get(place, i).alias("place"), i.alias("i"))))
+    return antecedents.withColumn("pivot", first["i"]).filter(F.col("pivot").isNotNull())
 
-    Written once, since atoms are counted and then joined, and spread by sequence, since
-    each is exploded.
-    """
-    return cut(spread(labelled.select(*by, *ID, "y_true", _tagged(_atoms(_body(), prefix), by).alias("atoms")), *by, *ID))
 
+def _meet(masked: DataFrame, antecedents: DataFrame, known: list[str], how: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sequences joined with the antecedents they contain, over those of their atoms that are a pivot."""
+    pivots = sorted(r["pivot"] for r in antecedents.select("pivot").distinct().collect())
+    exploded = masked.withColumn("pivot", F.explode_outer(_bits(pivots)))
+    needed = antecedents
+    contained = F.lit(True)
+    for m in _words(known):
+        needed = needed.withColumnRenamed(m, f"needed_{m}")
+        contained &= F.col(f"l.{m}").bitwiseAND(F.col(f"r.needed_{m}")) == F.col(f"r.needed_{m}")
+    return join_small(exploded, needed, [*by, "pivot"], how, condition=contained)
 
-def rule_antecedents(
-    rules: DataFrame, seq_atoms: DataFrame, weights: dict[str, Column], by: tuple[str, ...] = ()
+
+def _votes(
+    labelled: DataFrame, rules: DataFrame, weights: dict[str, Column], prefix: bool, by: tuple[str, ...], how: str
 ) -> DataFrame:
-    """Distinct antecedents with their rarest atom ``pivot`` and summed ``weights``.
+    """Sequences joined with distinct antecedents and their summed ``weights``.
 
     Rules that differ only in consequent or time index share an antecedent, and each
-    of them is a vote, so votes are added up here.
+    of them is a vote, so votes are added up here.  ``prefix=True`` lets distance 1 of a rule also stand for 10 to 19.
     """
-    distinct = rules.groupBy(_tagged(_atoms(_body()), by).alias("needed")).agg(
-        *[F.sum(w).alias(name) for name, w in weights.items()]
-    )
-    # cut, so that counting them for the join does not run the pass over all atoms again
-    return cut(_with_pivot(distinct, seq_atoms))
-
-
-def _with_pivot(antecedents: DataFrame, seq_atoms: DataFrame) -> DataFrame:
-    freq = seq_atoms.select(F.explode("atoms").alias("atom")).groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        antecedents.select("needed", F.explode("needed").alias("atom"))
-        .distinct()
-        .join(freq, "atom", "left")
-        .groupBy("needed")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "atom"))["atom"].alias("pivot"))
+    voters = cut(rules.select(*by, _atoms(_body()).alias("needed"), *[w.alias(name) for name, w in weights.items()]))
+    known = _dictionary(voters)
+    # written once, since atoms are counted and then joined, and spread by sequence, since each is repeated
+    masked = cut(spread(labelled.select(*by, *ID, "y_true", *_masks(_atoms(_body(), prefix), known)), *by, *ID))
+    distinct = voters.select(*by, *weights, *_masks(F.col("needed"), known)).groupBy(*by, *_words(known)).agg(
+        *[F.sum(name).alias(name) for name in weights]
     )
-    return antecedents.join(rarest, "needed")
-
-
-def _meet(seq_atoms: DataFrame, antecedents: DataFrame, how: str) -> DataFrame:
-    """Sequences exploded by atom, joined with the antecedents keyed by that atom and contained."""
-    exploded = seq_atoms.withColumn("pivot", F.explode_outer("atoms"))
-    contained = F.size(F.array_except(F.col("r.needed"), F.col("l.atoms"))) == 0
-    return join_small(exploded, antecedents, ["pivot"], how, condition=contained)
+    return _meet(masked, cut(_with_pivot(distinct, masked, known)), known, how, by)
 
 
 def rule_matches(labelled: DataFrame, rules: DataFrame, prefix: bool = False) -> DataFrame:
     """(win, center, votes): number of rules that match, for sequences with at least one."""
-    atoms = sequence_atoms(labelled, prefix)
-    votes = rule_antecedents(rules, atoms, {"weight": F.lit(1)})
-    return _meet(atoms, votes, "inner").groupBy(*ID).agg(F.sum("weight").alias("votes"))
+    met = _votes(labelled, rules, {"weight": F.lit(1)}, prefix, (), "inner")
+    return met.groupBy(*ID).agg(F.sum("weight").alias("votes"))
 
 
 def count_votes(
     labelled: DataFrame, rules: DataFrame, weights: dict[str, Column], prefix: bool = False, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Each sequence with the sum of each weight over the rules it matches, zero included. Sequences meet the rules of their own ``by``."""
-    atoms = sequence_atoms(labelled, prefix, by)
-    antecedents = rule_antecedents(rules, atoms, weights, by)
     return (
-        _meet(atoms, antecedents, "left")
+        _votes(labelled, rules, weights, prefix, by, "left")
         .groupBy(*by, *ID, "y_true")
         .agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in weights])
     )
@@ -163,21 +189,27 @@ def metrics(conf: DataFrame) -> DataFrame:
 
 
 def explain_matches(labelled: DataFrame, rules: DataFrame, k: int = 1) -> DataFrame:
-    """For each sequence with ``k`` matches: the k-th matching rule by rank, and the slots it matched."""
-    atoms = cut(spread(labelled.select(*ID, "sequence", _atoms(_body()).alias("atoms")), *ID))
-    keyed = _with_pivot(
-        rank_rules(rules).select(
-            "key", "rank", (F.size("sequence") - 1).alias("length"), _atoms(_body()).alias("needed")
-        ),
-        atoms,
+    """For each sequence with ``k`` matches: the k-th matching rule by rank, and the slots it matched.
+
+    Ranks alone are matched; rules and slots are joined to the one rank that is kept.
+    """
+    found = cut(labelled.select(*ID, "sequence"))
+    ranked = cut(
+        rank_rules(rules).select("key", "rank", (F.size("sequence") - 1).alias("length"), _atoms(_body()).alias("needed"))
     )
+    known = _dictionary(ranked)
+    masked = cut(spread(found.select(*ID, *_masks(_atoms(_body()), known)), *ID))
+    keyed = cut(_with_pivot(ranked.select("rank", *_masks(F.col("needed"), known)), masked, known))
     order = F.row_number().over(Window.partitionBy(*ID).orderBy("rank"))
-    body = _body()
-    return (
-        _meet(atoms, keyed, "inner")
+    kept = (
+        _meet(masked, keyed, known, "inner").select(*ID, "rank")
         .withColumn("nth", order)
         .filter(F.col("nth") == k)
-        .select(*ID, "key", pattern_key(F.slice(body, -F.col("length"), F.col("length"))).alias("matched"))
+        .drop("nth")
+    )
+    body = _body()
+    return join_small(kept, ranked.drop("needed"), ["rank"]).join(found, ID).select(
+        *ID, "key", pattern_key(F.slice(body, -F.col("length"), F.col("length"))).alias("matched")
     )
 
 

@@ -70,6 +70,21 @@ def test_votes_match_nested_loops(spark, seed, prefix):
     assert got == want and want
 
 
+def test_masks_of_several_words(spark, monkeypatch):
+    monkeypatch.setattr(cl, "WORD", 5)
+    seqs, rules = random_case(7)
+    labelled, rule_df = frames(spark, seqs, rules)
+    want = {(w, c): n for w, c, s in seqs if len(s) == 3 and (n := sum(matches(s, r[0]) for r in rules))}
+    got = {(w, c): v for w, c, v in tuples(cl.rule_matches(labelled, rule_df), "win", "center", "votes")}
+    assert got == want and want
+
+
+def test_no_text_is_exchanged_for_votes(spark):
+    labelled, rule_df = frames(spark, *random_case(8))
+    plan = cl.rule_matches(labelled, rule_df)._jdf.queryExecution().executedPlan().toString()
+    assert "array" not in plan[: plan.index("BroadcastExchange")].split("Scan")[-1] and "ReadSchema: struct<win:bigint,center:bigint,m0:bigint>" in plan
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_predictions_and_log(spark, k):
     seqs, rules = random_case(4)
