@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,11 @@ from stationmine.functions.columns import ratio
 from stationmine.operators.neighbors import with_distance
 from stationmine.scale import cut, global_sum, join_small
 
+#: Edges a task gathers before it folds them into stars; nodes whose stars it holds.
+FOLD_EDGES, FOREST_NODES = 1 << 18, 1 << 22
+#: Nodes per task that may have more than their share of rows.
+HUB_SHARES = 8
+
 
 def od_weights(trips: DataFrame) -> DataFrame:
     """(start_id, end_id, weight): number of trips per origin and destination."""
@@ -161,37 +170,92 @@ def _is_star_forest(links: DataFrame) -> bool:
     return roles.filter((F.col("n_out") > 1) | ((F.col("n_out") > 0) & (F.col("n") > F.col("n_out")))).isEmpty()
 
 
+def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges (u, v), and for each the least node that these edges connect it with."""
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(place, 2)
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        # the roots of both ends are tied to the lesser one, then every path is followed to its end
+        for end in (a, b):
+            np.minimum.at(new, root[end], least)
+            np.minimum.at(new, end, least)
+        while not (new[new] == new).all():
+            new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars (u, v), v the least node, at most one row per node; no more than FOREST_NODES are held."""
+    ids, roots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        return spanning_stars(*(np.concatenate(x) for x in zip((ids, roots), *waiting)))
+
+    for batch in batches:
+        waiting.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        # edges are folded when they are as many as the stars, so each is looked at a few times only
+        if sum(len(x) for x, _ in waiting) > max(len(ids), FOLD_EDGES):
+            ids, roots = folded()
+            waiting = []
+            if len(ids) > FOREST_NODES:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], ["u", "v"])
+                ids, roots = ids[:0], roots[:0]
+    if waiting:
+        ids, roots = folded()
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], ["u", "v"])
+
+
+def _dealt(rows: DataFrame, least: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (u, v) and ``least`` (u, n, m), n at least the number of rows of u, with the ``part`` of u they meet in.
+
+    Rows of a node with more than its share of ``total`` are dealt over several parts, to which its least
+    neighbour is repeated. There are no more such nodes than HUB_SHARES per task.
+    """
+    share = max(1, total // (HUB_SHARES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hubs = least.filter(F.col("n") > share).select("u", parts.alias("parts"))
+    dealt = rows.join(F.broadcast(hubs), "u", "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")
+    )
+    every = F.when(F.col("n") > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt, least.select("u", "m", F.explode(every).alias("part"))
+
+
+def _least_around(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    dealt, repeated = _dealt(rows, least, total)
+    return dealt.join(repeated, ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, min_weight: float) -> DataFrame:
     """(id, component): connected components of the undirected graph with weight > ``min_weight``.
 
-    A component is named by its least id.  Rounds alternate between linking larger
-    neighbours and linking smaller neighbours to the least id around a node, so paths
-    shrink by a factor and not by one step per round.  Both are grouped minima, never
-    collected neighbour lists, and each round is cut off in the checkpoint folder.
+    A component is named by its least id.  Each task first reduces its edges to stars, so
+    what is exchanged does not grow with parallel ways between the same nodes.  Rounds
+    then alternate between linking larger neighbours and linking smaller neighbours to the least id around a node, so
+    paths shrink by a factor and not by one step per round.  Both are grouped minima, never
+    collected neighbour lists, the rows of hubs are dealt over several keys, and each round is cut off in the checkpoint folder.
     """
-    heavy = edges.filter(F.col("weight") > min_weight).select("start_id", "end_id")
-    nodes = cut(heavy.select(F.explode(F.array("start_id", "end_id")).alias("id")).distinct())
-    pair = F.array_sort(F.array("start_id", "end_id"))
-    links = cut(
-        heavy.filter(F.col("start_id") != F.col("end_id"))
-        .select(F.element_at(pair, 2).alias("u"), F.element_at(pair, 1).alias("v"))
-        .distinct()
-    )
-    while True:
+    heavy = edges.filter(F.col("weight") > min_weight).select(*[F.col(c).cast("long") for c in ("start_id", "end_id")]).dropna()
+    stars = cut(heavy.mapInArrow(_forests, "u long, v long"))
+    nodes = stars.select(F.col("u").alias("id")).distinct()
+    links = cut(stars.filter("u != v").distinct())
+    while not _is_star_forest(links):
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        ).filter(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(
-                F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-            ).alias("e")
-        ).select("e.*").filter(F.col("u") != F.col("v")).distinct()
-        links = cut(small)
-        if _is_star_forest(links):
-            break
+        around = cut(both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(
+            _least_around(both.filter("v > u"), around, 2 * links.count())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        )
+        low = cut(large.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _least_around(large, low, large.count()).select(F.explode(ends).alias("e")).select("e.*")
+        links = cut(small.filter("u != v").distinct())
     return nodes.join(links.select(F.col("u").alias("id"), "v"), "id", "left").select(
         "id", F.coalesce("v", "id").alias("component")
     )
@@ -200,4 +264,4 @@ def components(edges: DataFrame, min_weight: float) -> DataFrame:
 def component_sizes(comp: DataFrame) -> DataFrame:
     """Each node with its component and the size of it."""
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return comp.join(sizes, "component").select("id", "component", "size")
+    return join_small(comp, sizes, ["component"]).select("id", "component", "size")

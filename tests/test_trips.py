@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationmine.operators import trips
 from tests.conftest import tuples
@@ -49,6 +50,36 @@ def test_components(spark, edges):
     assert tuples(got, "id", "component") == plain_components(edges, 5)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_spanning_stars(seed):
+    edges = random_edges(seed, 30, 10 + 10 * seed)
+    u, v, _ = (np.array(x) for x in zip(*edges))
+    ids, roots = trips.spanning_stars(u, v)
+    assert list(zip(ids, roots)) == plain_components(edges, 0)
+
+
+def test_forests_hold_few_nodes(spark, monkeypatch):
+    edges = random_edges(9, 300, 900)
+    monkeypatch.setattr(trips, "FOLD_EDGES", 20)
+    monkeypatch.setattr(trips, "FOREST_NODES", 50)
+    batches = spark.createDataFrame(edges, EDGE).select("start_id", "end_id").toArrow().to_batches(max_chunksize=16)
+    made = [(u, v, 1) for b in trips._forests(iter(batches)) for u, v in zip(*(c.to_pylist() for c in b.columns))]
+    assert plain_components(made, 0) == plain_components(edges, 0)
+
+
+def test_rows_of_a_hub_are_dealt(spark):
+    """A node with a third of all rows: the least neighbours are the same, and no key holds more than about its share."""
+    rows = [(0, i) for i in range(1, 1001)] + [(1000 + i % 500, 5000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "u long, v long")
+    least = df.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+    got = trips._least_around(df, least, len(rows))
+    want = {u: min(b for a, b in rows if a == u) for u in {a for a, _ in rows}}
+    assert tuples(got, "u", "v", "m") == sorted((u, v, want[u]) for u, v in rows)
+    share = len(rows) // (trips.HUB_SHARES * 8)
+    dealt, _ = trips._dealt(df, least, len(rows))
+    assert dealt.groupBy("u", "part").count().agg(F.max("count")).first()[0] < 2 * share
+
+
 def test_component_sizes(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, component long")
     assert tuples(trips.component_sizes(df), "id", "size") == [(1, 2), (2, 2), (3, 1)]
