@@ -11,6 +11,11 @@ from stationmine.functions.columns import delta_of, haversine_km
 from stationmine.params import EARTH_RADIUS_KM, MineParams
 from stationmine.scale import cut, join_small
 
+#: A cell of the grid.
+CELL = ["cx", "cy", "cz"]
+#: Stations of a block of a crowded cell.
+BLOCK = 256
+
 
 def _on_grid(station: DataFrame, radius_km: float) -> DataFrame:
     """Cell of each station in a cubic grid around the globe.
@@ -26,24 +31,52 @@ def _on_grid(station: DataFrame, radius_km: float) -> DataFrame:
     return station.select("id", "lat", "long", *[F.floor(v / cell).alias(k) for k, v in xyz.items()])
 
 
-def station_pairs(station: DataFrame, radius_km: float) -> DataFrame:
+def _around(cells: DataFrame) -> DataFrame:
+    """Each row once for every cell within one step of its own."""
+    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    for axis in CELL:
+        cells = cells.withColumn("_d", F.explode(near)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
+    return cells
+
+
+def _blocks(cells: DataFrame, block: int) -> DataFrame:
+    """Cells that more than ``block`` stations meet: into how many parts those that come and those that are there are cut."""
+    there = cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    come = _around(there).groupBy(*CELL).agg(F.sum("n").alias("n_come"))
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    return there.join(come, CELL).filter(F.col("n_come") > block).select(
+        *CELL, parts("n_come").alias("parts_a"), parts("n").alias("parts_b")
+    )
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame, own: str, other: str) -> DataFrame:
+    """Each row in one part of its side of its cell, once for every part of the other side."""
+    parts = lambda side: F.coalesce(f"parts_{side}", F.lit(1))
+    every = F.sequence(F.lit(0), parts(other) - 1)
+    return (
+        join_small(rows, crowded, CELL, "left")
+        .withColumn(f"part_{own}", F.pmod(F.xxhash64(f"id_{own}"), parts(own)).cast("int"))
+        .withColumn(f"part_{other}", F.explode(every))
+        .drop("parts_a", "parts_b")
+    )
+
+
+def station_pairs(station: DataFrame, radius_km: float, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b, dist) with id_a < id_b for stations at most ``radius_km`` apart.
 
     An equi join on grid cells: a station meets only the stations of the 27 cells
-    around it, never the whole table.
+    around it, never the whole table.  A cell that more than ``block`` stations meet is
+    cut into blocks of that many, which are paired under keys of their own, so that a
+    crowded place, or stations all at one point, are shared by many tasks.
     """
     cells = _on_grid(station, radius_km)
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    around = cells
-    for axis in ("cx", "cy", "cz"):
-        around = around.withColumn("_d", F.explode(near)).withColumn(axis, F.col(axis) + F.col("_d"))
-    a = around.select("cx", "cy", "cz", F.col("id").alias("id_a"), F.col("lat").alias("lat_a"),
-                      F.col("long").alias("long_a"))
-    b = cells.select("cx", "cy", "cz", F.col("id").alias("id_b"), F.col("lat").alias("lat_b"),
-                     F.col("long").alias("long_b"))
+    crowded = cut(_blocks(cells, block))
+    side = lambda df, tag: df.select(*CELL, *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "lat", "long")])
+    a = _dealt(side(_around(cells), "a"), crowded, "a", "b")
+    b = _dealt(side(cells, "b"), crowded, "b", "a")
     dist = haversine_km(F.col("lat_a"), F.col("long_a"), F.col("lat_b"), F.col("long_b"))
     return (
-        a.join(b, ["cx", "cy", "cz"])
+        a.join(b, [*CELL, "part_a", "part_b"])
         .filter(F.col("id_a") < F.col("id_b"))
         .select("id_a", "id_b", dist.alias("dist"))
         .filter(F.col("dist") <= radius_km)

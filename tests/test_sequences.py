@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stationmine.operators import neighbors as nb
 from stationmine.operators import sequences as sq
@@ -56,6 +57,21 @@ def test_grid_join_finds_every_close_pair(spark, center, radius):
     assert want
 
 
+def test_a_crowded_cell_is_shared(spark):
+    """Half of the stations at one point: the same pairs, and no key with more than a block of either side."""
+    rng = random.Random(5)
+    points = [(i, 37.0, -122.0) if i % 2 else (i, 37 + rng.random() / 10, -122 + rng.random() / 10) for i in range(240)]
+    station = spark.createDataFrame(points, "id long, lat double, long double")
+    want = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and km(a[1:], b[1:]) <= 2}
+    assert set(tuples(nb.station_pairs(station, 2.0, block=16), "id_a", "id_b")) == want
+    cells = nb._on_grid(station, 2.0).withColumnRenamed("id", "id_b")
+    crowded = nb._blocks(cells, 16)
+    assert not crowded.isEmpty()
+    for own, other, rows in (("b", "a", cells), ("a", "b", nb._around(cells.withColumnRenamed("id_b", "id_a")))):
+        dealt = nb._dealt(rows, crowded, own, other).join(cells.select(*nb.CELL).distinct(), nb.CELL)
+        assert dealt.groupBy(*nb.CELL, "part_a", "part_b").count().agg(F.max("count")).first()[0] <= 32
+
+
 def test_delta_steps(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (0.50001,), (1.5,), (1.5000001,)], "d double")
     assert [r[0] for r in df.select(delta_of(df.d, 0.5)).collect()] == [1, 1, 2, 3, 4]
