@@ -195,11 +195,22 @@ def neighborhood_wide(status: DataFrame, nbrs: DataFrame, minutes: int, width: i
     The long form of the merged table of a neighbourhood; ``pivot_neighborhood`` widens it.
     """
     series = lags(resample(status, minutes, "mean", ["bikes_available"]), ["bikes_available"], width)
-    return nbrs.join(series, "station_id").select(
+    return join_small(series, nbrs, ["station_id"]).select(
         "center", "station_id", "bin", *[f"bikes_available_T{i}" for i in reversed(range(width))]
     )
 
 
+def neighborhood_tables(long: DataFrame, width: int) -> DataFrame:
+    """The wide tables of all centres, one row per (center, bin).
+
+    ``lags`` maps every neighbour with a row in the bin to its values, oldest first. Neighbours differ
+    from centre to centre, so they are keys and not columns; one without a row is not in the map.
+    """
+    values = F.array(*[f"bikes_available_T{i}" for i in reversed(range(width))])
+    entries = F.array_sort(F.collect_list(F.struct("station_id", values.alias("values"))))
+    return long.groupBy("center", "bin").agg(F.map_from_entries(entries).alias("lags"))
+
+
 def pivot_neighborhood(long: DataFrame, center: int, stations: list[int], width: int) -> DataFrame:
     """One wide row per bin for one centre: columns ``{station}_T{i}``, outer merged on the bin."""
     lag_cols = [F.max(f"bikes_available_T{i}").alias(f"T{i}") for i in reversed(range(width))]

@@ -156,6 +156,7 @@ part(
 )
 
 final("scan_status", "SELECT * FROM fx_status")
+final("status_file", "SELECT * FROM fx_status")
 final(
     "scan_station",
     """
@@ -1158,6 +1159,20 @@ final(
 )
 
 
+_thousandths = " || ',' || ".join(
+    f"coalesce(CAST(CAST(round(T{i} * 1000) AS BIGINT) AS VARCHAR), '-')" for i in reversed(range(WIDTH))
+)
+final(
+    "neighborhood_tables",
+    f"""
+    SELECT center, {as_time('bin')} AS time,
+           string_agg(CAST(station_id AS VARCHAR) || ':' || {_thousandths}, ';' ORDER BY station_id) AS stations
+    FROM fx_nbrs_in JOIN (
+        SELECT station_id, bin, {', '.join(f'lag(bikes_available, {i}) OVER ({_by_bin}) AS T{i}' for i in range(WIDTH))}
+        FROM {_mean}) USING (station_id)
+    GROUP BY center, bin
+    """,
+)
 final(
     "neighborhood_pivot",
     f"""
@@ -1274,6 +1289,7 @@ part(
     """,
 )
 final("degrees", "SELECT * FROM fx_degrees")
+final("edge_file", "SELECT * FROM fx_degrees")
 final("top_stations", "SELECT * FROM fx_degrees ORDER BY w_in DESC, station LIMIT 25")
 final("bottom_stations", "SELECT * FROM fx_degrees ORDER BY w_in, station LIMIT 25")
 final(

@@ -17,7 +17,7 @@ from stationmine.params import EXTRACTION_TYPES, MineParams
 from stationmine.scale import cut, fresh_path, join_small
 from stationmine.sources import readers
 from stationmine.sources.fixture import Fixture
-from stationmine.sources.sinks import append_metrics, rules_to_line, stamp, write_rules_text
+from stationmine.sources.sinks import append_metrics, rules_to_line, stamp, write_csv, write_neighborhoods, write_rules_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,23 @@ query("scan_trip")(lambda fx: fx.trip)
 query("trip_page")(lambda fx: inspect.page(fx.trip, ["start_date", "id"], 55, 5))
 query("profile")(lambda fx: inspect.profile(fx.status))
 
+
+@query("status_file")
+def _(fx: Fixture) -> DataFrame:
+    """All readings written as CSV to the shared folder and read back."""
+    path = fresh_path(fx.spark)
+    write_csv(fx.status, path)
+    return readers.read_status(fx.spark, path)
+
+
+@query("edge_file")
+def _(fx: Fixture) -> DataFrame:
+    """Degrees of the trip graph from an edge file."""
+    path = fresh_path(fx.spark)
+    write_csv(edges(fx), path)
+    return degrees_of(readers.read_edges(fx.spark, path), fx)
+
+
 # --- cleaning ----------------------------------------------------------------------------
 
 query("valid_readings")(lambda fx: clean.valid_readings(fx.status))
@@ -377,6 +394,19 @@ query("lag_corr_slot")(
     )
 )
 
+
+@query("neighborhood_tables")
+def _(fx: Fixture) -> DataFrame:
+    """The wide tables of all centres, written by centre and read back."""
+    long = correlation.neighborhood_wide(fx.status, nb.graph_neighbors(small_edges(fx), "in"), MINUTES, WIDTH)
+    tables, path = correlation.neighborhood_tables(long, WIDTH), fresh_path(fx.spark)
+    write_neighborhoods(tables, path)
+    number = lambda x: F.coalesce(F.round(x * 1000).cast("bigint").cast("string"), F.lit("-"))
+    values = lambda k: F.concat(k.cast("string"), F.lit(":"), F.concat_ws(",", F.transform(F.col("lags")[k], number)))
+    text = F.concat_ws(";", F.transform(F.array_sort(F.map_keys("lags")), values))
+    return stamp(fx.spark.read.schema(tables.schema).parquet(path)).select("center", "time", text.alias("stations"))
+
+
 @query("neighborhood_pivot")
 def _(fx: Fixture) -> DataFrame:
     """The wide table of one centre."""
@@ -400,8 +430,12 @@ query("weight_box")(lambda fx: trips.box_stats(edges(fx), "weight"))
 query("components")(lambda fx: trips.component_sizes(trips.components(small_edges(fx), 12)))
 
 
+def degrees_of(weights: DataFrame, fx: Fixture) -> DataFrame:
+    return trips.degrees_city(trips.degrees(weights), fx.station)
+
+
 def degree_table(fx: Fixture) -> DataFrame:
-    return trips.degrees_city(trips.degrees(edges(fx)), fx.station)
+    return degrees_of(edges(fx), fx)
 
 
 query("degrees")(degree_table)

@@ -32,6 +32,7 @@ TIME_FORMATS = (
     "yyyy/MM/dd HH:mm",
     "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
 )
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationmine.functions.columns import bin_time
+from stationmine.scale import spread
 from stationmine.sources.readers import METRICS_SCHEMA
 
 # The two header lines of the rule text form.
 RULE_HEADER = "Pattern, Confidence-Frequence"
 RULE_COUNT = "Total number of input patterns: "
+#: How times are written as text.
+TIME_OUT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def rule_line() -> Column:
@@ -65,7 +68,14 @@ def write_rules_text(rules: DataFrame, path: str, by: str = "conf", mode: str =
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple = ()) -> None:
-    df.write.mode(mode).partitionBy(*partition_by).option("header", True).csv(path)
+    """With a header, and times to the microsecond in a form the readers know."""
+    times = {"timestampFormat": TIME_OUT, "timestampNTZFormat": TIME_OUT}
+    df.write.mode(mode).partitionBy(*partition_by).option("header", True).options(**times).csv(path)
+
+
+def write_neighborhoods(tables: DataFrame, path: str, days: int = 365, mode: str = "overwrite") -> None:
+    """Wide tables of all centres, a folder per centre and a file per ``days`` in it, so a large one is written by many tasks."""
+    spread(tables, "center", F.floor(F.col("bin") / (days * 86400))).write.mode(mode).partitionBy("center").parquet(path)
 
 
 def write_status(status: DataFrame, path: str, mode: str = "overwrite") -> None:
