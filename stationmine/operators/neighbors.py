@@ -50,7 +50,7 @@ def _blocks(cells: DataFrame, block: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, crowded: DataFrame, own: str, other: str) -> DataFrame:
-    """Each row in one part of its side of its cell, once for every part of the other side."""
+    """Each row in one part of its side of its cell, once for every part of the other side. Cells not in ``crowded`` are one part."""
     parts = lambda side: F.coalesce(f"parts_{side}", F.lit(1))
     every = F.sequence(F.lit(0), parts(other) - 1)
     return (
@@ -72,11 +72,12 @@ def station_pairs(station: DataFrame, radius_km: float, block: int = BLOCK) -> D
     cells = _on_grid(station, radius_km)
     crowded = cut(_blocks(cells, block))
     side = lambda df, tag: df.select(*CELL, *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "lat", "long")])
-    a = _dealt(side(_around(cells), "a"), crowded, "a", "b")
-    b = _dealt(side(cells, "b"), crowded, "b", "a")
+    a, b, key = side(_around(cells), "a"), side(cells, "b"), CELL
+    if not crowded.isEmpty():
+        a, b, key = _dealt(a, crowded, "a", "b"), _dealt(b, crowded, "b", "a"), [*CELL, "part_a", "part_b"]
     dist = haversine_km(F.col("lat_a"), F.col("long_a"), F.col("lat_b"), F.col("long_b"))
     return (
-        a.join(b, [*CELL, "part_a", "part_b"])
+        a.join(b, key)
         .filter(F.col("id_a") < F.col("id_b"))
         .select("id_a", "id_b", dist.alias("dist"))
         .filter(F.col("dist") <= radius_km)
