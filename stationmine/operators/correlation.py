@@ -195,7 +195,8 @@ def neighborhood_wide(status: DataFrame, nbrs: DataFrame, minutes: int, width: i
     The long form of the merged table of a neighbourhood; ``pivot_neighborhood`` widens it.
     """
     series = lags(resample(status, minutes, "mean", ["bikes_available"]), ["bikes_available"], width)
-    return join_small(series, nbrs, ["station_id"]).select(
+    # a station has a row per bin: no salts
+    return join_small(series, nbrs, ["station_id"], salts=1).select(
         "center", "station_id", "bin", *[f"bikes_available_T{i}" for i in reversed(range(width))]
     )
 

@@ -91,3 +91,12 @@ def test_folds_hash_their_readings(spark):
     p = MineParams(extraction_type="Full-Decrease", interval=720, state_change=True)
     text = plan(states.slot_states(Fixture(spark, ROOT).status, p))
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_beyond_the_bound_nothing_is_broadcast(skewed, salts):
+    big, small = skewed
+    got = scale.join_small(big, small, ["k"], max_rows=5, salts=salts)
+    assert "BroadcastHashJoin" not in plan(got) and "SortMergeJoin" in plan(got)
+    want = scale.join_small(big, small, ["k"])
+    assert tuples(got, *want.columns) == tuples(want, *want.columns)
