@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from stationmine.operators import classify as cl
 from stationmine.sources import readers, sinks
 from tests.conftest import status_frame, tuples
@@ -80,3 +82,16 @@ def test_grid_output_comes_back(spark, tmp_path):
     ]
     with pytest.raises(ValueError):
         sinks.append_metrics(conf, str(tmp_path / "grid"))
+
+
+def test_wide_tables_lie_in_few_folders(spark, tmp_path):
+    """The driver lists every folder, so their number must not grow with the centres."""
+    lags = F.create_map(F.col("id"), F.array(F.lit(1.0), F.lit(None).cast("double")))
+    tables = spark.range(400).select(F.col("id").alias("center"), F.explode(F.array(F.lit(0).cast("long"), F.lit(900).cast("long"))).alias("bin"), lags.alias("lags"))
+    path = str(tmp_path / "wide")
+    sinks.write_neighborhoods(tables, path, groups=8)
+    assert len(list((tmp_path / "wide").glob("part=*"))) == 8
+    back = spark.read.schema(tables.schema).parquet(path)
+    seen = lambda df: sorted((r.center, r.bin, tuple((k, tuple(v)) for k, v in r.lags.items())) for r in df.collect())
+    assert seen(back) == seen(tables)
+    assert back.filter((F.col("center") == 7) & (F.col("part") == sinks.center_group("center", 8))).count() == 2
