@@ -100,3 +100,21 @@ def test_beyond_the_bound_nothing_is_broadcast(skewed, salts):
     assert "BroadcastHashJoin" not in plan(got) and "SortMergeJoin" in plan(got)
     want = scale.join_small(big, small, ["k"])
     assert tuples(got, *want.columns) == tuples(want, *want.columns)
+
+
+def test_labels_are_distinct_before_windows_repeat_them(spark):
+    got = q.queries()["labels"](spark, ROOT)
+    text = plan(got)
+    assert "hashpartitioning(slot" in text and "REPARTITION_BY_NUM" in text
+    # the aggregation lies below the join with windows
+    assert text.index("Join") < text.index("HashAggregate")
+    assert got.count() == got.distinct().count()
+
+
+def test_neighbors_are_not_repeated(spark, monkeypatch):
+    """A station has few rows per slot or bin, so its neighbours need no salts."""
+    monkeypatch.setattr(scale, "fits", lambda df, max_rows=0: False)
+    states_ = spark.createDataFrame([(0, 1, "Full"), (0, 2, "AlmostFull"), (1, 2, "Full")], "slot long, station_id long, state string")
+    near = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "center long, station_id long, delta int")
+    assert "_salt" not in plan(sq.labelled_items(states_, near))
+    assert sq.labelled_items(states_, near).count() == 6
