@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationmine.scale import cut
+from stationmine.scale import cut, fits, join_small
 
 #: Chances that a row drawn with replacement occurs at most 0, 1, … 5 times (Poisson of mean one). Fixed values.
 AT_MOST = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
@@ -101,7 +101,7 @@ def grow(rows: DataFrame, keys: list[str], subset: int | None = None) -> Model:
         found.append(splits)
         right = (F.get("x", "feature") > F.col("bin")).cast("int")
         moved = F.when(F.col("feature").isNotNull(), 2 * F.col("node") + right).otherwise(F.col("node"))
-        state = cut(state.join(splits, [*keys, "node"], "left").select(*keys, "x", "y", "w", "depth", "least", "entropy", moved.alias("node")))
+        state = cut(join_small(state, splits, [*keys, "node"], "left", salts=1).select(*keys, "x", "y", "w", "depth", "least", "entropy", moved.alias("node")))
     leaves = cut(state.groupBy(*keys, "node").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")))
     every = splits
     for more in found:
@@ -122,8 +122,10 @@ def route(rows: DataFrame, model: Model) -> DataFrame:
         return F.when(s.isNull(), node).otherwise(2 * node + (F.get("x", s["feature"]) > s["bin"]).cast("int"))
 
     levels = F.sequence(F.lit(1), F.lit(max(1, model.depth)))
+    # files tell little about the size of maps: they are broadcast if the splits in them are few
+    maps = F.broadcast(maps) if fits(model.splits) else maps.hint("merge")
     placed = rows.join(maps, model.keys, "left").withColumn("node", F.aggregate(levels, F.lit(1).cast("long"), step))
-    return placed.join(model.leaves, [*model.keys, "node"]).drop("_splits", "node")
+    return join_small(placed, model.leaves, [*model.keys, "node"], salts=1).drop("_splits", "node")
 
 
 def save(model: Model, path: str) -> None:

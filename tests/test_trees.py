@@ -250,3 +250,18 @@ def test_query_of_tuned_trees(spark, monkeypatch, fixture_rows):
         want = count(found)
         assert {c: row[c] for c in want} == want
     assert set(got) == {"recall", "precision", "f1"}
+
+
+def test_many_trees_are_not_broadcast(spark, monkeypatch):
+    """Splits and leaves of many trees compress well; what the driver would have to hold does not show in their files."""
+    rows = spark.range(60).selectExpr(
+        "id % 3 AS k", "array(cast(id % 5 AS int), cast(id % 7 AS int)) AS x", "cast(id % 5 > 2 AS int) AS y", "1 AS w",
+        "3 AS depth", "1 AS least", "false AS entropy",
+    )
+    seen = lambda df: sorted(map(tuple, df.select("k", "x", "y", "n", "p").collect()))
+    want = seen(trees.route(rows, trees.grow(rows, ["k"])))
+    monkeypatch.setattr(trees, "fits", lambda df: False)
+    monkeypatch.setattr(trees.join_small, "__defaults__", ("inner", None, 0, 4))
+    routed = trees.route(rows, trees.grow(rows, ["k"]))
+    assert "Broadcast" not in routed._jdf.queryExecution().executedPlan().toString()
+    assert seen(routed) == want
