@@ -174,3 +174,14 @@ def test_two_digit_distances_sort_as_text(spark):
     p = MineParams(max_delta=12, window_size=1)
     got = sq.sequence_text(sq.build_sequences(states_frame(spark, rows), near, p)).filter("center = 1")
     assert tuples(got, "sequence") == [("Full_T0_0,Full_T0_10,Full_T0_2",)]
+
+
+def test_tasks_grow_with_the_states(spark, monkeypatch):
+    """States that meet their neighbours are dealt over more tasks as they become more."""
+    monkeypatch.setattr(sq, "STATES", 2)
+    rows = [(s, c, "Full") for s in range(10) for c in range(4)]
+    found = spark.createDataFrame(rows, "slot long, station_id long, state string")
+    near = spark.createDataFrame([(0, 1, 1), (1, 0, 1)], "center long, station_id long, delta int")
+    built = sq.build_sequences(found, near, MineParams(interval=720))
+    assert "hashpartitioning(slot#" in (text := built._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in text
+    assert built.select("win", "center").distinct().count() == built.count() > 0
