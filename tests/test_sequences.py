@@ -185,3 +185,14 @@ def test_tasks_grow_with_the_states(spark, monkeypatch):
     built = sq.build_sequences(found, near, MineParams(interval=720))
     assert "hashpartitioning(slot#" in (text := built._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in text
     assert built.select("win", "center").distinct().count() == built.count() > 0
+
+
+def test_only_what_makes_a_sequence_is_gathered(spark):
+    """A centre without an item of its own in T0 of any window makes no sequence, whatever its neighbours show."""
+    found = spark.createDataFrame([(0, 1, "Full"), (1, 2, "Full"), (9, 2, "Full"), (1, None, "Full")], "slot long, station_id long, state string")
+    near = spark.createDataFrame([(1, 2, 1), (5, 2, 1)], "center long, station_id long, delta int")
+    items, win = sq.labelled_items(found, near), windows.window_map(found, 3)
+    kept = {tuple(r) for r in sq._of_heads(items, win).select("slot", "center", "delta").collect()}
+    assert kept == {(0, 1, 0), (1, 1, 1), (1, 2, 0), (9, 2, 0), (1, None, 0)}
+    built = sq.build_sequences(found, near, MineParams(interval=720), dedup=False)
+    assert {r.center for r in built.collect()} == {1, 2, None}
