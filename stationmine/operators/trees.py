@@ -20,6 +20,8 @@ from stationmine.scale import cut, fits, join_small
 #: Chances that a row drawn with replacement occurs at most 0, 1, … 5 times (Poisson of mean one). Fixed values.
 AT_MOST = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 _RATE = 1 << 20
+#: What all nodes of a tree share (its limits and the number of features), and what a row knows of its node.
+_TREE, _NODE = ["depth", "least", "entropy", "size"], ["node", "n", "p"]
 
 
 class Model(NamedTuple):
@@ -44,7 +46,7 @@ def chance(*parts: Column) -> Column:
 def drawn(rows: DataFrame, trees: int, row: list[str]) -> DataFrame:
     """Rows once per tree with ``w``, how often each is drawn there. Depends on the ``row`` columns and the tree."""
     u = chance(F.col("tree"), *[F.col(c) for c in row])
-    times = F.size(F.filter(F.array(*[F.lit(t) for t in AT_MOST]), lambda t: t <= u))
+    times = sum((u >= t).cast("int") for t in AT_MOST)
     many = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     return many.withColumn("w", F.when(F.col("w") > 0, times).otherwise(0))
 
@@ -56,56 +58,82 @@ def _impurity(n: Column, p: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.when(F.col("entropy"), part(p) + part(q)).otherwise(F.lit(2.0) * p * q / n))
 
 
-def best_splits(rows: DataFrame, keys: list[str], subset: int | None) -> DataFrame:
-    """keys, node, feature, bin: the split of each node that lowers impurity most; ties to the first feature, then bin.
+def _may_split(n: Column, p: Column, level: int) -> Column:
+    """Whether a split can lower a node's impurity and leave enough rows on each side."""
+    return (p > 0) & (p < n) & (n >= 2 * F.col("least")) & (F.col("depth") > level)
+
+
+def _tried(keys: list[str], node: Column, subset: int | None) -> Column:
+    """The ``subset`` features tried in a node, chosen by a hash of keys and node; null: all."""
+    if subset is None:
+        return F.lit(None).cast("array<int>")
+    every = F.filter(F.sequence(F.lit(0), F.col("size")), lambda f: f < F.col("size"))
+    luck = F.transform(every, lambda f: F.struct(F.xxhash64(*[F.col(k) for k in keys], node, f).alias("luck"), f.alias("f")))
+    return F.transform(F.slice(F.array_sort(luck), 1, subset), lambda e: e["f"])
 
-    ``subset`` features are tried per node (all if None), chosen by a hash of keys and node.
+
+def best_splits(rows: DataFrame, keys: list[str], subset: int | None) -> DataFrame:
+    """keys, limits, node, n, p, feature, bin, ln, lp: the split of each node that lowers impurity most, with the rows and the positive
+    ones in the node and on the left; ties to the first feature, then bin. Features are those in ``tried`` if there is a ``subset``, else all.
     """
-    node = [*keys, "node", "least", "entropy"]
-    pairs = F.transform("x", lambda b, f: F.struct(f.alias("feature"), b.alias("bin")))
-    if subset is not None:
-        luck = F.transform(pairs, lambda e: F.struct(F.xxhash64(*[F.col(k) for k in keys], "node", e["feature"]).alias("luck"), e.alias("e")))
-        pairs = F.transform(F.slice(F.array_sort(luck), 1, subset), lambda e: e["e"])
+    node = [*keys, *_TREE, *_NODE]
+    if subset is None:
+        pairs = F.transform("x", lambda b, f: F.struct(f.alias("feature"), b.alias("bin")))
+    else:
+        pairs = F.transform("tried", lambda f: F.struct(f.alias("feature"), F.get("x", f).alias("bin")))
     entries = rows.select(*node, "y", "w", F.explode(pairs).alias("e")).select(*node, "y", "w", "e.*")
-    cells_ = entries.groupBy(*node, "feature", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
-    whole = Window.partitionBy(*node, "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    cells_ = entries.groupBy(*node, "feature", "bin").agg(F.sum("w").alias("bn"), F.sum(F.col("w") * F.col("y")).alias("bp"))
+    upto = Window.partitionBy(*node, "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = cells_.select(
-        *node, "feature", "bin",
-        F.sum("n").over(upto).alias("ln"), F.sum("p").over(upto).alias("lp"),
-        F.sum("n").over(whole).alias("n"), F.sum("p").over(whole).alias("p"),
+        *node, "feature", "bin", F.sum("bn").over(upto).alias("ln"), F.sum("bp").over(upto).alias("lp")
     ).filter((F.col("ln") >= F.col("least")) & (F.col("n") - F.col("ln") >= F.col("least")))
     n, p, ln, lp = (F.col(c) for c in ("n", "p", "ln", "lp"))
     gain = F.round(_impurity(n, p) - _impurity(ln, lp) - _impurity(n - ln, p - lp), 9)
-    order = F.struct(gain.alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
+    order = F.struct(gain.alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "ln", "lp")
     best = sums.groupBy(*node).agg(F.max(order).alias("best")).filter("best.gain > 0")
-    return best.select(*keys, "node", (-F.col("best.f")).alias("feature"), (-F.col("best.b")).alias("bin"))
+    return best.select(*node, (-F.col("best.f")).alias("feature"), (-F.col("best.b")).alias("bin"), "best.ln", "best.lp")
 
 
 def grow(rows: DataFrame, keys: list[str], subset: int | None = None) -> Model:
     """One tree per combination of ``keys``.
 
-    ``rows`` hold the keys, x (array of bins), y (0 or 1), w (weight, a whole number; 0: the row does not count) and the
-    tree's limits: depth, least (rows on each side of a split) and entropy (else Gini). Keys must not be null. A tree whose rows
-    are alike is one leaf; keys without rows have no tree.
+    ``rows`` hold the keys, x (array of bins, as many in all rows of a tree, none null), y (0 or 1), w (weight, a whole number; 0: the
+    row does not count) and the tree's limits: depth, least (rows on each side of a split) and entropy (else Gini). Keys must not be
+    null. A tree whose rows are alike is one leaf; keys without rows have no tree.
+
+    A split tells how many rows, and positive ones, go to either side. So rows go on only to nodes that can be split again, and the
+    features tried in a node are chosen once per node, not once per row.
     """
-    state = cut(rows.select(*keys, "x", "y", "w", "depth", "least", "entropy", F.lit(1).cast("long").alias("node")).filter("w > 0"))
-    found: list[DataFrame] = []
+    state = cut(rows.filter("w > 0").select(*keys, "x", "y", "w", "depth", "least", "entropy"))
+    sums = [F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"), F.max(F.size("x")).alias("size")]
+    roots = cut(state.groupBy(*keys, "depth", "least", "entropy").agg(*sums).withColumn("node", F.lit(1).cast("long")))
+    nodes, found = [roots.select(*keys, *_NODE)], []
+    live = roots.filter(_may_split(F.col("n"), F.col("p"), 0))
+    live = cut(live.select(*keys, "size", *_NODE, _tried(keys, F.col("node"), subset).alias("tried")))
+    state = cut(join_small(state, live, keys, salts=1))
     while True:
-        level = len(found)
-        # nodes of this level only: what was not split before never will be
-        active = state.filter((F.col("node") >= 1 << level) & (F.col("depth") > level))
-        splits = cut(best_splits(active, keys, subset))
+        level = len(found) + 1
+        node, n, p, ln, lp = (F.col(c) for c in (*_NODE, "ln", "lp"))
+        sides = []
+        for number, m, q in ((2 * node, ln, lp), (2 * node + 1, n - ln, p - lp)):
+            tried, may = _tried(keys, number, subset), _may_split(m, q, level)
+            sides.append(F.struct(number.alias("node"), m.alias("n"), q.alias("p"), may.alias("_live"), F.when(may, tried).alias("tried")))
+        splits = cut(best_splits(state, keys, subset).select(*keys, "node", "feature", "bin", F.array(*sides).alias("_sides")))
         if splits.isEmpty():
             break
-        found.append(splits)
-        right = (F.get("x", "feature") > F.col("bin")).cast("int")
-        moved = F.when(F.col("feature").isNotNull(), 2 * F.col("node") + right).otherwise(F.col("node"))
-        state = cut(join_small(state, splits, [*keys, "node"], "left", salts=1).select(*keys, "x", "y", "w", "depth", "least", "entropy", moved.alias("node")))
-    leaves = cut(state.groupBy(*keys, "node").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")))
-    every = splits
+        found.append(splits.select(*keys, "node", "feature", "bin"))
+        nodes.append(splits.select(*keys, F.explode("_sides").alias("_to")).select(*keys, *[f"_to.{c}" for c in _NODE]))
+        open_ = splits.filter(F.exists("_sides", lambda to: to["_live"]))
+        to = F.get("_sides", (F.get("x", "feature") > F.col("bin")).cast("int"))
+        moved = join_small(state.drop("n", "p", "tried"), open_, [*keys, "node"], salts=1).withColumn("_to", to).filter("_to._live")
+        state = cut(moved.select(*keys, "x", "y", "w", *_TREE, *[f"_to.{c}" for c in (*_NODE, "tried")]))
+    every, all_nodes = splits.select(*keys, "node", "feature", "bin"), nodes[0]
     for more in found:
         every = every.union(more)
+    for more in nodes[1:]:
+        all_nodes = all_nodes.union(more)
+    # most nodes are leaves: both sides may be long
+    leaves = cut(all_nodes.join(every.hint("merge"), [*keys, "node"], "left_anti").select(*keys, "node", "n", "p"))
     return Model(every, leaves, keys, len(found))
 
 

@@ -265,3 +265,23 @@ def test_many_trees_are_not_broadcast(spark, monkeypatch):
     routed = trees.route(rows, trees.grow(rows, ["k"]))
     assert "Broadcast" not in routed._jdf.queryExecution().executedPlan().toString()
     assert seen(routed) == want
+
+
+def test_rows_of_finished_nodes_go_no_further(spark, monkeypatch):
+    """Nodes of one class, or too small for two sides, are settled by the split above them; their rows are not written again."""
+    rows = [(1, [i, 0], int(i > 3), 1, 9, 1, False) for i in range(8)] + [(2, [i, 0], 1, 1, 9, 1, False) for i in range(8)]
+    rows += [(3, [i, 0], i % 2, 2, 9, 3, True) for i in range(2)]
+    frame = spark.createDataFrame(rows, "k int, x array<int>, y int, w int, depth int, least int, entropy boolean")
+    written, cut = [], trees.cut
+
+    def counted(df):
+        out = cut(df)
+        if "x" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "cut", counted)
+    splits, leaves = tables(trees.grow(frame, ["k"]), "k")
+    assert splits == {(1,): {1: (0, 3)}}
+    assert leaves == {(1,): {2: (4, 0), 3: (4, 4)}, (2,): {1: (8, 8)}, (3,): {1: (4, 2)}}
+    assert written == [18, 8, 0]
