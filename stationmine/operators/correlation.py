@@ -24,6 +24,8 @@ CHUNK = 256
 BLOCK = 256
 #: Stations of a tile.
 TILE = 64
+#: Pairs of stations whose sums a task adds up.
+PAIRS = 20_000
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -173,10 +175,13 @@ def lag_correlation(
         *by, "chunk", F.col("tile").alias(f"tile_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("station", "at", "value")]
     )
     joined = wanted.join(part("a"), "tile_a").join(part("b"), [*by, "tile_b", "chunk"])
+    # chunks are small next to the sums made of them: dealt out before, as many tasks as the pairs need on either side
+    parts = -(-pairs.count() // PAIRS)
+    joined = spread(joined, *by, "tile_a", "tile_b", "chunk", parts=parts)
     schema = "".join(f"{k} string, " for k in by) + "a long, b long, sums array<double>"
     # a row of the exchange holds all moments and lags of a pair in a chunk; lags become rows when nothing moves them any more
     table = (
-        spread(joined.mapInArrow(_tile_sums(width, by), schema), "a", "b")
+        spread(joined.mapInArrow(_tile_sums(width, by), schema), "a", "b", parts=parts)
         .groupBy(*by, "a", "b")
         .agg(F.collect_list("sums").alias("chunks"))
         .mapInArrow(_coefficients(width, by), schema.replace("sums array<double>", "n array<long>, r array<double>"))

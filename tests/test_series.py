@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -245,3 +246,15 @@ def test_neighborhood_wide(spark):
     wide = correlation.pivot_neighborhood(long, 1, [1, 2], 2)
     assert wide.columns == ["bin", "1_T1", "1_T0", "2_T1", "2_T0"]
     assert wide.count() == long.select("bin").distinct().count()
+
+
+def test_pairs_of_tiles_are_dealt_over_tasks(spark, monkeypatch):
+    """Chunks are small next to the sums made of them, so by their size a single task would get them all."""
+    monkeypatch.setattr(correlation, "PAIRS", 1)
+    rows = random_status(13, stations=6)
+    nbrs = spark.createDataFrame([(1, s) for s in range(6)], "center long, station_id long")
+    found = correlation.lag_correlation(status_frame(spark, rows), nbrs, 60, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [next(x for x in plan[i + 1 :] if "Exchange" in x) for i, x in enumerate(plan) if "_tile_sums" in x or "MapInArrow" in x]
+    dealt = "hashpartitioning({}, 21), REPARTITION_BY_NUM"
+    assert [any(dealt.format(k) in re.sub(r"#\d+L?", "", x) for x in below) for k in ("a, b", "tile_a, tile_b, chunk")] == [True, True]
