@@ -4,7 +4,8 @@ A correlation does not depend on the centre, so each pair of stations that share
 centre is computed once and joined to its centres afterwards.  Stations are dealt into
 tiles.  The series of a tile travel together, ``CHUNK`` bins at a time with the earlier bins
 the lags need, so two tiles meet once per chunk instead of two stations once per bin and
-lag, and the moment sums of all their pairs and lags are six matrix products.
+lag, and the moment sums of all their pairs and lags are six matrix products. The chunks of
+two tiles are added up where they meet.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ CHUNK = 256
 BLOCK = 256
 #: Stations of a tile.
 TILE = 64
-#: Pairs of stations whose sums a task adds up.
+#: Pairs of stations of a task.
 PAIRS = 20_000
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
@@ -81,9 +82,22 @@ def _chunks(series: DataFrame, tiles: DataFrame, width: int, step: int, by: list
     )
 
 
-def _tile_sums(width: int, by: list[str]):
-    """Moment sums of all lag pairs for the wanted pairs of stations of two tiles, a pair of tiles and chunk at a time."""
+def _coefficients(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, r and whether either side varies, from a row of moment sums per pair."""
+    n, sx, sy, sxx, syy, sxy = np.split(sums, len(SUMS), axis=1)
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    # variances are differences of large sums: tell a constant series from rounding noise
+    varies = (vx > 1e-11 * n * sxx) & (vy > 1e-11 * n * syy)
+    return n, np.divide(n * sxy - sx * sy, np.sqrt(np.where(varies, vx * vy, 1.0))), varies
+
+
+def _tile_table(width: int, by: list[str]):
+    """n and r of all lag pairs for the wanted pairs of stations of two tiles, r null where either side is constant.
+
+    Rows are a pair of tiles and a chunk each, the chunks of a pair of tiles one after the other; their moment sums are added up.
+    """
     length = CHUNK + width - 1
+    keys = [*by, "tile_a", "tile_b"]
 
     def lagged(station: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Station ids, and a row per station and lag: its values (0 where unknown), and where they are known."""
@@ -93,52 +107,47 @@ def _tile_sums(width: int, by: list[str]):
         x = np.stack([values[:, width - 1 - i : length - i] for i in range(width)], axis=1)
         known = present[:, None, width - 1 :] & ~np.isnan(x)
         rows = len(ids) * width
-        return ids, np.where(known, x, 0.0).reshape(rows, -1), known.reshape(rows, -1).astype(float)
+        return ids, np.where(known, x, 0.0).reshape(rows, -1), known.reshape(rows, -1)
+
+    def add(total: np.ndarray, a: np.ndarray, b: np.ndarray, left, x, kx, right, y, ky) -> None:
+        there = np.isin(a, left) & np.isin(b, right)
+        ia, ib = np.searchsorted(left, a[there]), np.searchsorted(right, b[there])
+        # bins in which a side knows nothing add nothing
+        used = kx.any(axis=0) & ky.any(axis=0)
+        x, kx, y, ky = (m[:, used].astype(float) for m in (x, kx, y, ky))
+
+        def sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            every = (u @ v.T).reshape(len(left), width, len(right), width)
+            return every[ia, :, ib, :].reshape(len(ia), width**2)
+
+        total[there] += np.hstack([sums(kx, ky), sums(x, ky), sums(kx, y), sums(x * x, ky), sums(kx, y * y), sums(x, y)])
+
+    def rows(group: tuple, a: np.ndarray, b: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        met = total[:, : width**2].any(axis=1)
+        n, r, varies = _coefficients(total[met])
+        offsets = pa.array(np.arange(len(n) + 1) * width**2, pa.int32())
+        lists = [pa.array(n.ravel().astype(np.int64)), pa.array(r.ravel(), mask=~varies.ravel())]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.repeat(pa.scalar(v, pa.string()), len(n)) for v in group[: len(by)]), pa.array(a[met]), pa.array(b[met]),
+             *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+            [*by, "a", "b", "n", "r"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, a, b, total = None, None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                (left, x, kx), (right, y, ky) = (lagged(*(get(f"{c}_{side}") for c in ("station", "at", "value"))) for side in "ab")
-                a, b = get("a"), get("b")
-                there = np.isin(a, left) & np.isin(b, right)
-                a, b = a[there], b[there]
-                ia, ib = np.searchsorted(left, a), np.searchsorted(right, b)
-
-                def sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-                    every = (u @ v.T).reshape(len(left), width, len(right), width)  # noqa: B023
-                    return every[ia, :, ib, :].reshape(len(ia), width**2)  # noqa: B023
-
-                each = np.hstack([sums(kx, ky), sums(x, ky), sums(kx, y), sums(x * x, ky), sums(kx, y * y), sums(x, y)])
-                offsets = pa.array(np.arange(len(a) + 1) * each.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.repeat(batch.column(k)[r], len(a)) for k in by), pa.array(a), pa.array(b),
-                     pa.ListArray.from_arrays(offsets, pa.array(each.ravel()))],
-                    [*by, "a", "b", "sums"],
-                )
-
-    return run
-
-
-def _coefficients(width: int, by: list[str]):
-    """Adds up the moment sums of each pair's chunks; n and r for all its lags, r null where either side is constant."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            chunks = batch.column("chunks")
-            each = chunks.flatten().flatten().to_numpy().reshape(-1, len(SUMS) * width**2)
-            counts = np.diff(chunks.offsets.to_numpy())
-            n, sx, sy, sxx, syy, sxy = np.split(np.add.reduceat(each, np.cumsum(counts) - counts), len(SUMS), axis=1)
-            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-            # variances are differences of large sums: tell a constant series from rounding noise
-            varies = (vx > 1e-11 * n * sxx) & (vy > 1e-11 * n * syy)
-            r = np.divide(n * sxy - sx * sy, np.sqrt(np.where(varies, vx * vy, 1.0)))
-            offsets = pa.array(np.arange(len(batch) + 1) * width**2, pa.int32())
-            lists = [pa.array(n.ravel().astype(np.int64)), pa.array(r.ravel(), mask=~varies.ravel())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in (*by, "a", "b")), *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
-                [*by, "a", "b", "n", "r"],
-            )
+                own = tuple(batch.column(k)[r].as_py() for k in keys)
+                if own != group:
+                    if group is not None:
+                        yield rows(group, a, b, total)
+                    group, a, b = own, get("a").copy(), get("b").copy()
+                    total = np.zeros((len(a), len(SUMS) * width**2))
+                sides = [lagged(*(get(f"{c}_{side}") for c in ("station", "at", "value"))) for side in "ab"]
+                add(total, a, b, *sides[0], *sides[1])
+        if group is not None:
+            yield rows(group, a, b, total)
 
     return run
 
@@ -175,17 +184,13 @@ def lag_correlation(
         *by, "chunk", F.col("tile").alias(f"tile_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("station", "at", "value")]
     )
     joined = wanted.join(part("a"), "tile_a").join(part("b"), [*by, "tile_b", "chunk"])
-    # chunks are small next to the sums made of them: dealt out before, as many tasks as the pairs need on either side
-    parts = -(-pairs.count() // PAIRS)
-    joined = spread(joined, *by, "tile_a", "tile_b", "chunk", parts=parts)
-    schema = "".join(f"{k} string, " for k in by) + "a long, b long, sums array<double>"
-    # a row of the exchange holds all moments and lags of a pair in a chunk; lags become rows when nothing moves them any more
-    table = (
-        spread(joined.mapInArrow(_tile_sums(width, by), schema), "a", "b", parts=parts)
-        .groupBy(*by, "a", "b")
-        .agg(F.collect_list("sums").alias("chunks"))
-        .mapInArrow(_coefficients(width, by), schema.replace("sums array<double>", "n array<long>, r array<double>"))
-    )
+    # chunks are small next to what is made of them: dealt out before, as many tasks as the pairs need. The chunks of two
+    # tiles, as many as the calendar has, stay together, so that no sums have to be moved
+    together = [*by, "tile_a", "tile_b"]
+    joined = spread(joined, *together, parts=-(-pairs.count() // PAIRS)).sortWithinPartitions(*together, "chunk")
+    schema = "".join(f"{k} string, " for k in by) + "a long, b long, n array<long>, r array<double>"
+    # a row of the exchange holds all lags of a pair; they become rows when nothing moves them any more
+    table = joined.mapInArrow(_tile_table(width, by), schema)
     lag = F.posexplode(F.arrays_zip("n", "r")).alias("i", "v")
     return (
         pairs.join(table, ["a", "b"]).select(*by, "center", "a", "b", lag).filter("v.n > 0")
