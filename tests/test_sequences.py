@@ -196,3 +196,13 @@ def test_only_what_makes_a_sequence_is_gathered(spark):
     assert kept == {(0, 1, 0), (1, 1, 1), (1, 2, 0), (9, 2, 0), (1, None, 0)}
     built = sq.build_sequences(found, near, MineParams(interval=720), dedup=False)
     assert {r.center for r in built.collect()} == {1, 2, None}
+
+
+def test_stations_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """Each station is 27 rows on one side of the join, which the size of its file does not show."""
+    station = spark.range(60).selectExpr("id", "37D + id div 8 * 0.005D AS lat", "-122D + id % 8 * 0.005D AS long")
+    want = tuples(nb.station_pairs(station, 1.0), "id_a", "id_b")
+    monkeypatch.setattr(nb, "fits", lambda df: False, raising=False)
+    pairs = nb.station_pairs(station, 1.0)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert want and tuples(pairs, "id_a", "id_b") == want
