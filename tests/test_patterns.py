@@ -7,6 +7,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from stationmine.operators import mining
@@ -230,3 +232,14 @@ def test_small_confidences_are_read(spark, tmp_path):
     path = tmp_path / "r.txt"
     path.write_text("Pattern, Confidence-Frequence\nTotal\n[[[['A_T0_0'], ['B_T1_0']]], ['1e-05 - 12']]\n")
     assert tuples(read_rules_text(spark, str(path)), "conf", "sup") == [(1e-05, 12)]
+
+
+def test_mining_leaves_the_session_fit_for_forests(spark):
+    """Spark's forests serialize their session with the model, which fails once it has observed anything."""
+    session = spark.newSession()
+    seqs = session.createDataFrame([([["a"], ["b"]],), ([["a"], ["b"]],)], "sequence array<array<string>>")
+    assert mining.mine(seqs, 0.5).count() == 3
+    rows = session.createDataFrame([(float(i), float(i > 3)) for i in range(8)], "v double, label double")
+    rows = rows.select(array_to_vector(F.array("v")).alias("features"), "label")
+    model = RandomForestClassifier(numTrees=2, seed=1).fit(rows)
+    assert len(model.transform(rows).select("prediction").collect()) == 8
