@@ -23,7 +23,20 @@ SCHEMA = (
 _ARROW = pa.schema(
     [(n, pa.binary() if n == "ids" else pa.int64()) for n in (x.split()[0] for x in SCHEMA.split(", "))]
 )
-_MORE_SPACE = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace()) - {" ", "\n"}
+#: White space other than single spaces and line ends; looked for one by one, which is faster than letter by letter.
+_BREAKS = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
+
+class Letters(dict):
+    """For ``str.translate``: a letter as a byte-level vocabulary spells it; a space for what is no letter to ``split``."""
+
+    def __init__(self, split):
+        self.split = split
+
+    def __missing__(self, code: int) -> str:
+        found = self.split("a" + chr(code))
+        self[code] = found[0][0][1:] if len(found) == 1 else " "
+        return self[code]
 
 
 class WordIds(dict):
@@ -33,18 +46,28 @@ class WordIds(dict):
     before such a space. So a text whose white space is only single spaces and line ends is a row
     of independent words, and each distinct word is tokenised once per worker. Any other text goes
     to the library whole. The table is emptied when it holds LIMIT words.
+
+    Most words are letters, with signs behind them or not. The library tokenises both apart, so
+    letters go straight to its model, without what it does around that for every text.
     """
 
     LIMIT = 1_200_000
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        before = json.loads(self.library.to_str())["pre_tokenizer"]
+        made = json.loads(self.library.to_str())
+        before = made["pre_tokenizer"]
         self.by_word = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
-        self.line_end = len(self._ids(["\n"])[0])
+        self.line_end = self._ids(["\n"])[0]
+        # a token that the library cuts out first must not lie within letters and signs behind them
+        added = [t["content"].rstrip(self.SIGNS) for t in made["added_tokens"]]
+        self.by_letters = self.by_word and not made["normalizer"] and not any(not t or t.isalpha() for t in added)
+        self.model = self.library.model
+        self.letters = Letters(self.library.pre_tokenizer.pre_tokenize_str)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -53,38 +76,52 @@ class WordIds(dict):
     def _plain(self, text: str) -> bool:
         return (
             self.by_word
-            and "  " not in text
-            and "\n\n" not in text
-            and " \n" not in text
-            and "\n " not in text
             and not text[0].isspace()
             and not text[-1].isspace()
-            and _MORE_SPACE.isdisjoint(text)
+            and not any(map(text.__contains__, _BREAKS))
         )
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and not self._plain(t)]
+        whole = []
+        get, skip = self.__getitem__, len(self.line_end)
+        for i, text in enumerate(texts):
+            if text and self._plain(text):
+                # a unit is a word led by a space (left out here) or by a line end; the first is led by a line end of ours
+                units = ("\n" + text.replace("\n", " \n")).split(" ")
+                out[i] = b"".join(map(get, units))[skip:]
+            elif text:
+                whole.append(i)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
-        # a unit is a word led by a space (left out here) or by a line end; the first is led by a line end of ours
-        plain = set(range(len(texts))).difference(whole)
-        units = {i: ("\n" + texts[i].replace("\n", " \n")).split(" ") for i in plain if texts[i]}
-        self._learn(set().union(*units.values()))
-        get = self.__getitem__
-        for i, row in units.items():
-            out[i] = b"".join(map(get, row))[self.line_end :]
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self]
-        if len(self) + len(new) > self.LIMIT:
+    def __missing__(self, unit: str) -> bytes:
+        ids = self._word(unit) if self.by_letters else None
+        if ids is None:
+            ids = self._ids([unit if unit[0] == "\n" else " " + unit])[0]
+        if len(self) >= self.LIMIT:
             self.clear()
-            new = list(units)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.update(zip(part, self._ids([u if u[0] == "\n" else " " + u for u in part])))
+        self[unit] = ids
+        return ids
+
+    def _word(self, unit: str) -> bytes | None:
+        """Ids of a unit of letters, with signs behind them or not; None for others."""
+        word = unit.rstrip(self.SIGNS)
+        led = unit[0] == "\n"
+        spelt = word[led:].translate(self.letters)
+        if not spelt or " " in spelt:
+            return None
+        ids = self.get(word)
+        if ids is None:
+            found = self.model.tokenize(spelt if led else "\u0120" + spelt)
+            ids = array("I", [t.id for t in found]).tobytes()
+            if led:
+                ids = self.line_end + ids
+        if len(word) < len(unit):
+            ids += self["\n" + unit[len(word) :]][len(self.line_end) :]
+        return ids
 
 
 @lru_cache(maxsize=2)

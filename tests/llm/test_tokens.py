@@ -110,6 +110,57 @@ def test_tables_stay_bounded(sp, monkeypatch):
         assert words.encode([text, "one"])[0] == np.array(ids, "<u4").tobytes()
 
 
+def test_words_of_letters_and_signs_are_not_encoded_one_by_one(library, monkeypatch):
+    words = packing.WordIds(BPE)
+    asked = []
+    ids = words._ids
+    monkeypatch.setattr(words, "_ids", lambda texts: asked.extend(texts) or ids(texts))
+    text = "\n".join(f"Wörd{c}a x{c}o. {c}e,*** É{c}&&&" for c in "abcdefghijklmnopqrstuvwxyz")
+    assert words.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sorted(asked) == ["\n&&&", "\n,***", "\n."]
+
+
+def test_made_up_words_are_the_librarys(library):
+    rng = np.random.default_rng(5)
+    signs = ["", "", ".", ",***", "'", "'s", "'S", "&&&", "_", "<|endoftext|>", "12", "²", "\u0301", "\x00", "\x85", "日本", "€"]
+    letters = list("etaoinshrdlu") + ["é", "ß", "Ñ", "ʼ", "ж", "ي", "日", "\U0001e900", "ﬁ", "ª", "\ua7da", "\u1c89"]
+    texts = []
+    for _ in range(400):
+        made = ["".join(rng.choice(letters, rng.integers(0, 9))) + rng.choice(signs) for _ in range(rng.integers(1, 30))]
+        texts.append("".join(w + str(rng.choice([" ", " ", " ", "\n"])) for w in made if w).strip(" \n"))
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words = packing.WordIds(BPE)
+    assert words.encode(texts) == want == words.encode(texts)
+
+
+@pytest.mark.parametrize("known", ["<|endoftext", "e\u0301", "12", "it's", "a²", "x_y", "\x00"])
+def test_a_known_word_that_is_not_of_letters_is_no_part_of_another(library, known):
+    text = f"{known} {known}|> {known}. {known}' {known},***\n{known}\n{known}|> b"
+    want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    words = packing.WordIds(BPE)
+    assert [words.encode([text])[0] for _ in range(2)] == [want, want]
+
+
+def test_tokens_cut_out_of_words_first_go_to_the_library(tmp_path, library):
+    from tokenizers import Tokenizer
+
+    for content in ("cd", "&&", "cd&"):
+        own = Tokenizer.from_file(BPE)
+        own.add_tokens([content])
+        path = str(tmp_path / "own.json")
+        own.save(path)
+        text = "abcde ab&&&& cd& abcd&e"
+        got = packing.WordIds(path).encode([text])[0]
+        assert got == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_white_space_sends_a_text_to_the_library():
+    words = packing.WordIds(BPE)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
+    assert not any(words._plain(f"a b{c}d") for c in [*spaces, "  ", "\n\n", " \n", "\n "])
+    assert words._plain("a b\nc é")
+
+
 def test_a_wrong_merge_is_noticed():
     own = pieces.Pieces(PIECES)
     own.encode("hello there")
