@@ -1,5 +1,8 @@
 """Both ways of each checked join give the same rows; ranks and checkpoints hold."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,42 @@ def test_neighbors_are_not_repeated(spark, monkeypatch):
     near = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "center long, station_id long, delta int")
     assert "_salt" not in plan(sq.labelled_items(states_, near))
     assert sq.labelled_items(states_, near).count() == 6
+
+
+def test_shuffle_files_go_when_their_rows_are_written(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(",")))
+    before, kept, left = files(), spark.conf.get(scale.RELEASE, None), []
+
+    def each():
+        for i in range(3):
+            yield spark.range(1000).groupBy((F.col("id") % 7 + i).alias("k")).count()
+            until = time.time() + 5
+            while files() - before and time.time() < until:
+                time.sleep(0.1)
+            left.append(files() - before)
+
+    got = scale.cut_each(each())
+    assert left == [set()] * 3 and spark.conf.get(scale.RELEASE, None) == kept
+    assert tuples(got.groupBy("k").agg(F.sum("count").alias("n")), "k")[-1] == (8,) and got.count() == 21
+    with pytest.raises(ValueError):
+        scale.cut_each([])
+
+
+def test_configurations_are_written_one_by_one(spark, monkeypatch):
+    from stationmine.operators import grid
+
+    fx, sizes = Fixture(spark, ROOT), []
+
+    def counted(frames):
+        frames = list(frames)
+        sizes.append(len(frames))
+        return scale.cut_each(frames)
+
+    monkeypatch.setattr(grid, "cut_each", counted)
+    configs = [q.P, q.P.but(extraction_type="Empty-AlmostEmpty"), q.P.but(ct=1)]
+    found = grid.sequences(fx.status, fx.station, configs)
+    assert sizes == [3]
+    for i, p in enumerate(configs):
+        alone = tuples(q.sequences(fx, p), "win", "center", "sequence")
+        assert tuples(found.filter(F.col("tag") == i), "win", "center", "sequence") == alone
